@@ -323,7 +323,7 @@ def first_mention(t: Tables) -> DataFrame:
 def mentions_scored(t: Tables) -> DataFrame:
     """Every item of every review, each with the score of its sentence."""
     scored = score_sentences(_found(t, "all"), "promo_text", t.lexicon(), ["review_id", "sentence_pos", "dish"])
-    return scored.where("score <> -1").select("review_id", "sentence_pos", "dish", "score")
+    return scored.select("review_id", "sentence_pos", "dish", "score")
 
 
 @query
@@ -364,7 +364,7 @@ def best_quote(t: Tables) -> DataFrame:
 @query
 def reviews_union_tips(t: Tables) -> DataFrame:
     mentions = t.mentions().withColumn("promo_date", F.col("promo_date").cast("string"))
-    return scoring.union_mentions(mentions.where("kind = 'review'"), mentions.where("kind = 'tip'"))
+    return scoring.union_all(mentions.where("kind = 'review'"), mentions.where("kind = 'tip'"))
 
 
 @query
@@ -496,7 +496,7 @@ def merge_ratings(t: Tables) -> DataFrame:
 def replace_trends(t: Tables) -> DataFrame:
     """Trends before the stream starts, replaced in the cities rated in it."""
     path = work_path(t.spark, "trends")
-    windows = rat.trending(rat.window_ratings(ratings(t)))
+    windows = sinks.stage_roundtrip(rat.trending(rat.window_ratings(ratings(t))), work_path(t.spark, "windows"))
     early = windows.where(F.col("window_end") <= F.lit(STREAM_START).cast("timestamp_ntz"))
     sinks.replace_trends(rat.latest_trends(early), path)
     # Only cities in the first half of the alphabet are rated again.

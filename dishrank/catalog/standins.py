@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread_small
+
 TEXT_DICTIONARY = [
     ("article", "the"), ("preposition", "of"), ("preposition", "from"), ("preposition", "with"),
     ("connector", "and"), ("linking", "with"), ("verb", "be"),
@@ -34,6 +36,10 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def read_spread(self, name: str, *columns: str, key: list[str]) -> DataFrame:
+        """Columns of a table that may be one file with one row group, so one split."""
+        return spread_small(self.read(name).select(*columns), *key)
+
     def business(self) -> DataFrame:
         region = self.read("region").select("r_regionkey", F.upper(F.substring("r_name", 1, 2)).alias("state"))
         nation = self.read("nation").select(
@@ -58,8 +64,9 @@ class Tables:
 
     def mentions(self) -> DataFrame:
         part = self.read("part").select("p_partkey", "p_name")
-        line = self.read("lineitem").select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate"
+        line = self.read_spread(
+            "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate",
+            key=["l_orderkey"],
         )
         return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
             F.col("l_suppkey").cast("string").alias("business_id"),
@@ -72,7 +79,7 @@ class Tables:
 
     def reviews(self) -> DataFrame:
         key = F.col("doc_id")
-        return self.read("documents").select(
+        return self.read_spread("documents", "doc_id", "text", key=["doc_id"]).select(
             (key % 10).cast("string").alias("business_id"),
             "text",
             self._date(key).alias("date"),
@@ -81,7 +88,7 @@ class Tables:
 
     def tips(self) -> DataFrame:
         key = F.col("conv_id")
-        return self.read("conversations").select(
+        return self.read_spread("conversations", "conv_id", "turn", "text", key=["conv_id", "turn"]).select(
             (key % 10).cast("string").alias("business_id"),
             "text",
             self._date(key).alias("date"),
@@ -96,7 +103,8 @@ class Tables:
 
     def rating_messages(self, events: DataFrame | None = None) -> DataFrame:
         """Messages ``(ts, event_id, key, value)``, some with three or four fields."""
-        events = self.read("events") if events is None else events
+        if events is None:
+            events = self.read_spread("events", "event_id", "ts", "user_id", "event_type", key=["event_id"])
         event, user = F.col("event_id"), F.col("user_id").cast("string")
         city = F.concat(F.lit("NATION"), (F.col("user_id") % 25).cast("string"), F.lit("AF"))
         score = (1 + event % 5).cast("string")

@@ -6,22 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def rating_fields(value: Column) -> Column:
-    """Struct of the parsed message.
+def rating_fields(parts: Column) -> dict[str, Column]:
+    """Fields of a message split at its commas.
 
     The text ends at its first comma; no fifth field gives an empty text.
     ``valid`` is false for fewer than four fields or a score that is no number.
     """
-    parts = F.split(value, ",")
     score = F.get(parts, F.lit(3)).try_cast("int")
-    return F.struct(
-        F.get(parts, F.lit(0)).alias("dish"),
-        F.get(parts, F.lit(1)).alias("businessid"),
-        F.get(parts, F.lit(2)).alias("citystate"),
-        score.alias("score"),
-        F.coalesce(F.get(parts, F.lit(4)), F.lit("")).alias("promotext"),
-        score.isNotNull().alias("valid"),
-    )
+    return {
+        "dish": F.get(parts, F.lit(0)),
+        "businessid": F.get(parts, F.lit(1)),
+        "citystate": F.get(parts, F.lit(2)),
+        "score": score,
+        "promotext": F.coalesce(F.get(parts, F.lit(4)), F.lit("")),
+        "valid": score.isNotNull(),
+    }
 
 
 def rating_key(dish: Column, businessid: Column) -> Column:

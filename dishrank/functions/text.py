@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 # Where a sentence ends. White space after . ! ? (or after one of
 # these and a quote) separates, together with stray . ! ? and space that follow;
-# so does the place between . ! ? and a line separator. The white space is tried
-# before the look-behind, which makes the scan about twice as fast.
-SENTENCE_BREAK = r"""\s(?<=[.!?]['"]?\s)[.!?\s]*|(?<=[.!?])(?=[\u0085\u2028\u2029])"""
+# so does the place between . ! ? and a line separator. A quote right after such
+# stray marks (\G is where the last break ended) closes nothing. The white space
+# is tried before the look-behinds, which makes the scan about twice as fast.
+SENTENCE_BREAK = (
+    r"""\s(?<=[.!?]['"]?\s)(?<!\G['"]\s)[.!?\s]*"""
+    r"""|(?<=[.!?])(?=[\u0085\u2028\u2029])"""
+)
 SENTENCE_LEAD = r"^[.!?\s]+"
 NON_PRINTABLE = r"\p{C}"
 WORD_BREAK = r"[^\p{L}]+"

@@ -148,11 +148,11 @@ def find_mentions(
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
-    terms = rows_within(dictionary.select("item").distinct(), term_limit)
+    terms = rows_within(dictionary.select("item"), term_limit)
     irregular = rows_within(lemma_table.select("form", "lemma"), term_limit)
     if terms is not None and irregular is not None:
         return find_in_rows(
-            reviews, sorted(r.item for r in terms), {r.form: r.lemma for r in irregular}, policy, max_ngram
+            reviews, sorted({r.item for r in terms}), {r.form: r.lemma for r in irregular}, policy, max_ngram
         )
     if max_ngram > 1:
         raise ValueError(f"items of several words need a dictionary of at most {term_limit} items")

@@ -16,7 +16,8 @@ TRENDS_PER_CITY = 3
 
 def parse_messages(messages: DataFrame) -> DataFrame:
     """Fields of each message in ``value`` next to the other columns, with ``valid``."""
-    return messages.withColumn("m", rating_fields(F.col("value"))).select("*", "m.*").drop("m")
+    split = messages.withColumn("parts", F.split("value", ","))
+    return split.withColumns(rating_fields(F.col("parts"))).drop("parts")
 
 
 def split_valid(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -65,7 +66,15 @@ def windows_of_days(days: DataFrame) -> DataFrame:
 
 
 def window_ratings(ratings: DataFrame) -> DataFrame:
-    return windows_of_days(daily_ratings(ratings))
+    """14-day windows of a batch of ratings.
+
+    The daily rows are shuffled by dish before each is copied into its 14
+    windows, so the copies stay where they are; a dish has one row per day by
+    then, however often it was rated. The number of partitions is given
+    because AQE would size them by the rows before they are copied.
+    """
+    partitions = int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return windows_of_days(daily_ratings(ratings).repartition(partitions, *DISH_KEY))
 
 
 def trending(windows: DataFrame, k: int = TRENDS_PER_CITY) -> DataFrame:

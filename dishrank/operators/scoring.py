@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def union_mentions(reviews: DataFrame, tips: DataFrame) -> DataFrame:
-    """Mentions of reviews and tips together, duplicates kept."""
+def union_all(reviews: DataFrame, tips: DataFrame) -> DataFrame:
+    """Reviews and tips together, duplicates kept; texts and mentions alike."""
     return reviews.unionByName(tips)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.mentions import find_mentions
 from ..operators.published import businesses_view, dishes_view, join_business
-from ..operators.scoring import dish_scores, union_mentions
+from ..operators.scoring import dish_scores, union_all
 from ..operators.sentiment import score_sentences
 from ..sources.sinks import publish_businesses, publish_dishes, stage_roundtrip
 
@@ -42,8 +42,8 @@ def dish_ratings(
     max_ngram: int = 1,
 ) -> DataFrame:
     """Dish scores of reviews and tips, joined to their businesses."""
-    args = (dictionary, lemma_table, lexicon, key, policy, max_ngram)
-    mentions = union_mentions(scored_mentions(reviews, *args), scored_mentions(tips, *args))
+    texts = union_all(reviews, tips)
+    mentions = scored_mentions(texts, dictionary, lemma_table, lexicon, key, policy, max_ngram)
     return join_business(dish_scores(mentions), business)
 
 

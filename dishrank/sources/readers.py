@@ -10,12 +10,28 @@ from ..operators.dictionary import parse_dictionary
 from ..session import is_file
 
 
+def spread_small(rows: DataFrame, *key: str) -> DataFrame:
+    """Spread an input over all task slots if its files would fill less than half of them.
+
+    Text work costs far more than this one shuffle of a small input; a large
+    input already has a split per slot and is left where it is.
+    """
+    spark = rows.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    split_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    # Spark's own size estimate for the plan, taken from the file sizes.
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(slots, *key) if size < slots * split_bytes // 2 else rows
+
+
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.REVIEW).parquet(path)
+    return spread_small(spark.read.schema(schemas.REVIEW).parquet(path))
 
 
 def read_tips(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.TIP).parquet(path)
+    return spread_small(spark.read.schema(schemas.TIP).parquet(path))
 
 
 def read_businesses(spark: SparkSession, path: str) -> DataFrame:
