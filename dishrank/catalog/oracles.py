@@ -273,7 +273,7 @@ SELECT review_id, sentence_pos, {_clip('sentence', f"'{registry.TEXT_TERM}'")} A
     "first_mention": """
 SELECT review_id, sentence_pos, dish, promo_text FROM hit
 QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY sentence_pos, token_pos DESC) = 1""",
-    "mentions_scored": "SELECT review_id, sentence_pos, dish, score FROM hit_score",
+    "mentions_scored": "SELECT DISTINCT review_id, sentence_pos, dish, score FROM hit_score",
     "sentence_sentiment": f"""
 SELECT review_id, sentence_pos, {_score('coalesce(CAST(sum(polarity) AS INT), 0)')} AS score
 FROM sentence LEFT JOIN (SELECT review_id, sentence_pos, polarity FROM word JOIN lexicon ON form = lexicon.word)

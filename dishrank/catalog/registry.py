@@ -509,6 +509,7 @@ def replace_trends(t: Tables) -> DataFrame:
 def stream_trending(t: Tables) -> DataFrame:
     """Closed windows as the stream emits them."""
     path, checkpoint = work_path(t.spark, "windows"), work_path(t.spark, "checkpoint")
+    stream.use_disk_state(t.spark)
     rows = stream.trending_windows(message_stream(t))
     run = (
         rows.writeStream.outputMode("append").format("parquet")

@@ -2,12 +2,12 @@
 
 from .keys import city_label, citystate_key, clean_address, normalise_city
 from .messages import rating_fields, rating_key, rating_value
-from .text import clip_sentence, lemmas_of, plural_strip, sentences_of, snippet, words_of
-from .weights import confidence_weight, format_rating, trending_score, trending_weight
+from .text import clip_sentence, forms_of, lemma_of, lemmas_of, plural_strip, sentences_of, snippet, words_of
+from .weights import confidence_weight, format_rating, round_at, trending_score, trending_weight
 
 __all__ = [
     "city_label", "citystate_key", "clean_address", "clip_sentence", "confidence_weight",
-    "format_rating", "lemmas_of", "normalise_city", "plural_strip", "rating_fields",
-    "rating_key", "rating_value", "sentences_of", "snippet", "trending_score",
+    "format_rating", "forms_of", "lemma_of", "lemmas_of", "normalise_city", "plural_strip", "rating_fields",
+    "rating_key", "rating_value", "round_at", "sentences_of", "snippet", "trending_score",
     "trending_weight", "words_of",
 ]

@@ -6,7 +6,7 @@ Python worker, and a text of any length is processed whole.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ SENTENCE_BREAK = (
     r"""\s(?<=[.!?]['"]?\s)(?<!\G['"]\s)[.!?\s]*"""
     r"""|(?<=[.!?])(?=[\u0085\u2028\u2029])"""
 )
-SENTENCE_LEAD = r"^[.!?\s]+"
+SENTENCE_LEAD = ".!? \t\n\x0b\f\r"
 NON_PRINTABLE = r"\p{C}"
 WORD_BREAK = r"[^\p{L}]+"
 
@@ -34,14 +34,19 @@ SNIPPET_SEARCH = 18
 
 def sentences_of(text: Column) -> Column:
     """Array of sentences, control characters removed."""
-    pieces = F.split(F.regexp_replace(text, SENTENCE_LEAD, ""), SENTENCE_BREAK)
+    pieces = F.split(F.ltrim(text, F.lit(SENTENCE_LEAD)), SENTENCE_BREAK)
     kept = F.filter(pieces, lambda s: s != "")
     return F.transform(kept, lambda s: F.regexp_replace(s, NON_PRINTABLE, ""))
 
 
+def raw_words_of(sentence: Column) -> Column:
+    """Lower-case words; the first and last entry may be empty."""
+    return F.split(F.lower(sentence), WORD_BREAK)
+
+
 def words_of(sentence: Column) -> Column:
     """Array of lower-case words."""
-    return F.filter(F.split(F.lower(sentence), WORD_BREAK), lambda w: w != "")
+    return F.filter(raw_words_of(sentence), lambda w: w != "")
 
 
 def plural_strip(word: Column) -> Column:
@@ -50,16 +55,29 @@ def plural_strip(word: Column) -> Column:
     return F.when(plural, F.substr(word, F.lit(1), F.length(word) - 1)).otherwise(word)
 
 
-def lemmas_of(words: Column, irregular: Mapping[str, str]) -> Column:
-    """Lemma of each word: the irregular table first, then the plural rule."""
+def lemma_of(word: Column, irregular: Mapping[str, str]) -> Column:
+    """Lemma of a word: the irregular table first, then the plural rule."""
     if not irregular:
-        return F.transform(words, plural_strip)
+        return plural_strip(word)
     table = F.create_map(*[F.lit(x) for pair in irregular.items() for x in pair])
     # The hash lookup of isin spares regular words the map's linear search.
-    return F.transform(
-        words,
-        lambda w: F.when(w.isin(list(irregular)), F.element_at(table, w)).otherwise(plural_strip(w)),
-    )
+    return F.when(word.isin(list(irregular)), F.element_at(table, word)).otherwise(plural_strip(word))
+
+
+def lemmas_of(words: Column, irregular: Mapping[str, str]) -> Column:
+    return F.transform(words, lambda w: lemma_of(w, irregular))
+
+
+def forms_of(terms: Iterable[str], irregular: Mapping[str, str]) -> list[str]:
+    """All words whose lemma is one of ``terms``."""
+
+    def lemma(word: str) -> str:
+        plural = len(word) > 3 and word.endswith("s") and not word.endswith("ss")
+        return irregular.get(word, word[:-1] if plural else word)
+
+    wanted = set(terms)
+    candidates = wanted | {t + "s" for t in wanted} | set(irregular)
+    return sorted(c for c in candidates if lemma(c) in wanted)
 
 
 def _index(text: Column, term: Column) -> Column:

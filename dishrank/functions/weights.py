@@ -38,3 +38,7 @@ def confidence_weight(num: Column) -> Column:
 def format_rating(rating: Column) -> Column:
     """One decimal, half up, as text."""
     return F.format_string("%.1f", rating)
+
+
+def round_at(number: Column, places: int) -> Column:
+    return F.round(number, places)

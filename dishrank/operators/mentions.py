@@ -15,7 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clip_sentence, lemmas_of, plural_strip, sentences_of, words_of
+from ..functions.text import (
+    clip_sentence, forms_of, lemma_of, lemmas_of, plural_strip, raw_words_of, sentences_of, words_of,
+)
 from ..session import rows_within
 
 TERM_LIMIT = 20_000
@@ -47,11 +49,16 @@ def mention_rows(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     return tokens.join(terms, "lemma").withColumnRenamed("lemma", "dish")
 
 
-def _hits(lemmas: Column, terms: Sequence[str], max_ngram: int) -> Column:
-    """Dictionary items in the order they occur, longer ones last at a place."""
-    terms = list(terms)
+def _hits(sentence: Column, terms: Sequence[str], irregular: dict[str, str], max_ngram: int) -> Column:
+    """Words with a dictionary item as lemma, in the order they occur.
+
+    With ``max_ngram`` above 1 these are word sequences already turned into
+    lemmas, a longer one after a shorter one at the same place.
+    """
     if max_ngram == 1:
-        return F.filter(lemmas, lambda w: w.isin(terms))
+        forms = forms_of(terms, irregular)
+        return F.filter(raw_words_of(sentence), lambda w: w.isin(forms))
+    terms, lemmas = list(terms), lemmas_of(words_of(sentence), irregular)
 
     def at(start: Column) -> Column:
         widths = F.sequence(F.lit(1), F.least(F.lit(max_ngram), F.size(lemmas) - start))
@@ -83,7 +90,7 @@ def find_in_rows(
             lambda s, i: F.struct(
                 i.alias("sentence_pos"),
                 s.alias("sentence"),
-                _hits(lemmas_of(words_of(s), irregular), terms, max_ngram).alias("hits"),
+                _hits(s, terms, irregular, max_ngram).alias("hits"),
             ),
         ),
         lambda s: F.size(s["hits"]) > 0,
@@ -97,10 +104,14 @@ def find_in_rows(
     # The generator drops rows without a hit and keeps the search from being
     # evaluated a second time in a pushed-down filter.
     rows = reviews.select(*kept, F.explode(picked).alias("m"))
+
+    def dish_of(hit: Column) -> Column:
+        return lemma_of(hit, irregular) if max_ngram == 1 else hit
+
     if policy == "all":
-        dish = F.explode("m.hits")
+        dish = F.explode(F.array_distinct(F.transform("m.hits", dish_of)))
     else:
-        dish = F.element_at("m.hits", -1)
+        dish = dish_of(F.element_at("m.hits", -1))
     return _clipped(rows.select(*kept, "m.sentence_pos", "m.sentence", dish.alias("dish")))
 
 
@@ -119,7 +130,7 @@ def find_by_join(
     kept = [c for c in reviews.columns if c != "text"]
     hits = _clipped(mention_rows(token_rows(sentence_rows(reviews), lemma_table), dictionary))
     if policy == "all":
-        return hits.select(*kept, "sentence_pos", "dish", "promo_text")
+        return hits.select(*kept, "sentence_pos", "dish", "promo_text").dropDuplicates([*key, "sentence_pos", "dish"])
     place = F.col("sentence_pos") if policy == "last" else -F.col("sentence_pos")
     carried = [c for c in kept if c not in key]
     best = F.max(
@@ -144,7 +155,8 @@ def find_mentions(
     ``key`` names the columns that identify a review.
 
     ``policy``: ``last`` takes a review's last item, ``first_sentence`` the last
-    item of its first sentence with one, ``all`` every item.
+    item of its first sentence with one, ``all`` every item of every sentence
+    (once per sentence).
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences_of, words_of
+from ..functions.text import raw_words_of, sentences_of, words_of
 from ..session import rows_within
 
 # Classes 0..4 around the neutral class 2; the score is class + 1.
@@ -35,7 +35,7 @@ def polarity_sum(sentence: Column, lexicon: Mapping[str, int]) -> Column:
             polarity = F.when(word.isin(words), F.lit(level)).otherwise(polarity)
         return total + polarity
 
-    return F.aggregate(words_of(sentence), F.lit(0), add)
+    return F.aggregate(raw_words_of(sentence), F.lit(0), add)
 
 
 def score_column(sentence: Column, lexicon: Mapping[str, int]) -> Column:

@@ -11,10 +11,11 @@ from ..session import is_file
 
 
 def spread_small(rows: DataFrame, *key: str) -> DataFrame:
-    """Spread an input over all task slots if its files would fill less than half of them.
+    """Spread a small input of few files over all task slots.
 
-    Text work costs far more than this one shuffle of a small input; a large
-    input already has a split per slot and is left where it is.
+    A file may be a single split whatever its size. Text work costs far more
+    than this one shuffle of less than half a split per slot; a large input, or
+    one with a file per slot, is left where it is.
     """
     spark = rows.sparkSession
     slots = spark.sparkContext.defaultParallelism
@@ -23,7 +24,8 @@ def spread_small(rows: DataFrame, *key: str) -> DataFrame:
     )
     # Spark's own size estimate for the plan, taken from the file sizes.
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(slots, *key) if size < slots * split_bytes // 2 else rows
+    small = size < slots * split_bytes // 2 and len(rows.inputFiles()) < slots
+    return rows.repartition(slots, *key) if small else rows
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ dishes, the other replaces a city's trends when a 14-day window closes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,6 +20,15 @@ from ..sources.sinks import replace_partitions, replace_trends
 LATENESS = "1 day"
 CITY_LIMIT = 10_000
 
+# Stored dishes are rewritten per city, so they are brought up to date once a
+# day, like the windows slide; reading and summing goes on every second.
+DISHES_EVERY = "1 day"
+TRENDS_EVERY = "1 second"
+QUARANTINE_EVERY = "1 minute"
+
+# Window state grows with dishes and days, so it is kept on disk, not on the heap.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def ratings_of(messages: DataFrame) -> DataFrame:
     """Valid ratings of a message stream ``(value, ts, ...)``."""
@@ -41,10 +50,18 @@ def trending_windows(messages: DataFrame, lateness: str = LATENESS) -> DataFrame
     return windows_of_days(daily_ratings(timed.withWatermark("ts", lateness)))
 
 
-def _start(rows: DataFrame, checkpoint: str, mode: str, available_now: bool, step) -> StreamingQuery:
-    trigger = {"availableNow": True} if available_now else {"processingTime": "1 second"}
-    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-    return writer.trigger(**trigger).foreachBatch(step).start()
+def use_disk_state(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def _trigger(available_now: bool, every: str) -> dict:
+    return {"availableNow": True} if available_now else {"processingTime": every}
+
+
+def _start(rows: DataFrame, checkpoint: str, available_now: bool, every: str, step) -> StreamingQuery:
+    writer = rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    return writer.trigger(**_trigger(available_now, every)).foreachBatch(step).start()
 
 
 def apply_delta(delta: DataFrame, dishes_path: str, staged_path: str) -> None:
@@ -69,7 +86,9 @@ def apply_delta(delta: DataFrame, dishes_path: str, staged_path: str) -> None:
     )
 
 
-def start_dishes(messages: DataFrame, dishes_path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def start_dishes(
+    messages: DataFrame, dishes_path: str, checkpoint: str, available_now: bool = False, every: str = DISHES_EVERY
+) -> StreamingQuery:
     """Add every new rating to the stored dishes."""
     staged = f"{checkpoint}/staged"
 
@@ -82,20 +101,25 @@ def start_dishes(messages: DataFrame, dishes_path: str, checkpoint: str, availab
         # A batch only starts after the one before was committed.
         delete_path(batch.sparkSession, f"{staged}/batch-{batch_id - 1}")
 
-    return _start(ratings_of(messages), checkpoint, "append", available_now, step)
+    return _start(ratings_of(messages), checkpoint, available_now, every, step)
 
 
-def start_trends(messages: DataFrame, trends_path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def start_trends(
+    messages: DataFrame, trends_path: str, checkpoint: str, available_now: bool = False, every: str = TRENDS_EVERY
+) -> StreamingQuery:
     """Replace a city's trends whenever windows with its ratings close."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         replace_trends(latest_trends(trending(batch)), trends_path)
 
-    return _start(trending_windows(messages), checkpoint, "append", available_now, step)
+    use_disk_state(messages.sparkSession)
+    return _start(trending_windows(messages), checkpoint, available_now, every, step)
 
 
-def start_quarantine(messages: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def start_quarantine(
+    messages: DataFrame, path: str, checkpoint: str, available_now: bool = False, every: str = QUARANTINE_EVERY
+) -> StreamingQuery:
     """Append malformed messages to ``path``."""
-    trigger = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
     writer = malformed(messages).writeStream.format("parquet").outputMode("append")
-    return writer.option("checkpointLocation", checkpoint).option("path", path).trigger(**trigger).start()
+    writer = writer.option("checkpointLocation", checkpoint).option("path", path)
+    return writer.trigger(**_trigger(available_now, every)).start()

@@ -36,6 +36,10 @@ def test_rating_has_one_decimal_half_up(spark):
     assert got == ["5.0", "4.3", "3.7", "4.0", "3.9"]
 
 
+def test_round_at(spark):
+    assert values(spark, fn.round_at(F.col("x"), 2), [(3.14159,), (2.5,), (1.125,)], "x double") == [3.14, 2.5, 1.13]
+
+
 def test_city_key_is_the_same_for_storing_and_looking_up(spark):
     data = [("Las Vegas", "NV"), ("Munhall", "PA")]
     stored = values(spark, fn.citystate_key(F.col("c"), F.col("s")), data, "c string, s string")
@@ -135,3 +139,11 @@ def test_snippet(spark, half, term):
     texts += [t[:k] + term + t[k:] for t in texts for k in (0, 10, 30, len(t))]
     got = values(spark, fn.snippet(F.col("t"), F.lit(term), half), [(t,) for t in texts], "t string")
     assert got == [snippet(t, term, half) for t in texts]
+
+
+def test_forms_are_the_words_with_a_wanted_lemma(spark):
+    irregular = {"was": "be", "mice": "mouse", "tacos": "dish", "bees": "bee"}
+    terms = {"be", "taco", "glass", "mouse", "bus", "egg", "eggs", "bee"}
+    words = sorted({w + s for w in terms | set(irregular) | {"an", "cat"} for s in ("", "s", "ss")})
+    lemmas = values(spark, fn.lemma_of(F.col("w"), irregular), [(w,) for w in words], "w string")
+    assert fn.forms_of(terms, irregular) == [w for w, lemma in zip(words, lemmas) if lemma in terms]
