@@ -243,7 +243,8 @@ SELECT citystate, category AS term, b.item AS dish FROM (
     "dishes_by_city_dish": f"""
 SELECT * FROM dishes WHERE citystate = '{registry.SHOWN_CITYSTATE}' AND dish = '{registry.SHOWN_DISH}'""",
     "dishes_by_business": f"""
-SELECT * FROM dishes WHERE citystate = '{registry.SHOWN_CITYSTATE}' AND businessid = '{registry.SHOWN_BUSINESS}'""",
+SELECT * FROM dishes WHERE citystate = '{registry.SHOWN_CITYSTATE}'
+  AND businessid = (SELECT min(businessid) FROM dishes WHERE citystate = '{registry.SHOWN_CITYSTATE}')""",
     "stage_roundtrip": "SELECT * FROM scores",
     "completions_parse": "SELECT type, value FROM completion",
     "completions_by_type": """

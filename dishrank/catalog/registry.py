@@ -28,7 +28,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 SHOWN_CITY = "NATION 15, AF"
 SHOWN_CITYSTATE = "NATION15AF"
 SHOWN_DISH = "blue bolt"
-SHOWN_BUSINESS = "0"
 TEXT_TERM = "the"
 SAMPLE_FRACTION = 0.1
 
@@ -197,7 +196,10 @@ def dishes_by_city_dish(t: Tables) -> DataFrame:
 
 @query
 def dishes_by_business(t: Tables) -> DataFrame:
-    return stored_table(t).where((F.col("citystate") == SHOWN_CITYSTATE) & (F.col("businessid") == SHOWN_BUSINESS))
+    """The dishes of the first business of a city."""
+    city = stored_table(t).where(F.col("citystate") == SHOWN_CITYSTATE)
+    first = city.agg(F.min("businessid")).first()[0]
+    return city.where(F.col("businessid") == first)
 
 
 @query

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+WHOLE_NUMBER = r"^[+-]?[0-9]+$"
+
 
 def rating_fields(parts: Column) -> dict[str, Column]:
     """Fields of a message split at its commas.
 
     The text ends at its first comma; no fifth field gives an empty text.
-    ``valid`` is false for fewer than four fields or a score that is no number.
+    ``valid`` is false for fewer than four fields or a score that is no whole number.
     """
-    score = F.get(parts, F.lit(3)).try_cast("int")
+    # A plain cast would also take " 4" and, in some modes, "4.5".
+    written = F.get(parts, F.lit(3))
+    score = F.when(written.rlike(WHOLE_NUMBER), written.try_cast("int"))
     return {
         "dish": F.get(parts, F.lit(0)),
         "businessid": F.get(parts, F.lit(1)),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def _laid_out(rows: DataFrame, partition: str, sort: Sequence[str]) -> DataFrame:
@@ -49,6 +50,11 @@ def stage_roundtrip(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def json_to_parquet(spark: SparkSession, source: str, target: str, schema: StructType) -> None:
+    """Turn JSON lines into parquet once, so later jobs read only the columns they need."""
+    spark.read.schema(schema).json(source).write.mode("overwrite").parquet(target)
+
+
 def write_business_json(business: DataFrame, path: str) -> None:
     business.write.mode("overwrite").json(path)
 

@@ -11,6 +11,11 @@ MESSAGES = [
     ("taco,b1,AustinTX,4,great", True, "great"),
     ("taco,b1,AustinTX,4,great, really", True, "great"),
     ("taco,b1,AustinTX,four,great", False, None),
+    ("taco,b1,AustinTX,4.0,great", False, None),
+    ("taco,b1,AustinTX, 4,great", False, None),
+    ("taco,b1,AustinTX,,great", False, None),
+    ("taco,b1,AustinTX,4,", True, ""),
+    ("taco,b1,AustinTX,99999999999,great", False, None),
     ("", False, None),
 ]
 
@@ -24,7 +29,7 @@ def test_message_fields(spark):
             assert (got[i].dish, got[i].businessid, got[i].citystate, got[i].score) == ("taco", "b1", "AustinTX", 4)
             assert got[i].promotext == text
     good, bad = rat.split_valid(frame)
-    assert good.count() == 3 and bad.count() == 3 and bad.columns == frame.columns
+    assert good.count() == 4 and bad.count() == len(MESSAGES) - 4 and bad.columns == frame.columns
 
 
 def test_encoding_is_undone_by_parsing(spark, rows):

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from dishrank import schemas
 from dishrank.operators.ranking import top_k
 from dishrank.operators.sampling import sample_by_key
 from dishrank.plans import harvest, serving
@@ -185,4 +186,6 @@ def test_readers(spark, rows, tmp_path):
         str(tmp_path / "reviews")
     )
     assert rows(readers.read_reviews(spark, str(tmp_path / "reviews"))) == [("b", "text", "2024-01-01")]
+    sinks.json_to_parquet(spark, str(tmp_path / "business.json"), str(tmp_path / "business"), schemas.BUSINESS)
+    assert spark.read.parquet(str(tmp_path / "business")).columns == schemas.BUSINESS.names
     assert readers.kafka_options("host:1", "newreview", max_offsets=10)["maxOffsetsPerTrigger"] == "10"
