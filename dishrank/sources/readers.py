@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..operators.dictionary import parse_dictionary
@@ -28,12 +29,17 @@ def spread_small(rows: DataFrame, *key: str) -> DataFrame:
     return rows.repartition(slots, *key) if small else rows
 
 
-def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    return spread_small(spark.read.schema(schemas.REVIEW).parquet(path))
+def _with_key(schema: StructType, key: str) -> StructType:
+    return StructType(schema.fields + StructType.fromDDL(key).fields) if key else schema
 
 
-def read_tips(spark: SparkSession, path: str) -> DataFrame:
-    return spread_small(spark.read.schema(schemas.TIP).parquet(path))
+def read_reviews(spark: SparkSession, path: str, key: str = "") -> DataFrame:
+    """Reviews; ``key`` declares further columns that identify one, as ``"review_id string"``."""
+    return spread_small(spark.read.schema(_with_key(schemas.REVIEW, key)).parquet(path))
+
+
+def read_tips(spark: SparkSession, path: str, key: str = "") -> DataFrame:
+    return spread_small(spark.read.schema(_with_key(schemas.TIP, key)).parquet(path))
 
 
 def read_businesses(spark: SparkSession, path: str) -> DataFrame:

@@ -186,6 +186,7 @@ def test_readers(spark, rows, tmp_path):
         str(tmp_path / "reviews")
     )
     assert rows(readers.read_reviews(spark, str(tmp_path / "reviews"))) == [("b", "text", "2024-01-01")]
+    assert rows(readers.read_tips(spark, str(tmp_path / "reviews"), "votes int")) == [("b", "text", "2024-01-01", 5)]
     sinks.json_to_parquet(spark, str(tmp_path / "business.json"), str(tmp_path / "business"), schemas.BUSINESS)
     assert spark.read.parquet(str(tmp_path / "business")).columns == schemas.BUSINESS.names
     assert readers.kafka_options("host:1", "newreview", max_offsets=10)["maxOffsetsPerTrigger"] == "10"
