@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring_dedup
+from . import bpe, packing, substring_dedup
 from .staging import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +67,26 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of each document once windows of smaller documents are removed."""
     rows = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the bytes decoded from them."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = table(spark, sf_dir, "documents").select(
+        "doc_id", bpe.encode_column(F.col("text"), ranks, public_tokenizers.PATTERN).alias("ids")
+    )
+    decoded = ids.select("*", bpe.decode_column(F.col("ids"), ranks, public_tokenizers.PATTERN).alias("decoded"))
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces and their places in sequences of 2048 tokens."""
+    return packing.pack(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
