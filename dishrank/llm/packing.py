@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -37,39 +38,74 @@ ROUNDS = 200
 # Pieces numbered together.
 NUMBERED_TOGETHER = 20_000
 
-WORD_MEMO = 400_000
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+# Entries of the memos of one Python worker; beyond them work is repeated, not lost.
+RUN_MEMO = 300_000
+WORD_MEMO = 300_000
+_ODD_SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
+# White space of Unicode; unlike str.split it leaves out 0x1c to 0x1f.
 _SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
+_MARKS = ".,!?;:"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Letter that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class WordTokenizer:
-    """Ids of a tokenizer that never joins text across white space, word by word."""
+    """Ids of a lower-casing byte-level tokenizer that never joins text across white space.
+
+    Each run of text without white space is looked up in a memo. Runs of Latin-1
+    texts are stable under the tokenizer's normal form and need no pattern when they
+    are letters, with marks behind them or not: their letters go to the tokenizer's
+    model directly. All others go through the tokenizer as a whole.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """Ids of each text as the bytes of unsigned 32-bit integers."""
-        known, split = self.known, [
-            (_SPACE.split(x) if _ODD_SPACE.search(x) else x.split()) for x in texts
-        ]
-        new = list({w for words in split for w in words if w not in known})
-        found = {}
-        for at in range(0, len(new), 2000):
-            part = new[at:at + 2000]
-            for word, ids in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                found[word] = np.array(ids.ids, dtype="<u4").tobytes()
-        out = []
-        for words in split:
-            ids = [known.get(w) for w in words]
-            if None in ids:
-                ids = [found[w] if i is None else i for w, i in zip(words, ids)]
-            out.append(b"".join(ids))
-        if len(known) < WORD_MEMO:
-            known.update(found)
-        return out
+        self.words: dict[str, bytes] = {}
+
+    def _letters(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            text = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+            if len(self.words) < WORD_MEMO:
+                self.words[word] = ids
+        return ids
+
+    def _whole(self, run: str) -> bytes:
+        return array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
+
+    def _latin(self, run: str) -> bytes:
+        word = run.rstrip(_MARKS)
+        if not word.isalpha():
+            return self._whole(run)
+        marks = run[len(word):]
+        return self._letters(word) + self._letters(marks) if marks else self._letters(word)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as the bytes of unsigned 32-bit integers."""
+        try:
+            text.encode("latin-1")
+            text, single = text.lower(), self._latin
+        except UnicodeEncodeError:
+            single = self._whole
+        known, out = self.known, []
+        for run in _SPACE.split(text) if _ODD_SPACE.search(text) else text.split():
+            ids = known.get(run)
+            if ids is None:
+                ids = single(run)
+                if len(known) < RUN_MEMO:
+                    known[run] = ids
+            out.append(ids)
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -85,8 +121,8 @@ def pieces_column(text: Column, path: str, capacity: int = CAPACITY, end_id: int
         own, end = word_tokenizer(path), np.array([end_id], dtype="<u4").tobytes()
         counts, lengths, sums = [0], [], []
         for at in range(0, len(texts), 500):
-            for ids in own.encode([x or "" for x in texts.slice(at, 500).to_pylist()]):
-                ids += end
+            for one in texts.slice(at, 500).to_pylist():
+                ids = own.encode(one or "") + end
                 for begin in range(0, len(ids), 4 * capacity):
                     part = ids[begin:begin + 4 * capacity]
                     lengths.append(len(part) // 4)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, substring_dedup
+from . import bpe, language_id, packing, pii, substring_dedup, toxicity, warc
 from .staging import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,46 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
     )
+
+
+@query()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents not held out."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the personal data in every document."""
+    found = table(spark, sf_dir, "documents").select("doc_id", pii.spans_column(F.col("text")).alias("s"))
+
+    def of(*kinds: str):
+        return F.filter("s", lambda s: s["kind"].isin(list(kinds)))
+
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.joined_spans(of(*pii.BASE_KINDS)), 256).alias("base_sha256"),
+        pii.joined_spans(F.col("s")).alias("spans"),
+    )
+
+
+@query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels not held out."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("""
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html FROM pages
+), f AS (
+    SELECT html, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY html
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (html)
+""")
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives, found in their index and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
