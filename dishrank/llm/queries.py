@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing, pii, substring_dedup, toxicity, warc
+from . import bpe, jaccard_join, language_id, packing, pii, substring_dedup, toxicity, warc
 from .staging import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,3 +133,30 @@ FROM p LEFT JOIN f USING (html)
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives, found in their index and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query(rf"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, list_aggregate(w[p:p + 4], 'string_agg', ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM w WHERE len(w) > 0)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), links AS (
+    SELECT x.doc_id AS a, y.doc_id AS b
+    FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id
+    JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+    GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(nx.n) + any_value(ny.n) - count(*))
+), reach AS (
+    WITH RECURSIVE r(doc_id, c) AS (
+        SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, links.b FROM r JOIN links ON links.a = r.c
+    ) SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id)
+""")
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingle count and the smallest document that links reach."""
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
