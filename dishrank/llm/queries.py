@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, packing, pii, substring_dedup, toxicity, warc
+from . import ann, bpe, exact_search, jaccard_join, language_id, packing, pii, substring_dedup, toxicity, warc
 from .staging import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,3 +160,25 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id)
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shingle count and the smallest document that links reach."""
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+""")
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest integer inner products of every hundredth vector."""
+    return exact_search.exact_top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+@query()
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty neighbours of every twentieth vector, found in the graph index."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
