@@ -135,7 +135,7 @@ def _pair_keys(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return mix(hashes + mix(ids.view(np.uint64) ^ _ID_SALT))
 
 
-def _cut(width: int):
+def _cut(width: int, untouched: bool):
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.table({
@@ -160,11 +160,15 @@ def _cut(width: int):
                 cover += np.bincount(hit, minlength=len(cover)) - np.bincount(hit + width, minlength=len(cover))
             keep = np.cumsum(cover)[:-1] == 0
             removed = np.bincount(words.text_of[~keep], minlength=piece.num_rows)[:piece.num_rows]
+            kept = kept_texts(words, keep, piece.num_rows)
+            if untouched:
+                whole = pa.compute.fill_null(piece.column("text"), "")
+                kept = pa.compute.if_else(pa.array(removed == 0), whole, kept)
             out.append(pa.table({
                 "id": piece.column("id"),
                 "n_words": pa.array(words.per_text, pa.int64()),
                 "n_removed": pa.array(removed, pa.int64()),
-                "kept_text": kept_texts(words, keep, piece.num_rows),
+                "kept_text": kept,
                 "kept": piece.column("kept"),
             }))
         return pa.concat_tables(out)
@@ -181,12 +185,14 @@ def repeated_windows(docs: DataFrame, width: int, parts: int, buckets: int) -> D
 
 
 def remove_repeated(
-    df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, keep: Sequence[str] = ()
+    df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, keep: Sequence[str] = (),
+    untouched: bool = False,
 ) -> DataFrame:
     """Each document without the words of windows that a smaller id holds too.
 
     Returns ``id``, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by
-    one space) and the columns named in ``keep``, one row per input row.
+    one space) and the columns named in ``keep``, one row per input row. With
+    ``untouched`` a text that loses nothing stays as it is, white space included.
     """
     spark = ready(df.sparkSession)
     docs = with_kept(df, keep, id=id, text=text).withColumn("id", F.col("id").cast("long"))
@@ -199,7 +205,7 @@ def remove_repeated(
         T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()),
         T.StructField("kept", docs.schema["kept"].dataType),
     ])
-    result = placed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_cut(width), schema)
+    result = placed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_cut(width, untouched), schema)
     return result.select(
         F.col("id").alias(id), "n_words", "n_removed", "kept_text", *[F.col(f"kept.`{c}`") for c in keep if c != id]
     )
