@@ -31,6 +31,34 @@ def _clip(sentence: str, term: str) -> str:
       ELSE {sentence} END"""
 
 
+def _singular(form: str) -> str:
+    return f"""CASE WHEN length({form}) <= 3 THEN {form}
+      WHEN length({form}) > 4 AND suffix({form}, 'ies') THEN left({form}, length({form}) - 3) || 'y'
+      WHEN regexp_matches({form}, '(s|x|z|ch|sh)es$') THEN left({form}, length({form}) - 2)
+      WHEN suffix({form}, 's') AND NOT regexp_matches({form}, '[sui]s$') THEN left({form}, length({form}) - 1)
+      ELSE {form} END"""
+
+
+def _hits(dictionary: str) -> str:
+    """Tokens that name an item of one word: the word itself, its listed lemma, or its singular."""
+    return f"""
+SELECT review_id, sentence_pos, token_pos, dish, {_clip('sentence', 'dish')} AS promo_text
+FROM word JOIN (
+  SELECT form, dish FROM (
+    SELECT f.form, i.item AS dish, rank FROM (
+      SELECT form, form AS word, 0 AS rank FROM (SELECT DISTINCT form FROM word)
+      UNION ALL SELECT form, lemma, 1 FROM lemma
+      UNION ALL SELECT form, single, CASE WHEN single = {_singular('form')} THEN 2 ELSE 3 END FROM (
+        SELECT form, unnest([
+          CASE WHEN regexp_matches(form, '[^s]s$') THEN left(form, length(form) - 1) END,
+          CASE WHEN regexp_matches(form, '(s|x|z|ch|sh)es$') THEN left(form, length(form) - 2) END,
+          CASE WHEN regexp_matches(form, '[^aeiou]ies$') THEN left(form, length(form) - 3) || 'y' END]) AS single
+        FROM (SELECT DISTINCT form FROM word) WHERE length(form) > 3 AND form NOT IN (SELECT form FROM lemma))
+    ) f JOIN (SELECT DISTINCT item FROM {dictionary}) i ON f.word = i.item
+  ) QUALIFY row_number() OVER (PARTITION BY form ORDER BY rank, dish) = 1
+) USING (form)"""
+
+
 def _score(total: str) -> str:
     return f"CAST(greatest(0, least(4, 2 + {total})) + 1 AS INT)"
 
@@ -159,19 +187,38 @@ SELECT review_id, list_transform(list_filter(list_transform(string_split({_MARKE
     "word": f"""
 SELECT review_id, sentence_pos, CAST(i - 1 AS INT) AS token_pos, ws[i] AS form, sentence FROM (
   SELECT *, unnest(generate_series(1, len(ws))) AS i FROM (SELECT *, {_words('sentence')} AS ws FROM sentence))""",
-    "token": """
-SELECT w.*, coalesce(l.lemma, CASE WHEN length(w.form) > 3 AND w.form LIKE '%s' AND w.form NOT LIKE '%ss'
-  THEN left(w.form, length(w.form) - 1) ELSE w.form END) AS lemma
-FROM word w LEFT JOIN lemma l USING (form)""",
-    "hit": f"""
-SELECT review_id, sentence_pos, token_pos, lemma AS dish, {_clip('sentence', 'lemma')} AS promo_text
-FROM token WHERE lemma IN (SELECT item FROM text_dictionary)""",
+    "token": f"""
+SELECT w.*, coalesce(l.lemma, {_singular('w.form')}) AS lemma FROM word w LEFT JOIN lemma l USING (form)""",
+    "hit": _hits("text_dictionary"),
     "hit_total": f"""
 SELECT review_id, sentence_pos, token_pos, CAST(sum(polarity) AS INT) AS total
 FROM (SELECT *, unnest({_words('promo_text')}) AS w FROM hit) JOIN lexicon ON w = lexicon.word GROUP BY ALL""",
     "hit_score": f"""
 SELECT h.*, {_score('coalesce(total, 0)')} AS score FROM hit h
 LEFT JOIN hit_total USING (review_id, sentence_pos, token_pos)""",
+    "word_dictionary": "SELECT DISTINCT form AS item FROM word WHERE length(form) >= 7",
+    "pair_dictionary": """
+SELECT DISTINCT a.form || ' ' || b.form AS item, a.form AS w1, b.form AS w2 FROM word a
+JOIN word b ON a.review_id = b.review_id AND a.sentence_pos = b.sentence_pos AND a.token_pos = 0 AND b.token_pos = 1""",
+    "pair_form": f"""
+SELECT form, word FROM (
+  SELECT f.form, v.word, rank FROM (
+    SELECT form, form AS word, 0 AS rank FROM (SELECT DISTINCT form FROM word)
+    UNION ALL SELECT form, lemma, 1 FROM lemma
+    UNION ALL SELECT form, single, CASE WHEN single = {_singular('form')} THEN 2 ELSE 3 END FROM (
+      SELECT form, unnest([
+        CASE WHEN regexp_matches(form, '[^s]s$') THEN left(form, length(form) - 1) END,
+        CASE WHEN regexp_matches(form, '(s|x|z|ch|sh)es$') THEN left(form, length(form) - 2) END,
+        CASE WHEN regexp_matches(form, '[^aeiou]ies$') THEN left(form, length(form) - 3) || 'y' END]) AS single
+      FROM (SELECT DISTINCT form FROM word) WHERE length(form) > 3 AND form NOT IN (SELECT form FROM lemma))
+  ) f JOIN (SELECT w1 AS word FROM pair_dictionary UNION SELECT w2 FROM pair_dictionary) v ON f.word = v.word
+) QUALIFY row_number() OVER (PARTITION BY form ORDER BY rank, word) = 1""",
+    "pair_token": """
+SELECT review_id, sentence_pos, token_pos, sentence, pair_form.word AS w1,
+  CASE WHEN lead(token_pos) OVER spot = token_pos + 1 THEN lead(pair_form.word) OVER spot END AS w2
+FROM word JOIN pair_form USING (form)
+WINDOW spot AS (PARTITION BY review_id, sentence_pos ORDER BY token_pos)""",
+    "pair_hit": "SELECT review_id, sentence_pos, token_pos, sentence, item AS dish FROM pair_token JOIN pair_dictionary USING (w1, w2)",
     "last_hit": "SELECT * FROM hit_score QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY sentence_pos DESC, token_pos DESC) = 1",
 }
 
@@ -284,6 +331,16 @@ SELECT review_id, any_value(sentence) AS sentence, {_score('coalesce(CAST(sum(po
 FROM (SELECT * FROM sentence QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY length(sentence) DESC, sentence_pos) = 1)
 LEFT JOIN (SELECT review_id, sentence_pos, polarity FROM word JOIN lexicon ON form = lexicon.word) USING (review_id, sentence_pos)
 GROUP BY review_id""",
+    "mentions_large_dictionary": f"SELECT DISTINCT review_id, sentence_pos, dish FROM ({_hits('word_dictionary')})",
+    "mentions_ngram": f"""
+SELECT review_id, sentence_pos, dish, {_clip('sentence', 'dish')} AS promo_text
+FROM pair_hit QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY sentence_pos DESC, token_pos DESC) = 1""",
+    "sentiment_large_lexicon": f"""
+SELECT review_id, sentence_pos, {_score('coalesce(CAST(sum(polarity) AS INT), 0)')} AS score
+FROM sentence LEFT JOIN (SELECT review_id, sentence_pos, polarity FROM word JOIN (
+  SELECT form, length(form) % 5 - 2 + CASE WHEN length(form) >= 9 THEN 1 ELSE 0 END AS polarity
+  FROM (SELECT DISTINCT form FROM word)) USING (form))
+USING (review_id, sentence_pos) GROUP BY review_id, sentence_pos""",
     "text_contains": f"SELECT review_id, business_id FROM review WHERE contains(text, '{registry.TEXT_TERM}')",
     "sample_rows": f"""
 SELECT review_id, business_id, date FROM review

@@ -198,8 +198,7 @@ def dishes_by_city_dish(t: Tables) -> DataFrame:
 def dishes_by_business(t: Tables) -> DataFrame:
     """The dishes of the first business of a city."""
     city = stored_table(t).where(F.col("citystate") == SHOWN_CITYSTATE)
-    first = city.agg(F.min("businessid")).first()[0]
-    return city.where(F.col("businessid") == first)
+    return city.join(city.agg(F.min("businessid").alias("businessid")), "businessid", "left_semi")
 
 
 @query
@@ -273,8 +272,8 @@ def list_cities(t: Tables) -> DataFrame:
 def promo_snippet(t: Tables) -> DataFrame:
     return t.mentions().select(
         "business_id", "promo_text",
-        fn.snippet(F.col("promo_text"), F.col("dish"), 23).alias("in_list"),
-        fn.snippet(F.concat(F.lit("they say the "), "promo_text", F.lit(" is good")), F.col("dish"), 18).alias("in_search"),
+        fn.snippet(F.col("promo_text"), F.col("dish"), fn.SNIPPET_LIST).alias("in_list"),
+        fn.snippet(F.concat(F.lit("they say the "), "promo_text", F.lit(" is good")), F.col("dish"), fn.SNIPPET_SEARCH).alias("in_search"),
     )
 
 
@@ -304,11 +303,12 @@ def clip_sentence(t: Tables) -> DataFrame:
 @query
 def term_mentions(t: Tables) -> DataFrame:
     rows = men.token_rows(men.sentence_rows(t.reviews()), t.lemma_table())
-    return men.mention_rows(rows, t.text_dictionary()).select("review_id", "sentence_pos", "token_pos", "dish")
+    found = men.mention_rows(rows, t.text_dictionary(), t.lemma_table())
+    return found.select("review_id", "sentence_pos", "token_pos", "dish")
 
 
 def _found(t: Tables, policy: str) -> DataFrame:
-    return men.find_mentions(t.reviews(), t.text_dictionary(), t.lemma_table(), ["review_id"], policy)
+    return men.find_mentions(t.reviews(), t.text_dictionary(), t.lemma_table(), policy)
 
 
 @query
@@ -324,19 +324,40 @@ def first_mention(t: Tables) -> DataFrame:
 @query
 def mentions_scored(t: Tables) -> DataFrame:
     """Every item of every review, each with the score of its sentence."""
-    scored = score_sentences(_found(t, "all"), "promo_text", t.lexicon(), ["review_id", "sentence_pos", "dish"])
+    scored = score_sentences(_found(t, "all"), "promo_text", t.lexicon())
     return scored.select("review_id", "sentence_pos", "dish", "score")
 
 
+@query
+def mentions_large_dictionary(t: Tables) -> DataFrame:
+    """Every item of every review, with all longer words of the documents as dictionary."""
+    found = men.find_mentions(t.reviews(), t.word_dictionary(), t.lemma_table(), "all")
+    return found.select("review_id", "sentence_pos", "dish")
+
+
+@query
+def mentions_ngram(t: Tables) -> DataFrame:
+    """Last item of each review, with the two-word beginnings of sentences as dictionary."""
+    found = men.find_mentions(t.reviews(), t.pair_dictionary(), t.lemma_table(), "last", max_ngram=2)
+    return found.select("review_id", "sentence_pos", "dish", "promo_text")
+
+
+@query
+def sentiment_large_lexicon(t: Tables) -> DataFrame:
+    """Score of every sentence, with a polarity for every word of the documents."""
+    rows = score_sentences(men.sentence_rows(t.reviews()), "sentence", t.word_lexicon())
+    return rows.select("review_id", "sentence_pos", "score")
+
+
 @query
 def sentence_sentiment(t: Tables) -> DataFrame:
-    rows = score_sentences(men.sentence_rows(t.reviews()), "sentence", t.lexicon(), ["review_id", "sentence_pos"])
+    rows = score_sentences(men.sentence_rows(t.reviews()), "sentence", t.lexicon())
     return rows.select("review_id", "sentence_pos", "score")
 
 
 @query
 def longest_sentence_sentiment(t: Tables) -> DataFrame:
-    rows = score_sentences(longest_sentences(t.reviews()), "sentence", t.lexicon(), ["review_id"])
+    rows = score_sentences(longest_sentences(t.reviews()), "sentence", t.lexicon())
     return rows.select("review_id", "sentence", "score")
 
 
@@ -398,7 +419,7 @@ def category_filter(t: Tables) -> DataFrame:
 def build_dish_ratings(t: Tables) -> DataFrame:
     """The batch job: documents as reviews and conversation turns as tips."""
     rows = build.dish_ratings(
-        t.reviews(), t.tips(), t.business(), t.text_dictionary(), t.lemma_table(), t.lexicon(), ["review_id"]
+        t.reviews(), t.tips(), t.business(), t.text_dictionary(), t.lemma_table(), t.lexicon()
     )
     return dishes_view(rows)
 

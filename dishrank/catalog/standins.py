@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import sentences_of, words_of
 from ..sources.readers import spread_small
 
 TEXT_DICTIONARY = [
@@ -138,6 +139,29 @@ class Tables:
             F.to_json(F.struct(F.array(wanted, other).alias("result_list"))).alias("value")
         )
 
+    def _words(self) -> DataFrame:
+        """Distinct words of the documents."""
+        sentences = F.transform(sentences_of(F.col("text")), words_of)
+        return self.reviews().select(F.explode(F.array_distinct(F.flatten(sentences))).alias("word")).distinct()
+
+    def word_dictionary(self) -> DataFrame:
+        """Every word of seven letters or more as an item, by its first letter."""
+        long = self._words().where(F.length("word") >= 7)
+        return long.select(F.substring("word", 1, 1).alias("category"), F.col("word").alias("item"))
+
+    def pair_dictionary(self) -> DataFrame:
+        """The first two words of every sentence as an item."""
+        words = F.transform(sentences_of(F.col("text")), words_of)
+        first = F.transform(F.filter(words, lambda w: F.size(w) >= 2), lambda w: F.array_join(F.slice(w, 1, 2), " "))
+        items = self.reviews().select(F.explode(F.array_distinct(first)).alias("item")).distinct()
+        return items.select(F.substring("item", 1, 1).alias("category"), "item")
+
+    def word_lexicon(self) -> DataFrame:
+        """A polarity from -2 to 2 for every word, and one more for long words."""
+        words = self._words()
+        every = words.select("word", (F.length("word") % 5 - 2).alias("polarity"))
+        return every.union(words.where(F.length("word") >= 9).select("word", F.lit(1)))
+
     def text_dictionary(self) -> DataFrame:
         return self.inline(TEXT_DICTIONARY, ["category", "item"])
 

@@ -2,12 +2,13 @@
 
 from .keys import city_label, citystate_key, clean_address, normalise_city
 from .messages import rating_fields, rating_key, rating_value
-from .text import clip_sentence, forms_of, lemma_of, lemmas_of, plural_strip, sentences_of, snippet, words_of
+from .text import (
+    SNIPPET_LIST, SNIPPET_SEARCH, bound, clip_sentence, plurals, sentences_of, singular, snippet, text_key, words_of,
+)
 from .weights import confidence_weight, format_rating, round_at, trending_score, trending_weight
 
 __all__ = [
-    "city_label", "citystate_key", "clean_address", "clip_sentence", "confidence_weight",
-    "format_rating", "forms_of", "lemma_of", "lemmas_of", "normalise_city", "plural_strip", "rating_fields",
-    "rating_key", "rating_value", "round_at", "sentences_of", "snippet", "trending_score",
-    "trending_weight", "words_of",
+    "SNIPPET_LIST", "SNIPPET_SEARCH", "bound", "city_label", "citystate_key", "clean_address", "clip_sentence",
+    "confidence_weight", "format_rating", "normalise_city", "plurals", "rating_fields", "rating_key", "rating_value",
+    "round_at", "sentences_of", "singular", "snippet", "text_key", "trending_score", "trending_weight", "words_of",
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHOLE_NUMBER = r"^[+-]?[0-9]+$"
+WHOLE_NUMBER = r"\A[+-]?[0-9]+\z"
 
 
 def rating_fields(parts: Column) -> dict[str, Column]:

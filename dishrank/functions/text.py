@@ -6,8 +6,6 @@ Python worker, and a text of any length is processed whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,45 +37,45 @@ def sentences_of(text: Column) -> Column:
     return F.transform(kept, lambda s: F.regexp_replace(s, NON_PRINTABLE, ""))
 
 
-def raw_words_of(sentence: Column) -> Column:
-    """Lower-case words; the first and last entry may be empty."""
-    return F.split(F.lower(sentence), WORD_BREAK)
-
-
 def words_of(sentence: Column) -> Column:
     """Array of lower-case words."""
-    return F.filter(raw_words_of(sentence), lambda w: w != "")
+    return F.filter(F.split(F.lower(sentence), WORD_BREAK), lambda w: w != "")
 
 
-def plural_strip(word: Column) -> Column:
-    """Lemma of a word without an entry in the lemma table."""
-    plural = (F.length(word) > 3) & F.endswith(word, F.lit("s")) & ~F.endswith(word, F.lit("ss"))
-    return F.when(plural, F.substr(word, F.lit(1), F.length(word) - 1)).otherwise(word)
+def singular(word: Column) -> Column:
+    """Lemma of a word by the plural rules alone: -ies, -es after s x z ch sh, -s."""
+    length = F.length(word)
 
+    def cut(n: int) -> Column:
+        return F.substr(word, F.lit(1), length - n)
 
-def lemma_of(word: Column, irregular: Mapping[str, str]) -> Column:
-    """Lemma of a word: the irregular table first, then the plural rule."""
-    if not irregular:
-        return plural_strip(word)
-    table = F.create_map(*[F.lit(x) for pair in irregular.items() for x in pair])
-    # The hash lookup of isin spares regular words the map's linear search.
-    return F.when(word.isin(list(irregular)), F.element_at(table, word)).otherwise(plural_strip(word))
+    return (
+        F.when(length <= 3, word)
+        .when((length > 4) & word.endswith("ies"), F.concat(cut(3), F.lit("y")))
+        .when(word.rlike("(s|x|z|ch|sh)es$"), cut(2))
+        .when(word.rlike("[^sui]s$"), cut(1))
+        .otherwise(word)
+    )
 
 
-def lemmas_of(words: Column, irregular: Mapping[str, str]) -> Column:
-    return F.transform(words, lambda w: lemma_of(w, irregular))
+def plurals(word: Column) -> Column:
+    """Regular plurals of a word, of more than three letters."""
+    forms = F.array(
+        F.when(~word.endswith("s"), F.concat(word, F.lit("s"))),
+        F.when(word.rlike("(s|x|z|ch|sh)$"), F.concat(word, F.lit("es"))),
+        F.when(word.rlike("[^aeiou]y$"), F.concat(F.substr(word, F.lit(1), F.length(word) - 1), F.lit("ies"))),
+    )
+    return F.filter(forms, lambda f: f.isNotNull() & (F.length(f) > 3))
 
 
-def forms_of(terms: Iterable[str], irregular: Mapping[str, str]) -> list[str]:
-    """All words whose lemma is one of ``terms``."""
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def lemma(word: str) -> str:
-        plural = len(word) > 3 and word.endswith("s") and not word.endswith("ss")
-        return irregular.get(word, word[:-1] if plural else word)
 
-    wanted = set(terms)
-    candidates = wanted | {t + "s" for t in wanted} | set(irregular)
-    return sorted(c for c in candidates if lemma(c) in wanted)
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text as a key, so that the text itself need not move."""
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def _index(text: Column, term: Column) -> Column:

@@ -1,26 +1,23 @@
 """Finding dictionary items in review and tip texts.
 
-Two exact ways to the same result:
+One way for a dictionary of any size. The dictionary is turned into surface patterns,
+the words (and word sequences) of each text are joined to them, and the few that match
+go back to the text, which is then searched in its own row. Texts are known by a digest
+while that happens: reviews need no key, and equal texts are no trouble.
 
-* a dictionary of at most ``TERM_LIMIT`` items is compiled into the expression
-  and each text is searched within its own row, with no shuffle at all;
-* a larger one is joined to the exploded tokens and each review's mention is
-  picked by an aggregation on the review key.
+The pattern table is written first, so its size is known: Spark broadcasts it while it
+is small, and the words of the texts only shuffle when it is large.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import (
-    clip_sentence, forms_of, lemma_of, lemmas_of, plural_strip, raw_words_of, sentences_of, words_of,
-)
-from ..session import rows_within
+from ..functions.text import bound, clip_sentence, plurals, sentences_of, singular, text_key, words_of
+from ..session import work_path
+from ..sources.sinks import stage_roundtrip
 
-TERM_LIMIT = 20_000
 POLICIES = ("last", "first_sentence", "all")
 
 
@@ -30,142 +27,135 @@ def sentence_rows(reviews: DataFrame) -> DataFrame:
     return reviews.select(*kept, F.posexplode(sentences_of(F.col("text"))).alias("sentence_pos", "sentence"))
 
 
+def lemma_forms(lemma_table: DataFrame) -> DataFrame:
+    """One ``lemma`` per ``form``: the smallest of those listed."""
+    listed = lemma_table.where(F.col("form").isNotNull() & F.col("lemma").isNotNull())
+    return listed.groupBy("form").agg(F.min("lemma").alias("lemma"))
+
+
 def token_rows(sentences: DataFrame, lemma_table: DataFrame) -> DataFrame:
-    """One row per word of each sentence, with ``form`` and ``lemma``.
+    """One row per word of each sentence, with ``form`` and ``lemma``, without the sentence.
 
     The lemma table is small next to the tokens; Spark broadcasts it when its
     size allows and otherwise joins by shuffle, splitting frequent words.
     """
-    words = sentences.select("*", F.posexplode(words_of(F.col("sentence"))).alias("token_pos", "form"))
-    table = lemma_table.select("form", F.col("lemma").alias("table_lemma"))
-    return words.join(table, "form", "left").withColumn(
-        "lemma", F.coalesce("table_lemma", plural_strip(F.col("form")))
-    ).drop("table_lemma")
+    kept = [c for c in sentences.columns if c != "sentence"]
+    words = sentences.select(*kept, F.posexplode(words_of(F.col("sentence"))).alias("token_pos", "form"))
+    table = lemma_forms(lemma_table).withColumnRenamed("lemma", "listed")
+    return words.join(table, "form", "left").withColumn("lemma", F.coalesce("listed", singular(F.col("form")))).drop("listed")
 
 
-def mention_rows(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """All tokens whose lemma is a dictionary item, as ``dish``."""
-    terms = dictionary.select(F.col("item").alias("lemma")).distinct()
-    return tokens.join(terms, "lemma").withColumnRenamed("lemma", "dish")
+def word_forms(words: DataFrame, lemma_table: DataFrame) -> DataFrame:
+    """Which dictionary word each ``form`` stands for, from ``words(word)``.
+
+    A dictionary word stands for itself. Another form stands for its lemma if the lemma
+    table lists it, else for a word it is a regular plural of; of several, the one that
+    the plural rules give.
+    """
+    listed = lemma_forms(lemma_table)
+    own = words.select(F.col("word").alias("form"), F.lit(0).alias("rank"), "word")
+    irregular = listed.join(words, F.col("lemma") == F.col("word")).select("form", F.lit(1).alias("rank"), "word")
+    regular = words.select(F.explode(plurals(F.col("word"))).alias("form"), "word").join(listed, "form", "left_anti")
+    ruled = F.when(singular(F.col("form")) == F.col("word"), 2).otherwise(3)
+    every = own.union(irregular).union(regular.select("form", ruled.alias("rank"), "word"))
+    best = every.groupBy("form").agg(F.min(F.struct("rank", "word")).alias("best"))
+    return best.select("form", F.col("best.word").alias("word"))
 
 
-def _hits(sentence: Column, terms: Sequence[str], irregular: dict[str, str], max_ngram: int) -> Column:
-    """Words with a dictionary item as lemma, in the order they occur.
+def dictionary_patterns(dictionary: DataFrame, lemma_table: DataFrame, max_ngram: int = 1) -> DataFrame:
+    """``(pattern, dish)``: word sequences that name an item of at most ``max_ngram`` words.
 
-    With ``max_ngram`` above 1 these are word sequences already turned into
-    lemmas, a longer one after a shorter one at the same place.
+    Null items and items without a word are left out; a pattern of several items names
+    the smallest one.
     """
+    items = dictionary.where(F.col("item").isNotNull()).select("item").distinct()
+    items = items.withColumn("words", words_of(F.col("item"))).where(F.size("words").between(1, max_ngram))
+    places = items.select("item", F.posexplode("words").alias("place", "word"))
+    forms = word_forms(places.select("word").distinct(), lemma_table)
     if max_ngram == 1:
-        forms = forms_of(terms, irregular)
-        return F.filter(raw_words_of(sentence), lambda w: w.isin(forms))
-    terms, lemmas = list(terms), lemmas_of(words_of(sentence), irregular)
+        spelled = places.join(forms, "word").select(F.col("form").alias("pattern"), "item")
+    else:
+        each = places.join(forms, "word").groupBy("item", "place").agg(F.collect_list("form").alias("forms"))
+        ordered = each.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("place", "forms"))).alias("slots"))
+        # An item has few words and a word few forms, so the combinations are few.
+        joined = F.aggregate(
+            F.slice("slots", 2, max_ngram), F.element_at("slots", 1)["forms"],
+            lambda heads, slot: F.flatten(F.transform(
+                heads, lambda head: F.transform(slot["forms"], lambda form: F.concat_ws(" ", head, form))
+            )),
+        )
+        spelled = ordered.select("item", F.explode(joined).alias("pattern"))
+    return spelled.groupBy("pattern").agg(F.min("item").alias("dish"))
 
-    def at(start: Column) -> Column:
-        widths = F.sequence(F.lit(1), F.least(F.lit(max_ngram), F.size(lemmas) - start))
-        grams = F.transform(widths, lambda k: F.array_join(F.slice(lemmas, start + 1, k), " "))
-        return F.filter(grams, lambda g: g.isin(terms))
 
-    places = F.when(F.size(lemmas) > 0, F.sequence(F.lit(0), F.size(lemmas) - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.flatten(F.transform(places, at))
+def _grams_at(words: Column, max_ngram: int, take) -> Column:
+    """Per place of a sentence what ``take`` makes of its word sequences, short ones first."""
 
+    def sequences(words: Column) -> Column:
+        def at(word: Column, start: Column) -> Column:
+            widths = F.sequence(F.lit(1), F.least(F.lit(max_ngram), F.size(words) - start))
+            return F.transform(widths, lambda k: take(F.array_join(F.slice(words, start + 1, k), " ")))
 
-def _clipped(mentions: DataFrame) -> DataFrame:
-    return mentions.withColumn("promo_text", clip_sentence(F.col("sentence"), F.col("dish"))).drop("sentence")
+        return F.flatten(F.transform(words, at))
 
+    return bound(words, sequences)
 
-def find_in_rows(
-    reviews: DataFrame,
-    terms: Sequence[str],
-    irregular: dict[str, str],
-    policy: str = "last",
-    max_ngram: int = 1,
-) -> DataFrame:
-    """Mentions by searching each row's text for a bounded list of terms."""
-    kept = [c for c in reviews.columns if c != "text"]
-    found = F.filter(
-        F.transform(
-            sentences_of(F.col("text")),
-            lambda s, i: F.struct(
-                i.alias("sentence_pos"),
-                s.alias("sentence"),
-                _hits(s, terms, irregular, max_ngram).alias("hits"),
-            ),
-        ),
-        lambda s: F.size(s["hits"]) > 0,
-    )
-    if policy == "all":
-        picked = found
-    elif policy == "last":
-        picked = F.slice(found, -1, 1)
-    else:
-        picked = F.slice(found, 1, 1)
-    # The generator drops rows without a hit and keeps the search from being
-    # evaluated a second time in a pushed-down filter.
-    rows = reviews.select(*kept, F.explode(picked).alias("m"))
 
-    def dish_of(hit: Column) -> Column:
-        return lemma_of(hit, irregular) if max_ngram == 1 else hit
-
-    if policy == "all":
-        dish = F.explode(F.array_distinct(F.transform("m.hits", dish_of)))
-    else:
-        dish = dish_of(F.element_at("m.hits", -1))
-    return _clipped(rows.select(*kept, "m.sentence_pos", "m.sentence", dish.alias("dish")))
+def _sequences(words: Column, max_ngram: int, take=lambda gram: gram) -> Column:
+    return F.transform(words, take) if max_ngram == 1 else _grams_at(words, max_ngram, take)
 
 
-def find_by_join(
-    reviews: DataFrame,
-    dictionary: DataFrame,
-    lemma_table: DataFrame,
-    key: Sequence[str],
-    policy: str = "last",
-) -> DataFrame:
-    """Mentions for a dictionary of any size (single-word items).
+def matches_of_texts(keyed: DataFrame, patterns: DataFrame, max_ngram: int) -> DataFrame:
+    """``(text_key, matched)``: the map of patterns that a text holds to their items.
 
-    The partial aggregation runs before the shuffle on ``key`` and leaves at
-    most one row per review and task, whatever word is frequent.
+    Hits are combined per task before the shuffle; a map is as large as its text at most.
     """
-    kept = [c for c in reviews.columns if c != "text"]
-    hits = _clipped(mention_rows(token_rows(sentence_rows(reviews), lemma_table), dictionary))
-    if policy == "all":
-        return hits.select(*kept, "sentence_pos", "dish", "promo_text").dropDuplicates([*key, "sentence_pos", "dish"])
-    place = F.col("sentence_pos") if policy == "last" else -F.col("sentence_pos")
-    carried = [c for c in kept if c not in key]
-    best = F.max(
-        F.struct(place.alias("place"), "token_pos", "sentence_pos", "dish", "promo_text", *carried)
-    ).alias("m")
-    rows = hits.groupBy(*key).agg(best)
-    return rows.select(*[c if c in key else F.col(f"m.{c}") for c in kept], "m.sentence_pos", "m.dish", "m.promo_text")
+    sentences = F.transform(sentences_of(F.col("text")), lambda s: _sequences(words_of(s), max_ngram))
+    grams = keyed.select("text_key", F.explode(F.array_distinct(F.flatten(sentences))).alias("pattern"))
+    hits = grams.join(patterns, "pattern").groupBy("text_key").agg(F.collect_set(F.struct("pattern", "dish")).alias("hits"))
+    return hits.select("text_key", F.map_from_entries("hits").alias("matched"))
 
 
 def find_mentions(
-    reviews: DataFrame,
-    dictionary: DataFrame,
-    lemma_table: DataFrame,
-    key: Sequence[str],
-    policy: str = "last",
-    max_ngram: int = 1,
-    term_limit: int = TERM_LIMIT,
+    reviews: DataFrame, dictionary: DataFrame, lemma_table: DataFrame, policy: str = "last", max_ngram: int = 1
 ) -> DataFrame:
     """Mentions ``(..., sentence_pos, dish, promo_text)`` of dictionary items.
 
     ``promo_text`` is the item's sentence, a long one clipped around the item.
-    ``key`` names the columns that identify a review.
 
     ``policy``: ``last`` takes a review's last item, ``first_sentence`` the last
     item of its first sentence with one, ``all`` every item of every sentence
-    (once per sentence).
+    (once per sentence). Of items that begin at one word the longest is the last.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
-    terms = rows_within(dictionary.select("item"), term_limit)
-    irregular = rows_within(lemma_table.select("form", "lemma"), term_limit)
-    if terms is not None and irregular is not None:
-        return find_in_rows(
-            reviews, sorted({r.item for r in terms}), {r.form: r.lemma for r in irregular}, policy, max_ngram
-        )
-    if max_ngram > 1:
-        raise ValueError(f"items of several words need a dictionary of at most {term_limit} items")
-    return find_by_join(reviews, dictionary, lemma_table, key, policy)
+    kept = [c for c in reviews.columns if c != "text"]
+    patterns = dictionary_patterns(dictionary, lemma_table, max_ngram)
+    patterns = stage_roundtrip(patterns, work_path(reviews.sparkSession, "patterns"))
+    keyed = reviews.withColumn("text_key", text_key(F.col("text")))
+    rows = keyed.join(matches_of_texts(keyed, patterns, max_ngram), "text_key")
+
+    def dishes(sentence: Column) -> Column:
+        found = _sequences(words_of(sentence), max_ngram, lambda gram: F.element_at("matched", gram))
+        return F.filter(found, lambda dish: dish.isNotNull())
+
+    found = F.filter(
+        F.transform(
+            sentences_of(F.col("text")),
+            lambda s, i: F.struct(i.alias("sentence_pos"), s.alias("sentence"), dishes(s).alias("dishes")),
+        ),
+        lambda s: F.size(s["dishes"]) > 0,
+    )
+    picked = {"all": found, "last": F.slice(found, -1, 1), "first_sentence": F.slice(found, 1, 1)}[policy]
+    # The generator drops rows without a hit and keeps the search from being
+    # evaluated a second time in a pushed-down filter.
+    rows = rows.select(*kept, F.explode(picked).alias("m"))
+    dish = F.explode(F.array_distinct("m.dishes")) if policy == "all" else F.element_at("m.dishes", -1)
+    mentions = rows.select(*kept, "m.sentence_pos", "m.sentence", dish.alias("dish"))
+    return mentions.withColumn("promo_text", clip_sentence(F.col("sentence"), F.col("dish"))).drop("sentence")
+
+
+def mention_rows(tokens: DataFrame, dictionary: DataFrame, lemma_table: DataFrame) -> DataFrame:
+    """All tokens that name an item of one word, as ``dish``."""
+    patterns = dictionary_patterns(dictionary, lemma_table)
+    return tokens.join(patterns, F.col("form") == F.col("pattern")).drop("pattern")

@@ -1,22 +1,21 @@
-"""Sentence sentiment 1..5 from a word lexicon with polarities."""
+"""Sentence sentiment 1..5 from a word lexicon with polarities.
 
-from __future__ import annotations
+One way for a lexicon of any size: the distinct words of each sentence are joined to
+the lexicon, summed up per sentence and joined back. Sentences are known by a digest
+while that happens, so their text is no key and rows may repeat.
+"""
 
-from collections.abc import Mapping, Sequence
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import raw_words_of, sentences_of, words_of
-from ..session import rows_within
+from ..functions.text import bound, sentences_of, text_key, words_of
 
 # Classes 0..4 around the neutral class 2; the score is class + 1.
 NEUTRAL_CLASS = 2
 TOP_CLASS = 4
 
-# A larger lexicon is joined instead of compiled into the expression.
-WORD_LIMIT = 20_000
-
 
 def score_of(total: Column) -> Column:
     """Score of a sentence from the sum of its word polarities."""
@@ -24,52 +23,27 @@ def score_of(total: Column) -> Column:
     return (bounded + 1).cast("int")
 
 
-def polarity_sum(sentence: Column, lexicon: Mapping[str, int]) -> Column:
-    levels: dict[int, list[str]] = {}
-    for word, polarity in sorted(lexicon.items()):
-        levels.setdefault(polarity, []).append(word)
-
-    def add(total: Column, word: Column) -> Column:
-        polarity = F.lit(0)
-        for level, words in levels.items():
-            polarity = F.when(word.isin(words), F.lit(level)).otherwise(polarity)
-        return total + polarity
-
-    return F.aggregate(raw_words_of(sentence), F.lit(0), add)
-
+def word_polarities(lexicon: DataFrame) -> DataFrame:
+    """One polarity per word; those of a word that is listed again are added."""
+    listed = lexicon.where(F.col("word").isNotNull() & F.col("polarity").isNotNull())
+    return listed.groupBy("word").agg(F.sum(F.col("polarity").cast("double")).alias("polarity"))
 
-def score_column(sentence: Column, lexicon: Mapping[str, int]) -> Column:
-    """Score within the row, for a lexicon small enough to be an expression."""
-    return score_of(polarity_sum(sentence, lexicon))
 
-
-def score_by_join(rows: DataFrame, text: str, lexicon: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Score with a lexicon of any size; ``key`` with ``text`` names a row's sentence.
-
-    Equal rows are scored once and joined back, so duplicates are kept.
-    """
-    sentences = rows.select(*key, text).distinct()
-    words = sentences.select(*key, text, F.explode(words_of(F.col(text))).alias("word"))
-    sums = (
-        words.join(lexicon.select("word", "polarity"), "word")
-        .groupBy(*key, text)
-        .agg(F.sum("polarity").alias("total"))
-    )
-    return (
-        rows.join(sums, [*key, text], "left")
-        .withColumn("score", score_of(F.coalesce(F.col("total"), F.lit(0))))
-        .drop("total")
+def score_sentences(rows: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
+    """Add ``score`` for the sentence in ``text``; a null one is neutral."""
+    keyed = rows.withColumn("sentence_key", text_key(F.col(text)))
+    counted = bound(words_of(F.col(text)), lambda words: F.transform(F.array_distinct(words), lambda w: F.struct(
+        w.alias("word"), F.size(F.filter(words, lambda x: x == w)).alias("times")
+    )))
+    each = keyed.select("sentence_key", F.explode(counted).alias("w")).select("sentence_key", "w.word", "w.times")
+    # Rows of one sentence give the same entries, so a set of them counts once.
+    hits = each.join(word_polarities(lexicon), "word").groupBy("sentence_key").agg(
+        F.collect_set(F.struct("word", "times", "polarity")).alias("hits")
     )
-
-
-def score_sentences(
-    rows: DataFrame, text: str, lexicon: DataFrame, key: Sequence[str], limit: int = WORD_LIMIT
-) -> DataFrame:
-    """Add ``score`` for the sentence in ``text``; ``key`` as in ``score_by_join``."""
-    words = rows_within(lexicon.select("word", "polarity"), limit)
-    if words is None:
-        return score_by_join(rows, text, lexicon, key)
-    return rows.withColumn("score", score_column(F.col(text), {w.word: w.polarity for w in words}))
+    total = F.aggregate("hits", F.lit(0.0), lambda sum, h: sum + h["times"] * h["polarity"])
+    totals = hits.select("sentence_key", total.alias("total"))
+    scored = keyed.join(totals, "sentence_key", "left")
+    return scored.withColumn("score", score_of(F.coalesce("total", F.lit(0.0)))).drop("total", "sentence_key")
 
 
 def longest_sentences(reviews: DataFrame) -> DataFrame:

@@ -18,13 +18,12 @@ def scored_mentions(
     dictionary: DataFrame,
     lemma_table: DataFrame,
     lexicon: DataFrame,
-    key: list[str],
     policy: str = "last",
     max_ngram: int = 1,
 ) -> DataFrame:
     """``(business_id, dish, score, promo_text, promo_date)`` of texts with ``business_id, text, date``."""
-    found = find_mentions(texts, dictionary, lemma_table, key, policy, max_ngram)
-    scored = score_sentences(found, "promo_text", lexicon, [*key, "sentence_pos", "dish"])
+    found = find_mentions(texts, dictionary, lemma_table, policy, max_ngram)
+    scored = score_sentences(found, "promo_text", lexicon)
     return scored.select(
         "business_id", "dish", "score", "promo_text", F.try_to_date(F.col("date")).alias("promo_date")
     )
@@ -37,13 +36,12 @@ def dish_ratings(
     dictionary: DataFrame,
     lemma_table: DataFrame,
     lexicon: DataFrame,
-    key: list[str],
     policy: str = "last",
     max_ngram: int = 1,
 ) -> DataFrame:
     """Dish scores of reviews and tips, joined to their businesses."""
     texts = union_all(reviews, tips)
-    mentions = scored_mentions(texts, dictionary, lemma_table, lexicon, key, policy, max_ngram)
+    mentions = scored_mentions(texts, dictionary, lemma_table, lexicon, policy, max_ngram)
     return join_business(dish_scores(mentions), business)
 
 

@@ -1,4 +1,3 @@
-import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -73,17 +72,31 @@ def test_sentences(spark):
     assert got == list(SENTENCES.values())
 
 
-# Fixed value: the sentence definition as one matching pattern, applied by Python's engine.
-MATCHING = re.compile(
-    r"""[^.!?\s][^.!?]*(?:[.!?](?!['"]?[ \t\n]|$)[^.!?]*)*[.!?]?['"]?(?=[ \t\n]|$)""", re.MULTILINE
-)
+def scanned(text):
+    """Sentences by walking over the characters: a break is an end mark, maybe a quote, then space."""
+    out, current, at = [], "", 0
+    while at < len(text):
+        if not current and text[at] in ".!? \n":
+            at += 1
+            continue
+        current += text[at]
+        at += 1
+        ended = current[-1] in ".!?" or (len(current) > 1 and current[-1] in "'\"" and current[-2] in ".!?")
+        if ended and at < len(text) and text[at] in " \n":
+            out, current = [*out, current], ""
+    return [s.replace("\n", "") for s in ([*out, current] if current else out)]
+
+
+def test_scanner_on_the_listed_sentences():
+    plain = {t: s for t, s in SENTENCES.items() if not set(t) & set("\t\r\u2028")}
+    assert [scanned(t) for t in plain] == list(plain.values())
 
 
 @settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text("ab.!?'\" \n", max_size=40), min_size=50, max_size=80))
 def test_splitting_equals_matching(spark, texts):
     got = values(spark, fn.sentences_of(F.col("t")), [(t,) for t in texts], "t string")
-    assert got == [[m.group().replace("\n", "") for m in MATCHING.finditer(t)] for t in texts]
+    assert got == [scanned(t) for t in texts]
 
 
 def test_many_inner_marks_do_not_overflow(spark):
@@ -91,14 +104,36 @@ def test_many_inner_marks_do_not_overflow(spark):
     assert values(spark, F.size(fn.sentences_of(F.col("t"))), [(text,)], "t string") == [1]
 
 
-def test_words_and_lemmas(spark):
+def test_words(spark):
     words = fn.words_of(F.col("t"))
     got = values(spark, words, [("The Tacos, they're jalapeño-hot!",), ("",)], "t string")
     assert got == [["the", "tacos", "they", "re", "jalapeño", "hot"], []]
-    lemmas = fn.lemmas_of(words, {"were": "be", "mice": "mouse"})
-    got = values(spark, lemmas, [("Mice were tacos glass bus gas wings",)], "t string")
-    assert got == [["mouse", "be", "taco", "glass", "bus", "gas", "wing"]]
-    assert values(spark, fn.lemmas_of(words, {}), [("cats",)], "t string") == [["cat"]]
+
+
+SINGULARS = {
+    "tacos": "taco", "glass": "glass", "bus": "bus", "gas": "gas", "wings": "wing", "hummus": "hummus", "basis": "basis",
+    "prawns": "prawn", "ribs": "rib", "sandwiches": "sandwich", "radishes": "radish", "boxes": "box", "glasses": "glass",
+    "curries": "curry", "pastries": "pastry", "pies": "pie", "sauces": "sauce", "an": "an", "": "",
+}
+
+
+def test_singulars(spark):
+    got = values(spark, fn.singular(F.col("w")), [(w,) for w in SINGULARS], "w string")
+    assert dict(zip(SINGULARS, got)) == SINGULARS
+
+
+def test_plurals(spark):
+    plurals = {
+        "taco": ["tacos"], "sandwich": ["sandwichs", "sandwiches"], "curry": ["currys", "curries"], "bay": ["bays"],
+        "glass": ["glasses"], "cheese": ["cheeses"], "a": [],
+    }
+    got = values(spark, fn.plurals(F.col("w")), [(w,) for w in plurals], "w string")
+    assert dict(zip(plurals, got)) == plurals
+
+
+def test_bound_values_are_used_once(spark):
+    twice = fn.bound(F.array("t"), lambda x: F.concat(x, x))
+    assert values(spark, twice, [("a",)], "t string") == [["a", "a"]]
 
 
 def clip(text, term):
@@ -139,11 +174,3 @@ def test_snippet(spark, half, term):
     texts += [t[:k] + term + t[k:] for t in texts for k in (0, 10, 30, len(t))]
     got = values(spark, fn.snippet(F.col("t"), F.lit(term), half), [(t,) for t in texts], "t string")
     assert got == [snippet(t, term, half) for t in texts]
-
-
-def test_forms_are_the_words_with_a_wanted_lemma(spark):
-    irregular = {"was": "be", "mice": "mouse", "tacos": "dish", "bees": "bee"}
-    terms = {"be", "taco", "glass", "mouse", "bus", "egg", "eggs", "bee"}
-    words = sorted({w + s for w in terms | set(irregular) | {"an", "cat"} for s in ("", "s", "ss")})
-    lemmas = values(spark, fn.lemma_of(F.col("w"), irregular), [(w,) for w in words], "w string")
-    assert fn.forms_of(terms, irregular) == [w for w, lemma in zip(words, lemmas) if lemma in terms]

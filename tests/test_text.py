@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,15 +56,14 @@ def test_dictionary(spark, rows, dictionary):
     ]
 
 
-@pytest.mark.parametrize("limit", [men.TERM_LIMIT, 2])
 @pytest.mark.parametrize("policy, expected", [
     ("last", [("r1", 1, "burger"), ("r2", 0, "ramen"), ("r3", 1, "ramen"), ("r5", 0, "ramen")]),
     ("first_sentence", [("r1", 0, "ramen"), ("r2", 0, "ramen"), ("r3", 1, "ramen"), ("r5", 0, "ramen")]),
     ("all", [("r1", 0, "ramen"), ("r1", 1, "burger"), ("r2", 0, "burger"), ("r2", 0, "ramen"),
              ("r3", 1, "ramen"), ("r5", 0, "ramen")]),
 ])
-def test_mentions_by_row_and_by_join(rows, reviews, dictionary, lemmas, policy, expected, limit):
-    found = men.find_mentions(reviews, dictionary, lemmas, ["review_id"], policy, term_limit=limit)
+def test_mentions(rows, reviews, dictionary, lemmas, policy, expected):
+    found = men.find_mentions(reviews, dictionary, lemmas, policy)
     assert found.columns == ["review_id", "business_id", "date", "sentence_pos", "dish", "promo_text"]
     assert rows(found.select("review_id", "sentence_pos", "dish")) == expected
     clipped = found.where("review_id = 'r5'").first().promo_text
@@ -71,25 +71,77 @@ def test_mentions_by_row_and_by_join(rows, reviews, dictionary, lemmas, policy,
 
 
 def test_items_of_several_words(rows, reviews, dictionary, lemmas):
-    found = men.find_mentions(reviews, dictionary, lemmas, ["review_id"], "all", max_ngram=4)
+    found = men.find_mentions(reviews, dictionary, lemmas, "all", max_ngram=4)
     assert ("r3", 0, "pad thai") in rows(found.select("review_id", "sentence_pos", "dish"))
-    single = men.find_mentions(reviews, dictionary, lemmas, ["review_id"], "all", max_ngram=1)
+    single = men.find_mentions(reviews, dictionary, lemmas, "all", max_ngram=1)
     assert found.count() == single.count() + 1
-    with pytest.raises(ValueError):
-        men.find_mentions(reviews, dictionary, lemmas, ["review_id"], max_ngram=2, term_limit=1)
+
+
+MENU = ["hummus", "fries", "prawns", "ribs", "sandwich", "curry", "pastry", "radish", "cheese", "fish and chips", "t-bone"]
+
+
+def large(dictionary, words=50_000):
+    """The dictionary with so many items more that no size limit would let it pass."""
+    spark = dictionary.sparkSession
+    more = spark.range(words).select(F.lit("x").alias("category"), F.concat(F.lit("zz"), F.translate(
+        F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("item"))
+    return dictionary.union(more)
+
+
+@pytest.mark.parametrize("grow", [lambda d: d, large])
+def test_food_words_match(spark, rows, lemmas, grow):
+    menu = grow(spark.createDataFrame([("m", i) for i in MENU] + [("m", None), ("n", "ribs")], "category string, item string"))
+    text = (
+        "We loved the hummus and two sandwiches. The curries were hot. Ribs! Pastries and radishes with cheeses."
+        " Prawns, fries. One rib, one fry. Fish and chips or a T-Bone?"
+    )
+    reviews = spark.createDataFrame([(None, text), (None, text)], "key string, text string")
+    found = men.find_mentions(reviews, menu, lemmas, "all", max_ngram=3)
+    expected = [
+        (0, "hummus"), (0, "sandwich"), (1, "curry"), (2, "ribs"), (3, "cheese"), (3, "pastry"), (3, "radish"),
+        (4, "fries"), (4, "prawns"), (6, "fish and chips"), (6, "t-bone"),
+    ]
+    assert rows(found.select("sentence_pos", "dish")) == sorted(expected * 2)
+    last = men.find_mentions(reviews, menu, lemmas, "last", max_ngram=3)
+    assert rows(last.select("sentence_pos", "dish")) == [(6, "t-bone")] * 2
+
+
+def test_a_listed_lemma_goes_before_a_plural(spark, rows):
+    menu = spark.createDataFrame([("m", i) for i in ("mouse", "mice", "bee", "bees", "goose")], "category string, item string")
+    table = spark.createDataFrame(
+        [("geese", "goose"), ("geese", "zebra"), ("mouses", "goose"), (None, "bee"), ("x", None)], "form string, lemma string"
+    )
+    forms = {r.pattern: r.dish for r in men.dictionary_patterns(menu, table).collect()}
+    assert forms == {
+        "mouse": "mouse", "mice": "mice", "mices": "mice", "bee": "bee", "bees": "bees", "beeses": "bees", "goose": "goose",
+        "gooses": "goose", "geese": "goose", "mouses": "goose",
+    }
+
+
+def test_planning_does_not_grow_with_the_dictionary(spark, reviews, dictionary, lemmas):
+    start = time.perf_counter()
+    men.find_mentions(reviews, large(dictionary, 100_000), lemmas)
+    assert time.perf_counter() - start < 15  # about two seconds on a machine at rest
 
 
 def test_unknown_policy(reviews, dictionary, lemmas):
     with pytest.raises(ValueError):
-        men.find_mentions(reviews, dictionary, lemmas, ["review_id"], "best")
+        men.find_mentions(reviews, dictionary, lemmas, "best")
 
 
-@pytest.mark.parametrize("limit", [100, 1])
-def test_scores_by_row_and_by_join(spark, rows, lexicon, limit):
+@pytest.mark.parametrize("more", [0, 50_000])
+def test_scores(spark, rows, lexicon, more):
     texts = {"good good good": 5, "fine": 4, "": 3, "late bad bad": 1, "Bad but fine": 2, "good late": 4}
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "id int, s string")
-    scored = sen.score_sentences(frame, "s", lexicon, ["id"], limit)
-    assert rows(scored.select("id", "score")) == sorted([(i, s) for i, s in enumerate(texts.values())] * 2)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2 + [(9, None)], "id int, s string")
+    words = lexicon.union(spark.range(more).select(F.concat(F.lit("zz"), F.col("id").cast("string")), F.lit(1)))
+    expected = sorted([(i, s) for i, s in enumerate(texts.values())] * 2 + [(9, 3)])
+    assert rows(sen.score_sentences(frame, "s", words).select("id", "score")) == expected
+
+
+def test_polarities_of_a_word_add_up(spark, rows):
+    words = spark.createDataFrame([("good", 1.0), ("good", 1.0), ("odd", 0.5), (None, 2.0), ("x", None)], "word string, polarity double")
+    frame = spark.createDataFrame([(1, "good"), (2, "odd odd"), (3, "x")], "id int, s string")
+    assert rows(sen.score_sentences(frame, "s", words).select("id", "score")) == [(1, 5), (2, 4), (3, 3)]
 
 
 def test_longest_sentence(rows, reviews, lexicon):
@@ -100,7 +152,7 @@ def test_longest_sentence(rows, reviews, lexicon):
 
 
 def test_scored_mentions_and_ratings(spark, rows, reviews, dictionary, lemmas, lexicon):
-    scored = scored_mentions(reviews, dictionary, lemmas, lexicon, ["review_id"])
+    scored = scored_mentions(reviews, dictionary, lemmas, lexicon)
     got = {(r.business_id, r.dish, r.score, r.promo_date) for r in scored.collect()}
     assert got == {
         ("b1", "burger", 2, dt.date(2024, 1, 1)), ("b1", "ramen", 3, dt.date(2024, 1, 2)),
@@ -111,7 +163,7 @@ def test_scored_mentions_and_ratings(spark, rows, reviews, dictionary, lemmas, l
         "business_id string, name string, full_address string, city string, state string, stars double, review_count long",
     )
     tips = reviews.where("review_id = 'r1'")
-    joined = dish_ratings(reviews, tips, business, dictionary, lemmas, lexicon, ["review_id"])
+    joined = dish_ratings(reviews, tips, business, dictionary, lemmas, lexicon)
     got = {(r.businessid, r.dish): (r.numreviews, r.totalscore, r.avgrating) for r in joined.collect()}
     assert got == {("b1", "burger"): (2, 4, 2.0), ("b1", "ramen"): (1, 3, 3.0), ("b2", "ramen"): (2, 4, 2.0)}
 
@@ -150,10 +202,10 @@ def test_scoring_shuffles_once(spark):
     assert plan.count("Exchange ") == 1 and "partial_count" in plan
 
 
-def test_text_search_needs_no_shuffle(reviews, dictionary, lemmas, lexicon):
-    scored = scored_mentions(reviews, dictionary, lemmas, lexicon, ["review_id"])
+def test_text_is_no_shuffle_key_and_needs_no_python(reviews, dictionary, lemmas, lexicon):
+    scored = scored_mentions(reviews, dictionary, lemmas, lexicon)
     plan = scored._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan
+    assert "EvalPython" not in plan and "hashpartitioning(text#" not in plan and "hashpartitioning(promo" not in plan
 
 
 def test_rows_within(spark):
