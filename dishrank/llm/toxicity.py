@@ -1,10 +1,12 @@
 """Toxicity scores from a learned lexicon, matched up to one misspelling.
 
-1. The lexicon holds the words that labelled toxic documents have far more often than
-   others (smoothed log ratio of document counts), at most ``LEXICON`` of them.
+1. The lexicon holds the words, and beginnings of words, that labelled toxic documents
+   have far more often than others (smoothed log ratio of document counts), at most
+   ``LEXICON`` of them.
 2. Every word is run through the product of the lexicon's trie with the Levenshtein
    automaton of one edit. The product is made deterministic as words come by: a state
-   is a set of (trie node, edits so far). Short terms must match exactly.
+   is a set of (trie node, edits so far). Short terms must match exactly, and so must
+   beginnings (written ``begin*``), whatever follows them.
 3. A hit counts with its term's weight and what is around it: inside quotation marks it
    is a quotation, and more hits within ten words make it abuse more likely. A logistic
    model of these window scores gives the document's score.
@@ -24,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .language_id import fit_sample, held_out
-from .staging import plain, ready
+from .language_id import held_out
+from .staging import plain, ready, staged
 
 # Bounds: rows learned from, terms of the lexicon, and counts a term needs.
 FIT_ROWS = 20_000
@@ -35,6 +37,8 @@ LEAST_LOG_RATIO = 2.0
 # Terms of at least this length match with one edit.
 FUZZY_LENGTH = 5
 WINDOW = 10
+# Lengths of the beginnings of words that are counted besides whole words.
+STEMS = (4, 5, 6)
 STATE_MEMO = 200_000
 WORD_MEMO = 300_000
 
@@ -50,15 +54,19 @@ class FuzzyLexicon:
         self.edits = edits
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[str | None] = [None]
+        self.stems: set[int] = set()
         for term in sorted(self.terms):
             node = 0
-            for letter in term:
+            for letter in term.rstrip("*"):
                 if letter not in self.children[node]:
                     self.children[node][letter] = len(self.children)
                     self.children.append({})
                     self.ends.append(None)
                 node = self.children[node][letter]
-            self.ends[node] = term
+            if term.endswith("*"):
+                self.stems.add(node)
+            # A whole word of the same letters goes before the beginning.
+            self.ends[node] = term if self.ends[node] is None else min(self.ends[node], term)
         self._forget()
 
     def _forget(self) -> None:
@@ -89,7 +97,7 @@ class FuzzyLexicon:
             self.steps.append({})
             ends = [
                 (used, self.ends[node]) for node, used in state if self.ends[node] is not None
-                and (not used or len(self.ends[node]) >= FUZZY_LENGTH)
+                and (not used or (len(self.ends[node]) >= FUZZY_LENGTH and not self.ends[node].endswith("*")))
             ]
             used, term = min(ends, default=(0, None))
             self.accepts.append((term, used) if term is not None else None)
@@ -102,6 +110,8 @@ class FuzzyLexicon:
             child = self.children[node].get(letter)
             if child is not None:
                 after.add((child, used))
+            if not used and node in self.stems:
+                after.add((node, 0))
             if used < self.edits:
                 after.add((node, used + 1))
                 after.update((other, used + 1) for other in self.children[node].values())
@@ -199,7 +209,8 @@ def lexicon(sample: DataFrame) -> dict[str, float]:
         for batch in batches:
             count: dict[str, list[int]] = {}
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                for word in set(_WORD.findall((text or "").lower())):
+                whole = set(_WORD.findall((text or "").lower()))
+                for word in whole.union(*[{f"{w[:n]}*" for w in whole if len(w) > n} for n in STEMS]):
                     count.setdefault(word, [0, 0])[label] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(count), pa.string()), pa.array([c[0] for c in count.values()], pa.int64()),
@@ -236,11 +247,18 @@ def logistic(features: np.ndarray, labels: np.ndarray, rounds: int = 50, ridge:
     return weights[:-1], float(weights[-1])
 
 
-def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Scorer:
-    """Scorer from rows ``(id, text, label)``, at most about ``rows`` of them."""
-    ready(labelled.sparkSession)
-    known = labelled.where(F.col("label").isin(0, 1)).withColumn("label", F.col("label").cast("int"))
-    sample = fit_sample(known, rows)
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Scorer:
+    """Scorer from ``docs(id, text)`` and ``labels(id, label)`` of at most ``rows`` documents.
+
+    The documents are those of the smallest hashes of labelled ids; of two labels of one
+    id the larger holds. The chosen ids are at most ``rows``, so they are broadcast, and
+    no other text leaves its place.
+    """
+    ready(docs.sparkSession)
+    known = labels.where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
+    known = known.groupBy("id").agg(F.max(F.col("label").cast("int")).alias("label"))
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)
+    sample = staged(docs.join(F.broadcast(chosen), "id").dropDuplicates(["id"]), "sample")
     terms = lexicon(sample)
     if not terms:
         counts = sample.agg(F.sum("label").alias("one"), F.count(F.lit(1)).alias("n")).first()
@@ -274,7 +292,7 @@ def score_documents(
     """``id, held_out, score, predicted`` of every row, learned from labels not held out."""
     docs = plain(df, id=id, text=text)
     marks = plain(labels, id=id, label=label).where(~held_out(F.col("id")))
-    scorer = fit(docs.join(marks, "id"))
+    scorer = fit(docs, marks)
     scored = docs.withColumn("score", score_column(F.col("text"), scorer))
     return scored.select(
         F.col("id").alias(id), held_out(F.col("id")).alias("held_out"), "score",

@@ -1,0 +1,275 @@
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from dishrank.llm import bpe, language_id, packing, pii, toxicity
+
+from .conftest import DATA
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+# Byte-level BPE.
+
+
+@pytest.fixture(scope="module")
+def reference():
+    return tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={}
+    )
+
+
+PARTS = st.sampled_from([
+    "a", "b", "ing", "the", "tion", " ", "  ", "\n", "\t", "é", "ß", "'s", "'", "1", "23", "²", "漢", "字", "🙂", "\x1c",
+    "\x85", " ", "_", "...", "A", "aaaa", "́", "٣", "Ⅷ", "Σ", "İ", "<|endoftext|>",
+])
+
+
+@given(st.lists(PARTS, max_size=25).map("".join) | st.text(max_size=30))
+@settings(max_examples=400, deadline=None)
+def test_ids_are_those_of_the_merges(text):
+    own = bpe.encoder(RANKS, public_tokenizers.PATTERN)
+    ids = np.frombuffer(own.encode(text), dtype=np.int32)
+    ranks = own.ranks
+    merged = [i for p in own.pattern.findall(text) for i in (
+        [ranks[p.encode()]] if p.encode() in ranks else bpe.merged(p.encode(), ranks)[0]
+    )]
+    assert ids.tolist() == merged
+    assert own.decode(ids.astype(np.int64)).tobytes().decode() == text
+
+
+def test_ids_of_columns(spark, docs_of, odd_texts, reference):
+    docs = docs_of(odd_texts)
+    ids = docs.select("text", bpe.encode_column(F.col("text"), RANKS, public_tokenizers.PATTERN).alias("ids"))
+    both = ids.select("*", bpe.decode_column(F.col("ids"), RANKS, public_tokenizers.PATTERN).alias("bytes")).collect()
+    assert len(both) == len(odd_texts)
+    for row in both:
+        assert row.ids == reference.encode_ordinary(row.text or "")
+        assert bytes(row.bytes).decode() == (row.text or "")
+
+
+def test_repetitive_pieces_take_linear_time(reference):
+    own = bpe.encoder(RANKS, public_tokenizers.PATTERN)
+    for text in ("a" * 40_000, "ab" * 20_000, "é" * 9_999):
+        assert np.frombuffer(own.encode(text), np.int32).tolist() == reference.encode_ordinary(text)
+
+
+# Packing.
+
+
+@given(st.lists(PARTS, max_size=25).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_words_are_encoded_as_whole_texts(text):
+    own = packing.word_tokenizer(WORDS)
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
+@settings(max_examples=60, deadline=None)
+def test_plans_hold_every_piece_once(histogram):
+    groups = packing.plan(histogram, capacity=64, rounds=20)
+    held = {}
+    for group in groups:
+        assert 0 < sum(s * n for s, n in group.slots) <= 64 and group.count > 0
+        for size, copies in group.slots:
+            held[size] = held.get(size, 0) + copies * group.count
+    assert held == histogram
+
+
+def test_plans_come_close_to_the_bound():
+    rng = random.Random(2)
+    histogram = {}
+    for _ in range(5000):
+        size = rng.choice([rng.randint(1, 2048), rng.randint(300, 800), 700, 1025])
+        histogram[size] = histogram.get(size, 0) + 1
+    best_fit, rooms = 0, []
+    used = sum(g.count for g in packing.plan(histogram))
+    for size in sorted((s for s, n in histogram.items() for _ in range(n)), reverse=True):
+        fit = min((r for r in rooms if r >= size), default=None)
+        if fit is None:
+            best_fit, fit = best_fit + 1, 2048
+        else:
+            rooms.remove(fit)
+        rooms.append(fit - size)
+    assert used <= best_fit * 1.002
+
+
+def test_pieces_are_placed_without_gaps(docs_of, odd_texts):
+    texts = [*odd_texts, *[(100 + i, "some words here " * (i % 40)) for i in range(200)]]
+    rows = packing.pack(docs_of(texts), WORDS, capacity=256).collect()
+    own = Tokenizer.from_file(WORDS)
+    expected = []
+    for i, text in texts:
+        ids = own.encode(text or "", add_special_tokens=False).ids + [0]
+        for piece, start in enumerate(range(0, len(ids), 256)):
+            part = np.array(ids[start:start + 256], dtype="<u4")
+            expected.append((i, piece, start, len(part), zlib.crc32(part.tobytes())))
+    got = [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 256
+    assert len(sequences) <= 1.05 * sum(r.length for r in rows) / 256 + 1
+
+
+def test_nothing_to_pack(docs_of):
+    assert packing.pack(docs_of([]), WORDS).count() == 0
+
+
+# Language.
+
+
+def test_ngrams_are_those_counted_by_hand():
+    def code(text):
+        value = 0
+        for c in text:
+            value = value << 21 | (0 if c == "_" else ord(c))
+        return value
+
+    expected = sorted(code(g) for g in ("a", "b", "c", "_a", "ab", "b_", "_c", "c_", "_ab", "ab_", "_c_"))
+    assert sorted(language_id.ngrams("Ab, 7c!").tolist()) == expected
+    assert language_id.ngrams("12 !").size == 0
+
+
+def test_out_of_place_distance():
+    profiles = language_id.Profiles({"x": [5, 6, 7], "y": [7, 8]}, ranks=3)
+    assert profiles.distances(np.array([7, 5, 9])).tolist() == [2 + 1 + 3, 0 + 3 + 3]
+
+
+def test_languages_of_held_out_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    found = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in found if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 for r in found)
+
+
+def test_languages_of_odd_rows(docs_of, odd_texts):
+    texts = [*odd_texts, (50, "123 456"), (51, "the and of the")]
+    rows = language_id.identify(docs_of(texts, lang="en")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        if r.doc_id in (1, 2, 3, 50):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+    assert language_id.identify(docs_of([])).count() == 0
+    assert {r.lang_pred for r in language_id.identify(docs_of(texts)).collect()} == {"und"}
+
+
+# Personal data.
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_spans(text):
+    out = []
+    for kind in pii.BASE_KINDS:
+        for m in re.finditer(BASE[kind], text):
+            digits = re.sub("[^0-9]", "", m.group())
+            valid = {
+                "email": True, "ip": all(int(p) <= 255 for p in m.group().split(".")) if kind == "ip" else True,
+                "card": 13 <= len(digits) <= 19 and pii.luhn(digits), "phone": 9 <= len(digits) <= 15,
+            }[kind]
+            if valid:
+                out.append((kind, *m.span()))
+    return out
+
+
+@given(st.lists(st.sampled_from([
+    *"0123456789", *"0123456789", *"+-.@ ()ab%_", "4532 0151 1283 0366", "a@b.c", "1.2.3.4", "+1 (555) 123-4567", "é", "\n",
+    "http://", "account 123456", "https://a.b/c.", "IBAN DE89370400440532013000", "ssn 123-45-6789", "🙂",
+]), max_size=30).map("".join))
+@settings(max_examples=1500, deadline=None)
+def test_base_spans_match_the_patterns(text):
+    assert [s for s in pii.spans_of(text) if s[0] in pii.BASE_KINDS] == base_spans(text)
+
+
+def test_added_kinds_and_redaction():
+    text = "🙂 https://a.b/c. IBAN DE89 3704 0044 0532 0130 00, IBAN DE00370400440532013000, ssn 123-45-6789 Account 12345678"
+    kinds = [(k, text[a:b]) for k, a, b in pii.spans_of(text) if k not in pii.BASE_KINDS]
+    assert kinds == [
+        ("url", "https://a.b/c"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ssn", "123-45-6789"), ("account", "12345678")
+    ]
+    assert pii.redacted("mail x.y@z.org or +1 (555) 123-4567!") == "mail <EMAIL> or <PHONE>!"
+    assert pii.redacted(None) is None and pii.redacted("clean") == "clean"
+
+
+def test_spans_of_columns(docs_of, odd_texts):
+    texts = [*odd_texts, (60, "call +1 555 123 4567 or a@b.co")]
+    rows = docs_of(texts).select("doc_id", "text", pii.spans_column(F.col("text")).alias("s")).collect()
+    assert sum(len(r.s) for r in rows) == 2 and len(rows) == len(texts)
+    assert docs_of([]).select(pii.spans_column(F.col("text"))).count() == 0
+
+
+# Toxicity.
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@given(st.text("abcd", max_size=9))
+@settings(max_examples=500, deadline=None)
+def test_fuzzy_matches_are_within_one_edit(word):
+    terms = ["abc", "abcd", "abcda", "badabc", "ddddd", "dddda"]
+    lexicon = toxicity.FuzzyLexicon(dict.fromkeys(terms, 1.0))
+    near = [(edits(word, t), t) for t in terms]
+    near = [(d, t) for d, t in near if d == 0 or (d == 1 and len(t) >= toxicity.FUZZY_LENGTH)]
+    found = lexicon.match(word)
+    assert (found is None) == (not near)
+    assert found is None or (found[1], found[0]) == min(near)
+
+
+def test_beginnings_match_whatever_follows():
+    lexicon = toxicity.FuzzyLexicon({"abcd*": 1.0, "abc": 1.0, "abcde": 1.0})
+    assert lexicon.match("abcdxyz") == ("abcd*", 0) and lexicon.match("abcd") == ("abcd*", 0)
+    assert lexicon.match("abcde") in (("abcde", 0), ("abcd*", 0)) and lexicon.match("abxdxyz") is None
+    assert lexicon.match("abc") == ("abc", 0) and lexicon.match("bcde") == ("abcde", 1)
+
+
+def test_quoted_hits_are_told_apart():
+    scorer = toxicity.Scorer({"idiot": 2.0})
+    hits = scorer.hits('you idiot, he said "you idiot" and idiots\n"idiot')
+    assert [(n, e, q) for n, _, e, q in hits] == [(1, 0, False), (5, 0, True), (7, 1, False), (8, 0, False)]
+
+
+def test_toxic_documents_are_found(spark):
+    root = DATA.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
+    rows = toxicity.score_documents(docs, labels).join(labels, "doc_id").collect()
+    toxic = [r.score for r in rows if r.held_out and r.toxic == 1]
+    clean = [r.score for r in rows if r.held_out and r.toxic == 0]
+    above = np.mean([a > b for a in toxic for b in clean])
+    assert above > 0.95 and np.mean([s >= 0.5 for s in clean]) < 0.02
+
+
+def test_scores_of_odd_rows(spark, docs_of, odd_texts):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    rows = toxicity.score_documents(docs_of(odd_texts), labels).collect()
+    assert len(rows) == len(odd_texts) and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.score_documents(docs_of([]), labels).count() == 0
+    assert toxicity.score_documents(docs_of(odd_texts), labels.limit(0)).count() == len(odd_texts)
