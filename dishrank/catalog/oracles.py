@@ -264,7 +264,8 @@ _CLOSED = "window_end <= (SELECT max(ts) FROM valid) - INTERVAL 1 DAY"
 # The trends after the second write: rated again wins, the others stay.
 _REPLACED = f"""
 WITH early AS (SELECT * FROM trending WHERE window_end <= TIMESTAMP '{STREAM_START}'),
-again AS (SELECT * FROM trending WHERE citystate < 'NATION2'),
+again AS (SELECT * FROM trending WHERE citystate IN (
+  SELECT citystate FROM valid WHERE ts > (SELECT max(ts) FROM valid) - INTERVAL 1 HOUR)),
 both_parts AS (SELECT * FROM again UNION ALL
   SELECT * FROM early WHERE citystate NOT IN (SELECT citystate FROM again))
 SELECT citystate, dish, businessid, num AS numreviews, score AS totalscore, avg AS avgrating, promotext
@@ -275,7 +276,8 @@ _DISH_KEY = "citystate, dish, businessid"
 ORACLES = {
     "read_reviews": "SELECT business_id, text, date FROM review",
     "read_tips": "SELECT business_id, text, date FROM tip",
-    "read_businesses": "SELECT * FROM business",
+    "read_businesses": "SELECT *, CASE WHEN stars >= 3 THEN 'Restaurants|' ELSE '' END || state AS categories FROM business",
+    "restaurants_only": "SELECT * FROM business WHERE stars >= 3",
     "dictionary_terms": "SELECT category, item FROM dictionary",
     "list_dishes": "SELECT DISTINCT item FROM dictionary ORDER BY item",
     "category_items": "SELECT category, item, count(*) OVER (PARTITION BY category) AS n_items FROM dictionary",
@@ -391,6 +393,9 @@ SELECT concat(dish, businessid) AS key, concat(dish, ',', businessid, ',', citys
     "stream_trends": f"""
 SELECT citystate, dish, businessid, num AS numreviews, score AS totalscore, avg AS avgrating, promotext
 FROM (SELECT * FROM trending WHERE {_CLOSED}) QUALIFY window_end = max(window_end) OVER (PARTITION BY citystate)""",
+    "stream_late": """
+SELECT event_id, dish, businessid, citystate, score FROM valid WHERE ts < TIMESTAMP '2024-01-22'
+AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM valid) - INTERVAL 1 DAY""",
     "stream_quarantine": "SELECT ts, event_id, key, value FROM message WHERE event_id % 97 = 0",
 }
 

@@ -13,7 +13,7 @@ from ..operators import dictionary as dic
 from ..operators import mentions as men
 from ..operators import ratings as rat
 from ..operators import scoring
-from ..operators.published import businesses_view, dishes_view, join_business
+from ..operators.published import businesses_view, dishes_view, join_business, of_category
 from ..operators.sampling import sample_by_key
 from ..operators.sentiment import longest_sentences, score_sentences
 from ..plans import build, harvest, serving
@@ -113,6 +113,10 @@ def stored_table(t: Tables) -> DataFrame:
     return readers.read_dishes(t.spark, published(t)[0])
 
 
+def stored_places(t: Tables) -> DataFrame:
+    return readers.read_published_businesses(t.spark, published(t)[1])
+
+
 def message_stream(t: Tables) -> DataFrame:
     return t.rating_messages(readers.read_parquet_stream(t.spark, t.path("events"), EVENTS))
 
@@ -122,24 +126,40 @@ def message_stream(t: Tables) -> DataFrame:
 
 @query
 def read_reviews(t: Tables) -> DataFrame:
-    return t.reviews().select("business_id", "text", "date")
+    path = work_path(t.spark, "reviews")
+    t.reviews().write.parquet(path)
+    return readers.read_reviews(t.spark, path).select("business_id", "text", "date")
 
 
 @query
 def read_tips(t: Tables) -> DataFrame:
-    return t.tips().select("business_id", "text", "date")
+    path = work_path(t.spark, "tips")
+    t.tips().write.parquet(path)
+    return readers.read_tips(t.spark, path).select("business_id", "text", "date")
 
 
 @query
 def read_businesses(t: Tables) -> DataFrame:
     path = work_path(t.spark, "business-json")
-    sinks.write_business_json(t.business(), path)
-    return readers.read_businesses(t.spark, path)
+    sinks.write_business_json(t.business().withColumn("categories", _categories()), path)
+    rows = readers.read_businesses(t.spark, path)
+    return rows.withColumn("categories", F.array_join("categories", "|"))
+
+
+def _categories():
+    return F.when(F.col("stars") >= 3, F.array(F.lit("Restaurants"), "state")).otherwise(F.array("state"))
+
+
+@query
+def restaurants_only(t: Tables) -> DataFrame:
+    return of_category(t.business().withColumn("categories", _categories()), "Restaurants").drop("categories")
 
 
 @query
 def dictionary_terms(t: Tables) -> DataFrame:
-    return dictionary(t)
+    path = work_path(t.spark, "dictionary")
+    t.dictionary_lines().write.text(path)
+    return readers.read_dictionary(t.spark, path)
 
 
 @query
@@ -155,7 +175,7 @@ def category_items(t: Tables) -> DataFrame:
 @query
 def category_expand(t: Tables) -> DataFrame:
     """Each city asks for every category it has a dish of."""
-    asked = dishes(t).join(dictionary(t), F.col("dish") == F.col("item"))
+    asked = stored_table(t).join(dictionary(t), F.col("dish") == F.col("item"))
     requests = asked.select("citystate", F.col("category").alias("term")).distinct()
     return dic.expand_categories(requests, dictionary(t))
 
@@ -176,7 +196,7 @@ def publish_businesses(t: Tables) -> DataFrame:
 
 @query
 def business_keys(t: Tables) -> DataFrame:
-    return readers.read_published_businesses(t.spark, published(t)[1]).select("businessid", "citystate")
+    return stored_places(t).select("businessid", "citystate")
 
 
 @query
@@ -208,7 +228,9 @@ def stage_roundtrip(t: Tables) -> DataFrame:
 
 @query
 def completions_parse(t: Tables) -> DataFrame:
-    return readers.parse_completions(t.completion_responses())
+    path = work_path(t.spark, "completions")
+    t.completion_responses().write.text(path)
+    return readers.read_completions(t.spark, path, per_line=True)
 
 
 @query
@@ -265,7 +287,7 @@ def confidence_weight(t: Tables) -> DataFrame:
 
 @query
 def list_cities(t: Tables) -> DataFrame:
-    return serving.list_cities(dishes(t))
+    return serving.list_cities(stored_table(t))
 
 
 @query
@@ -411,7 +433,7 @@ def business_sql_view(t: Tables) -> DataFrame:
 def category_filter(t: Tables) -> DataFrame:
     """Parts whose category array holds a word."""
     parts = t.read("part").select("p_partkey", F.split("p_name", " ").alias("categories"))
-    wanted = parts.where(F.array_contains("categories", "bolt"))
+    wanted = of_category(parts, "bolt")
     return wanted.select("p_partkey", F.array_join("categories", "|").alias("categories"))
 
 
@@ -429,26 +451,27 @@ def build_dish_ratings(t: Tables) -> DataFrame:
 
 @query
 def enrich_recommendations(t: Tables) -> DataFrame:
-    return serving.enrich(serving.rated_dishes(dishes(t)), businesses(t))
+    return serving.enrich(serving.rated_dishes(stored_table(t)), stored_places(t))
 
 
 @query
 def search_dishes(t: Tables) -> DataFrame:
-    return serving.search_all(dishes(t), businesses(t), dictionary(t))
+    return serving.search_all(stored_table(t), stored_places(t), dictionary(t))
 
 
 @query
 def search_requests(t: Tables) -> DataFrame:
     """Each business's city asks for each of the two words of the dishes rated there."""
-    asked = joined(t).select(
-        F.concat_ws(", ", "city", "state").alias("city"), F.explode(F.split("dish", " ")).alias("term")
+    places = stored_places(t).select("citystate", "businessid", F.concat_ws(", ", "city", "state").alias("city"))
+    asked = stored_table(t).join(places, ["citystate", "businessid"]).select(
+        "city", F.explode(F.split("dish", " ")).alias("term")
     ).distinct()
-    return serving.search_requests(asked, dishes(t), businesses(t), dictionary(t))
+    return serving.search_requests(asked, stored_table(t), stored_places(t), dictionary(t))
 
 
 @query
 def top_dishes_for_restaurant(t: Tables) -> DataFrame:
-    return serving.restaurant_all(dishes(t), businesses(t))
+    return serving.restaurant_all(stored_table(t), stored_places(t))
 
 
 @query
@@ -473,14 +496,13 @@ def _rated_businesses(t: Tables) -> DataFrame:
 
 @query
 def recommendations_json(t: Tables) -> DataFrame:
-    return serving.as_json(serving.search_all(dishes(t), businesses(t), dictionary(t)))
+    return serving.as_json(serving.search_all(stored_table(t), stored_places(t), dictionary(t)))
 
 
 @query
 def search_one_city(t: Tables) -> DataFrame:
     """One request against the published tables."""
-    places = readers.read_published_businesses(t.spark, published(t)[1])
-    return serving.search_one(stored_table(t), places, dictionary(t), SHOWN_CITY, "blue")
+    return serving.search_one(stored_table(t), stored_places(t), dictionary(t), SHOWN_CITY, "blue")
 
 
 # Ratings.
@@ -517,13 +539,15 @@ def merge_ratings(t: Tables) -> DataFrame:
 
 @query
 def replace_trends(t: Tables) -> DataFrame:
-    """Trends before the stream starts, replaced in the cities rated in it."""
+    """Trends before the stream starts, replaced in the cities rated in the last hour."""
     path = work_path(t.spark, "trends")
     windows = sinks.stage_roundtrip(rat.trending(rat.window_ratings(ratings(t))), work_path(t.spark, "windows"))
     early = windows.where(F.col("window_end") <= F.lit(STREAM_START).cast("timestamp_ntz"))
     sinks.replace_trends(rat.latest_trends(early), path)
-    # Only cities in the first half of the alphabet are rated again.
-    again = windows.where("citystate < 'NATION2'")
+    rated = ratings(t).select("citystate", "ts")
+    end = rated.agg(F.max("ts").alias("end"))
+    last = rated.join(end, F.col("ts") > F.col("end") - F.expr("INTERVAL 1 HOUR"), "left_semi").select("citystate").distinct()
+    again = windows.join(last, "citystate", "left_semi")
     sinks.replace_trends(rat.latest_trends(again), path)
     return readers.read_trends(t.spark, path)
 
@@ -568,3 +592,17 @@ def stream_quarantine(t: Tables) -> DataFrame:
     rows = message_stream(t)
     stream.start_quarantine(rows, path, checkpoint, available_now=True).awaitTermination()
     return t.spark.read.schema(rows.schema).parquet(path)
+
+
+@query
+def stream_late(t: Tables) -> DataFrame:
+    """Ratings too late for the trends, when every third message comes in late order."""
+    feed, path, checkpoint = work_path(t.spark, "feed"), work_path(t.spark, "late"), work_path(t.spark, "checkpoint")
+    messages = t.rating_messages()
+    # Three batches: the last days first, then the middle, then the beginning.
+    for low, high in (("2024-01-22", "2100-01-01"), ("2024-01-12", "2024-01-22"), ("1900-01-01", "2024-01-12")):
+        messages.where((F.col("ts") >= low) & (F.col("ts") < high)).write.mode("append").parquet(feed)
+        arriving = readers.read_parquet_stream(t.spark, feed, messages.schema)
+        stream.start_late(arriving, path, checkpoint, available_now=True).awaitTermination()
+    rows = t.spark.read.schema("event_id long, dish string, businessid string, citystate string, score int").parquet(path)
+    return rows.select("event_id", "dish", "businessid", "citystate", "score")

@@ -46,3 +46,8 @@ def businesses_view(joined: DataFrame) -> DataFrame:
         F.col("review_count").cast("long").alias("reviewcount"),
     )
     return rows.dropna(subset=BUSINESS_KEY).dropDuplicates(BUSINESS_KEY)
+
+
+def of_category(businesses: DataFrame, category: str) -> DataFrame:
+    """Businesses whose ``categories`` hold one; without any they are of none."""
+    return businesses.where(F.coalesce(F.array_contains("categories", category), F.lit(False)))

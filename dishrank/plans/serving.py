@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import city_label, clean_address, normalise_city
 from ..functions.weights import RATING_FLOOR, confidence_weight, format_rating
-from ..operators.dictionary import expand_categories
 from ..operators.ranking import top_k
 
 SEARCH_HITS = 4
@@ -71,8 +70,10 @@ def search_requests(
     requests: DataFrame, dishes: DataFrame, businesses: DataFrame, dictionary: DataFrame, k: int = SEARCH_HITS
 ) -> DataFrame:
     """Top dishes of each request ``(city, term)``; an unknown term gives no rows."""
-    asked = requests.select(normalise_city(F.col("city")).alias("citystate"), "term")
-    hits = expand_categories(asked, dictionary).join(rated_dishes(dishes), ["citystate", "dish"])
+    asked = requests.select(normalise_city(F.col("city")).alias("citystate"), "term").distinct()
+    pairs = dictionary.select(F.col("category").alias("term"), F.col("item").alias("dish")).distinct()
+    # Rated dishes meet their categories first, so a large category is never spread over all cities.
+    hits = rated_dishes(dishes).join(pairs, "dish").join(asked, ["citystate", "term"], "left_semi")
     top = top_k(hits, ["citystate", "term"], _by_score(), k, rank="rank")
     return enrich(top, businesses, ["term", "rank"])
 

@@ -20,6 +20,7 @@ BUSINESS = T.StructType([
     T.StructField("state", T.StringType()),
     T.StructField("stars", T.DoubleType()),
     T.StructField("review_count", T.LongType()),
+    T.StructField("categories", T.ArrayType(T.StringType())),
 ])
 
 DISHES = T.StructType([

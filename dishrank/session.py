@@ -1,11 +1,11 @@
-"""Session settings, the shared work folder and small size checks."""
+"""Session settings, the shared work folder and its files."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -48,16 +48,6 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def rows_within(df: DataFrame, limit: int) -> list[Row] | None:
-    """Rows of a parameter table, or ``None`` when it holds more than ``limit``.
-
-    At most ``limit + 1`` rows ever reach the driver, so the caller has to
-    offer a distributed way for ``None``.
-    """
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
 def _file_system(spark: SparkSession, path: str):
     """Spark's own file system client, so any storage Spark reads will do."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -77,3 +67,9 @@ def is_file(spark: SparkSession, path: str) -> bool:
 def delete_path(spark: SparkSession, path: str) -> None:
     files, hadoop_path = _file_system(spark, path)
     files.delete(hadoop_path, True)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Create an empty marker file."""
+    files, hadoop_path = _file_system(spark, path)
+    files.create(hadoop_path, True).close()

@@ -64,9 +64,9 @@ def read_trends(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.TRENDS).parquet(path)
 
 
-def read_completions(spark: SparkSession, path: str) -> DataFrame:
-    """``(type, value)`` of all completion responses, one JSON document per file."""
-    return parse_completions(spark.read.text(path, wholetext=True))
+def read_completions(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """``(type, value)`` of all completion responses, one JSON document per file or per line."""
+    return parse_completions(spark.read.text(path, wholetext=not per_line))
 
 
 def parse_completions(responses: DataFrame) -> DataFrame:

@@ -13,17 +13,17 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.ratings import (
     daily_ratings, latest_trends, merge_ratings, parse_messages, rating_delta, trending, windows_of_days,
 )
-from ..session import delete_path, path_exists, rows_within
+from ..session import delete_path, path_exists, touch
 from ..sources.readers import read_dishes
 from ..sources.sinks import replace_partitions, replace_trends
 
 LATENESS = "1 day"
-CITY_LIMIT = 10_000
 
 # Stored dishes are rewritten per city, so they are brought up to date once a
-# day, like the windows slide; reading and summing goes on every second.
+# day, like the windows slide. Windows close once a day, so their state is committed
+# once a minute and not more often.
 DISHES_EVERY = "1 day"
-TRENDS_EVERY = "1 second"
+TRENDS_EVERY = "1 minute"
 QUARANTINE_EVERY = "1 minute"
 
 # Window state grows with dishes and days, so it is kept on disk, not on the heap.
@@ -46,6 +46,8 @@ def trending_windows(messages: DataFrame, lateness: str = LATENESS) -> DataFrame
     Chained windows: the state holds a row per dish and day, and only a closed
     day's row is added to the 14 windows it belongs to.
     """
+    if messages.sparkSession.conf.get("spark.sql.session.timeZone") != "UTC":
+        raise ValueError("windows begin at midnight UTC: set spark.sql.session.timeZone to UTC")
     timed = ratings_of(messages).withColumn("ts", F.col("ts").cast("timestamp"))
     return windows_of_days(daily_ratings(timed.withWatermark("ts", lateness)))
 
@@ -72,15 +74,14 @@ def apply_delta(delta: DataFrame, dishes_path: str, staged_path: str) -> None:
     and only puts it in place again, so no rating is ever added twice.
     """
     spark = delta.sparkSession
-    if not path_exists(spark, f"{staged_path}/_SUCCESS"):
+    marker = f"{staged_path.rstrip('/')}-complete"
+    if not path_exists(spark, marker):
         cities = delta.select("citystate").distinct()
         dishes = read_dishes(spark, dishes_path)
-        names = rows_within(cities, CITY_LIMIT)
-        if names is None:
-            touched = dishes.join(cities, "citystate", "left_semi")
-        else:  # a literal list prunes the folders to read
-            touched = dishes.where(F.col("citystate").isin([r.citystate for r in names]))
+        # The join prunes the folders that are read to the cities of the delta.
+        touched = dishes.join(cities, "citystate", "left_semi")
         merge_ratings(touched, delta).write.mode("overwrite").parquet(staged_path)
+        touch(spark, marker)
     replace_partitions(
         read_dishes(spark, staged_path), dishes_path, "citystate", ["dish", "businessid"]
     )
@@ -99,21 +100,27 @@ def start_dishes(
         finally:
             delta.unpersist()
         # A batch only starts after the one before was committed.
-        delete_path(batch.sparkSession, f"{staged}/batch-{batch_id - 1}")
+        for old in (f"{staged}/batch-{batch_id - 1}", f"{staged}/batch-{batch_id - 1}-complete"):
+            delete_path(batch.sparkSession, old)
 
     return _start(ratings_of(messages), checkpoint, available_now, every, step)
 
 
 def start_trends(
-    messages: DataFrame, trends_path: str, checkpoint: str, available_now: bool = False, every: str = TRENDS_EVERY
+    messages: DataFrame, trends_path: str, checkpoint: str, available_now: bool = False, every: str = TRENDS_EVERY,
+    lateness: str = LATENESS,
 ) -> StreamingQuery:
-    """Replace a city's trends whenever windows with its ratings close."""
+    """Replace a city's trends whenever windows with its ratings close.
+
+    Ratings of a day that ended ``lateness`` before the latest one seen are too late
+    for the windows; ``start_late`` writes them out.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         replace_trends(latest_trends(trending(batch)), trends_path)
 
     use_disk_state(messages.sparkSession)
-    return _start(trending_windows(messages), checkpoint, available_now, every, step)
+    return _start(trending_windows(messages, lateness), checkpoint, available_now, every, step)
 
 
 def start_quarantine(
@@ -123,3 +130,35 @@ def start_quarantine(
     writer = malformed(messages).writeStream.format("parquet").outputMode("append")
     writer = writer.option("checkpointLocation", checkpoint).option("path", path)
     return writer.trigger(**_trigger(available_now, every)).start()
+
+
+def late_ratings(batch: DataFrame, latest, lateness: str) -> DataFrame:
+    """Ratings of a batch whose day was closed by what came before ``latest``."""
+    ends = F.date_trunc("day", "ts") + F.expr("INTERVAL 1 DAY")
+    return batch.where(ends <= F.lit(latest).cast("timestamp") - F.expr(f"INTERVAL {lateness}"))
+
+
+def start_late(
+    messages: DataFrame, path: str, checkpoint: str, available_now: bool = False, every: str = TRENDS_EVERY,
+    lateness: str = LATENESS,
+) -> StreamingQuery:
+    """Write the ratings that come too late for the trends below ``path``.
+
+    The latest time of all batches before is kept beside the checkpoint, one small
+    table per batch, so a batch that is run again gives the same rows.
+    """
+    seen = f"{checkpoint}/latest"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        timed = batch.withColumn("ts", F.col("ts").cast("timestamp"))
+        before = f"{seen}/batch-{batch_id - 1}"
+        latest = spark.read.parquet(before).first().ts if path_exists(spark, before) else None
+        if latest is not None:
+            out = late_ratings(timed, latest, lateness).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+            out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        newest = timed.agg(F.greatest(F.max("ts"), F.lit(latest).cast("timestamp")).alias("ts"))
+        newest.write.mode("overwrite").parquet(f"{seen}/batch-{batch_id}")
+        delete_path(spark, f"{seen}/batch-{batch_id - 2}")
+
+    return _start(ratings_of(messages), checkpoint, available_now, every, step)

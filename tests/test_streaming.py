@@ -58,10 +58,10 @@ def test_each_rating_is_added_once(spark, feed):
     assert counts(spark, path) == {"x": (5, 17), "y": (2, 7), "z": (1, 3)}
 
 
-@pytest.mark.parametrize("city_limit", [10_000, 0])
-def test_repeated_batch_changes_nothing(spark, monkeypatch, city_limit):
+@pytest.mark.parametrize("marks", ["true", "false"])
+def test_repeated_batch_changes_nothing(spark, marks):
     """A batch that failed after its stage was written is put in place, not added again."""
-    monkeypatch.setattr(stream, "CITY_LIMIT", city_limit)
+    spark.sparkContext._jsc.hadoopConfiguration().set("mapreduce.fileoutputcommitter.marksuccessfuljobs", marks)
     path, staged = work_path(spark, "dishes"), work_path(spark, "staged")
     stored(spark, path)
     delta = rat.rating_delta(
@@ -69,8 +69,32 @@ def test_repeated_batch_changes_nothing(spark, monkeypatch, city_limit):
     )
     for _ in range(3):
         stream.apply_delta(delta, path, staged)
-        assert path_exists(spark, f"{staged}/_SUCCESS")
+        assert path_exists(spark, f"{staged}-complete")
         assert counts(spark, path) == {"x": (3, 13), "y": (1, 3), "z": (1, 3)}
+    spark.sparkContext._jsc.hadoopConfiguration().set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
+
+
+def test_late_ratings_are_written_out(spark, rows, feed):
+    append, messages = feed
+    path, checkpoint = work_path(spark, "late"), work_path(spark, "checkpoint")
+    for batch in (
+        [(day(20), "a,1,A,5"), (day(1), "same batch,1,A,5")],
+        [(day(4), "late,1,A,4"), (day(19, 23), "in time,1,A,3"), (day(30), "new,1,A,3")],
+        [(day(27), "late too,1,A,2"), (day(4), "later,1,A,1"), (day(29), "in time,1,A,1")],
+    ):
+        append(batch)
+        stream.start_late(messages(), path, checkpoint, available_now=True).awaitTermination()
+    assert rows(spark.read.parquet(path).select("dish")) == [("late",), ("late too",), ("later",)]
+
+
+def test_windows_need_utc(spark, feed):
+    _, messages = feed
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        with pytest.raises(ValueError):
+            stream.trending_windows(messages())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_stream_windows_equal_closed_batch_windows(spark, rows, feed):
