@@ -12,7 +12,7 @@ from .. import functions as fn
 from ..operators import dictionary as dic
 from ..operators import mentions as men
 from ..operators import ratings as rat
-from ..operators import scoring
+from ..operators import scoring, sentiment_model
 from ..operators.published import businesses_view, dishes_view, join_business, of_category
 from ..operators.sampling import sample_by_key
 from ..operators.sentiment import longest_sentences, score_sentences
@@ -377,6 +377,15 @@ def sentence_sentiment(t: Tables) -> DataFrame:
     return rows.select("review_id", "sentence_pos", "score")
 
 
+@query
+def sentence_sentiment_ml(t: Tables) -> DataFrame:
+    """Every sentence scored by a model of the quality labels of whole documents."""
+    labels = t.read("labels").select("doc_id", F.col("quality").alias("label"))
+    model = sentiment_model.fit(t.read("documents").select("doc_id", "text").join(labels, "doc_id"))
+    rows = sentiment_model.score_sentences(men.sentence_rows(t.reviews()), "sentence", model)
+    return rows.select("review_id", "sentence_pos", "score")
+
+
 @query
 def longest_sentence_sentiment(t: Tables) -> DataFrame:
     rows = score_sentences(longest_sentences(t.reviews()), "sentence", t.lexicon())

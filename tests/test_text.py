@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import time
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dishrank.operators import mentions as men
 from dishrank.operators import sentiment as sen
+from dishrank.operators import sentiment_model
 from dishrank.operators.dictionary import category_items, expand_categories, list_items, parse_dictionary
 from dishrank.operators.scoring import best_quote, dish_scores
 from dishrank.plans.build import dish_ratings, publish, scored_mentions
@@ -144,6 +146,21 @@ def test_polarities_of_a_word_add_up(spark, rows):
     assert rows(sen.score_sentences(frame, "s", words).select("id", "score")) == [(1, 5), (2, 4), (3, 3)]
 
 
+def test_trained_scores(spark):
+    rng = random.Random(4)
+    good, bad, other = ["great", "tasty", "lovely"], ["awful", "cold", "rude"], [f"w{i}" for i in range(60)]
+    texts = [(" ".join(rng.choices(good if k % 2 else bad, k=3) + rng.choices(other, k=5)), k % 2) for k in range(400)]
+    model = sentiment_model.fit(spark.createDataFrame(texts + [(None, 1), ("x", None)], "text string, label int"))
+    frame = spark.createDataFrame(
+        [(1, "Great, lovely and tasty!"), (2, "Cold. Awful and rude."), (3, None), (4, "w1 w2")], "id int, s string"
+    )
+    score = {r.id: r.score for r in sentiment_model.score_sentences(frame, "s", model).collect()}
+    assert score[1] == 5 and score[2] == 1 and score[3] == 3 and score[4] in (2, 3, 4)
+    held = [(" ".join(rng.choices(good if k % 2 else bad, k=2) + rng.choices(other, k=5)), k % 2) for k in range(100)]
+    rows = sentiment_model.score_sentences(spark.createDataFrame(held, "s string, label int"), "s", model).collect()
+    assert sum((r.score >= 3) == bool(r.label) for r in rows) >= 95
+
+
 def test_longest_sentence(rows, reviews, lexicon):
     longest = sen.longest_sentences(reviews.select("review_id", "text"))
     got = dict(rows(longest))
