@@ -346,7 +346,8 @@ def first_mention(t: Tables) -> DataFrame:
 @query
 def mentions_scored(t: Tables) -> DataFrame:
     """Every item of every review, each with the score of its sentence."""
-    scored = score_sentences(_found(t, "all"), "promo_text", t.lexicon())
+    found = sinks.stage_roundtrip(_found(t, "all"), work_path(t.spark, "mentions"))
+    scored = score_sentences(found, "promo_text", t.lexicon())
     return scored.select("review_id", "sentence_pos", "dish", "score")
 
 

@@ -1,9 +1,9 @@
 """Finding dictionary items in review and tip texts.
 
 One way for a dictionary of any size. The dictionary is turned into surface patterns,
-the words (and word sequences) of each text are joined to them, and the few that match
-go back to the text, which is then searched in its own row. Texts are known by a digest
-while that happens: reviews need no key, and equal texts are no trouble.
+the words (and word sequences) of each text are joined to them, and the places of the few
+that match go back to the text. Texts are known by a digest while that happens: reviews
+need no key, and equal texts are no trouble.
 
 The pattern table is written first, so its size is known: Spark broadcasts it while it
 is small, and the words of the texts only shuffle when it is large.
@@ -88,32 +88,28 @@ def dictionary_patterns(dictionary: DataFrame, lemma_table: DataFrame, max_ngram
     return spelled.groupBy("pattern").agg(F.min("item").alias("dish"))
 
 
-def _grams_at(words: Column, max_ngram: int, take) -> Column:
-    """Per place of a sentence what ``take`` makes of its word sequences, short ones first."""
+def _sequences(words: Column, max_ngram: int) -> Column:
+    """``(token_pos, width, pattern)`` of all word sequences of a sentence."""
 
-    def sequences(words: Column) -> Column:
+    def within(words: Column) -> Column:
         def at(word: Column, start: Column) -> Column:
             widths = F.sequence(F.lit(1), F.least(F.lit(max_ngram), F.size(words) - start))
-            return F.transform(widths, lambda k: take(F.array_join(F.slice(words, start + 1, k), " ")))
+            return F.transform(widths, lambda k: F.struct(
+                start.alias("token_pos"), k.alias("width"), F.array_join(F.slice(words, start + 1, k), " ").alias("pattern")
+            ))
 
         return F.flatten(F.transform(words, at))
 
-    return bound(words, sequences)
-
-
-def _sequences(words: Column, max_ngram: int, take=lambda gram: gram) -> Column:
-    return F.transform(words, take) if max_ngram == 1 else _grams_at(words, max_ngram, take)
-
+    if max_ngram == 1:
+        return F.transform(words, lambda word, start: F.struct(start.alias("token_pos"), F.lit(1).alias("width"), word.alias("pattern")))
+    return bound(words, within)
 
-def matches_of_texts(keyed: DataFrame, patterns: DataFrame, max_ngram: int) -> DataFrame:
-    """``(text_key, matched)``: the map of patterns that a text holds to their items.
 
-    Hits are combined per task before the shuffle; a map is as large as its text at most.
-    """
-    sentences = F.transform(sentences_of(F.col("text")), lambda s: _sequences(words_of(s), max_ngram))
-    grams = keyed.select("text_key", F.explode(F.array_distinct(F.flatten(sentences))).alias("pattern"))
-    hits = grams.join(patterns, "pattern").groupBy("text_key").agg(F.collect_set(F.struct("pattern", "dish")).alias("hits"))
-    return hits.select("text_key", F.map_from_entries("hits").alias("matched"))
+def hit_rows(keyed: DataFrame, patterns: DataFrame, max_ngram: int) -> DataFrame:
+    """``(text_key, sentence_pos, token_pos, width, dish)`` of every match in the texts."""
+    sentences = keyed.select("text_key", F.posexplode(sentences_of(F.col("text"))).alias("sentence_pos", "sentence"))
+    grams = sentences.select("text_key", "sentence_pos", F.explode(_sequences(words_of(F.col("sentence")), max_ngram)).alias("g"))
+    return grams.select("text_key", "sentence_pos", "g.*").join(patterns, "pattern").drop("pattern")
 
 
 def find_mentions(
@@ -133,26 +129,23 @@ def find_mentions(
     patterns = dictionary_patterns(dictionary, lemma_table, max_ngram)
     patterns = stage_roundtrip(patterns, work_path(reviews.sparkSession, "patterns"))
     keyed = reviews.withColumn("text_key", text_key(F.col("text")))
-    rows = keyed.join(matches_of_texts(keyed, patterns, max_ngram), "text_key")
-
-    def dishes(sentence: Column) -> Column:
-        found = _sequences(words_of(sentence), max_ngram, lambda gram: F.element_at("matched", gram))
-        return F.filter(found, lambda dish: dish.isNotNull())
-
-    found = F.filter(
-        F.transform(
-            sentences_of(F.col("text")),
-            lambda s, i: F.struct(i.alias("sentence_pos"), s.alias("sentence"), dishes(s).alias("dishes")),
-        ),
-        lambda s: F.size(s["dishes"]) > 0,
+    # Hits are combined per task before the shuffle. Rows of one text give the same
+    # hits, so neither the maximum nor the set depends on how many there are.
+    hits = hit_rows(keyed, patterns, max_ngram).groupBy("text_key")
+    if policy == "all":
+        found = hits.agg(F.collect_set(F.struct("sentence_pos", "dish")).alias("found"))
+    else:
+        first = F.col("sentence_pos") if policy == "last" else -F.col("sentence_pos")
+        best = F.max(F.struct(first.alias("first"), "token_pos", "width", "sentence_pos", "dish"))
+        found = hits.agg(best.alias("m")).select("text_key", F.array(F.struct("m.sentence_pos", "m.dish")).alias("found"))
+    # A text is split into its sentences once, however many of them are taken.
+    taken = bound(sentences_of(F.col("text")), lambda sentences: F.transform("found", lambda m: F.struct(
+        m["sentence_pos"].alias("sentence_pos"), m["dish"].alias("dish"), F.get(sentences, m["sentence_pos"]).alias("sentence")
+    )))
+    rows = keyed.join(found, "text_key").select(*kept, F.explode(taken).alias("m"))
+    return rows.select(
+        *kept, "m.sentence_pos", "m.dish", clip_sentence(F.col("m.sentence"), F.col("m.dish")).alias("promo_text")
     )
-    picked = {"all": found, "last": F.slice(found, -1, 1), "first_sentence": F.slice(found, 1, 1)}[policy]
-    # The generator drops rows without a hit and keeps the search from being
-    # evaluated a second time in a pushed-down filter.
-    rows = rows.select(*kept, F.explode(picked).alias("m"))
-    dish = F.explode(F.array_distinct("m.dishes")) if policy == "all" else F.element_at("m.dishes", -1)
-    mentions = rows.select(*kept, "m.sentence_pos", "m.sentence", dish.alias("dish"))
-    return mentions.withColumn("promo_text", clip_sentence(F.col("sentence"), F.col("dish"))).drop("sentence")
 
 
 def mention_rows(tokens: DataFrame, dictionary: DataFrame, lemma_table: DataFrame) -> DataFrame:

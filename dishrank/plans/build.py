@@ -10,6 +10,7 @@ from ..operators.mentions import find_mentions
 from ..operators.published import businesses_view, dishes_view, join_business
 from ..operators.scoring import dish_scores, union_all
 from ..operators.sentiment import score_sentences
+from ..session import work_path
 from ..sources.sinks import publish_businesses, publish_dishes, stage_roundtrip
 
 
@@ -23,6 +24,8 @@ def scored_mentions(
 ) -> DataFrame:
     """``(business_id, dish, score, promo_text, promo_date)`` of texts with ``business_id, text, date``."""
     found = find_mentions(texts, dictionary, lemma_table, policy, max_ngram)
+    # Scoring reads the mentions twice, so they are written once.
+    found = stage_roundtrip(found, work_path(texts.sparkSession, "mentions"))
     scored = score_sentences(found, "promo_text", lexicon)
     return scored.select(
         "business_id", "dish", "score", "promo_text", F.try_to_date(F.col("date")).alias("promo_date")
