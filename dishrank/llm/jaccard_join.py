@@ -8,11 +8,14 @@
    similar sets cannot both miss, are its keys. A tile holds the nodes of one key and
    one size band; the band below takes them as well, so that all sizes within the
    ratio meet.
-3. In each tile every node is compared to the tile's first one. A pair is bounded by
-   hashed bitmaps of its sets (bits that one side alone has are missing overlap) before
-   the sorted sets are intersected. Linked nodes form components.
-4. Tiles that still hold several components compare all pairs across them, so no link
-   between components is lost, and the components are final.
+3. In rounds, each tile compares one of its nodes to the others and drops it. A pair is
+   bounded by hashed bitmaps of its sets (bits that one side alone has are missing
+   overlap) before the sorted sets are intersected. Linked nodes form components, and a
+   tile that holds one component only is done.
+4. Tiles that are left after ``ROUNDS`` are cut into blocks. Block by block all pairs of
+   different components are bounded by their bitmaps as arrays, and those that the bound
+   lets through are intersected. So no link between components is lost, and a group of
+   near copies never gives all its pairs.
 
 A shingle that ``COMMON`` documents of one slice share is counted as common there and
 sends one entry, so a passage of a third of all documents is no hot partition.
@@ -45,6 +48,11 @@ THRESHOLD = 80  # per cent
 COMMON = 16
 # A little over 1 / 0.8, so that rounding cannot part similar sizes by two bands.
 BAND = 1.26
+# Bits of a bitmap for each shingle.
+BITS = 8
+ROUNDS = 2
+# Rows of a tile's block.
+BLOCK = 1_024
 
 _SHORT = np.uint64(0xC2B2AE3D27D4EB4F)
 _SHORT_SIZES = np.arange(64, dtype=np.uint64) * _SHORT
@@ -174,8 +182,8 @@ def band_of(size: np.ndarray) -> np.ndarray:
 
 
 def bitmap_words(band: np.ndarray) -> np.ndarray:
-    """64-bit words of a band's bitmaps: about two bits for each shingle."""
-    return np.ceil(np.power(BAND, band + 1.0) * 2 / 64).astype(np.int64).clip(1)
+    """64-bit words of a band's bitmaps."""
+    return np.ceil(np.power(BAND, band + 1.0) * BITS / 64).astype(np.int64).clip(1)
 
 
 def _bitmaps(hashes: np.ndarray, sizes: np.ndarray, band: np.ndarray) -> pa.Array:
@@ -300,35 +308,94 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def similar_nodes(nodes: DataFrame) -> DataFrame:
-    """``(node, component)`` of nodes that link with another one."""
-    tiles = staged(tile_rows(nodes), "tiles")
-    leaders = tiles.where(~F.col("upper")).groupBy("key", "tile").agg(
-        F.min(F.struct("node", "n")).alias("first")
-    ).select("key", "tile", F.col("first.node").alias("lead"), F.col("first.n").alias("lead_n"))
-    star = tiles.join(leaders, ["key", "tile"]).where(
-        (F.col("node") != F.col("lead")) & sizes_fit(F.col("n"), F.col("lead_n"))
-    ).select(*_ordered("node", "lead")).distinct()
-    compared = staged(star, "pairs")
-    edges = staged(linked(compared, nodes), "edges")
-    named = components(edges)
-
-    placed = tiles.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key", "tile").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    ).where("low < high").select("key", "tile")
-    open_tiles = staged(placed.join(mixed, ["key", "tile"], "left_semi"), "open")
-    lower = open_tiles.where(~F.col("upper")).select(
-        "key", "tile", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_c")
+def _bound_blocks(keys: tuple, rows: pa.Table) -> pa.Table:
+    """Pairs of one pair of blocks whose bitmaps allow a link, one of the two in its own band.
+
+    A pair that shares several keys is left to the tile of the smallest one.
+    """
+    first = np.asarray(rows.column("mine"), dtype=np.int64) == keys[2].as_py()
+    second = np.asarray(rows.column("mine"), dtype=np.int64) == keys[3].as_py()
+    n, c, node, component = (np.asarray(rows.column(k), dtype=np.int64) for k in ("n", "c", "node", "component"))
+    upper = np.asarray(rows.column("upper")).astype(bool)
+    bits = np.asarray(pa.compute.list_flatten(rows.column("map").combine_chunks()), dtype=np.int64)
+    bits = bits.view(np.uint64).reshape(len(n), -1) if len(n) else bits.reshape(0, 1)
+    lists = rows.column("keys").combine_chunks()
+    shared = np.asarray(pa.compute.list_flatten(lists), dtype=np.int64)
+    lengths = np.asarray(pa.compute.list_value_length(lists), dtype=np.int64)
+    starts = np.cumsum(lengths) - lengths
+    out_a, out_b = [], []
+    other = np.flatnonzero(second)
+    for i in np.flatnonzero(first & ~upper):
+        fits = np.minimum(n[i], n[other]) * 100 >= np.maximum(n[i], n[other]) * THRESHOLD
+        fits &= (component[other] != component[i]) & (upper[other] | (node[other] > node[i]) | ~first[other])
+        near = other[fits]
+        if not len(near):
+            continue
+        lacking = np.bitwise_count(bits[i] & ~bits[near]).sum(axis=1)
+        spare = np.bitwise_count(bits[near] & ~bits[i]).sum(axis=1)
+        bound = np.minimum(c[i] - lacking.astype(np.int64), c[near] - spare.astype(np.int64))
+        near = near[bound * (100 + THRESHOLD) >= (n[i] + n[near]) * THRESHOLD]
+        if not len(near):
+            continue
+        heads = np.cumsum(lengths[near]) - lengths[near]
+        theirs = shared[np.arange(int(lengths[near].sum())) + np.repeat(starts[near] - heads, lengths[near])]
+        common = np.isin(theirs, shared[starts[i]:starts[i] + lengths[i]])
+        least = np.minimum.reduceat(np.where(common, theirs, np.iinfo(np.int64).max), heads)
+        near = near[least == keys[0].as_py()]
+        out_a.append(np.minimum(node[i], node[near]))
+        out_b.append(np.maximum(node[i], node[near]))
+    a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
+    b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
+    pairs = np.unique(np.stack([a, b]), axis=1)
+    return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+
+
+def pairs_across(open_tiles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of different components that share a tile and that bitmaps do not rule out."""
+    maps = nodes.select("node", "c", F.col("band").alias("own"), "bits", "low", "keys")
+    sizes = open_tiles.groupBy("key", "tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    rows = open_tiles.join(sizes, ["key", "tile"]).join(maps, "node").select(
+        "key", "tile", "node", "n", "c", "upper", "component", "blocks", "keys",
+        F.when(F.col("own") == F.col("tile"), F.col("bits")).otherwise(F.col("low")).alias("map"),
+        F.pmod(F.xxhash64("node"), F.col("blocks")).alias("mine"),
     )
-    across = lower.join(open_tiles, ["key", "tile"]).where(
-        (F.col("x_c") != F.col("component")) & (F.col("upper") | (F.col("x") < F.col("node")))
-        & sizes_fit(F.col("x_n"), F.col("n"))
-    ).select(*_ordered("x", "node")).distinct()
-    more = staged(linked(across.join(compared, ["a", "b"], "left_anti"), nodes), "edges")
-    if not more.limit(1).count():
-        return named
-    return components(edges.union(more))
+    # A block of nodes in their own band meets every block of its tile, itself included.
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = rows.where(~F.col("upper")).select("*", F.col("mine").alias("i"), others.alias("j"))
+    right = rows.select("*", others.alias("i"), F.col("mine").alias("j")).where("i <> j or upper")
+    both = left.union(right).drop("blocks")
+    return both.groupBy("key", "tile", "i", "j").applyInArrow(_bound_blocks, "a long, b long").distinct()
+
+
+def similar_nodes(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
+    """``(node, component)`` of nodes that link with another one; none if there is no link."""
+    tiles = staged(tile_rows(nodes).withColumn("component", F.col("node")), "tiles")
+    edges, named = None, None
+    for number in range(rounds):
+        leaders = tiles.where(~F.col("upper")).groupBy("key", "tile").agg(
+            F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "n", "component")).alias("lead")
+        )
+        met = tiles.join(leaders, ["key", "tile"]).where(F.col("node") != F.col("lead.node"))
+        pairs = met.where((F.col("component") != F.col("lead.component")) & sizes_fit(F.col("n"), F.col("lead.n")))
+        pairs = pairs.select(*_ordered("node", "lead.node")).distinct()
+        fresh = staged(linked(pairs, nodes), "edges")
+        rest = met.drop("lead")
+        if fresh.limit(1).count():
+            edges = fresh if edges is None else edges.union(fresh)
+            named = components(edges)
+            rest = rest.drop("component").join(named, "node", "left").withColumn(
+                "component", F.coalesce("component", "node")
+            )
+        mixed = rest.groupBy("key", "tile").agg(
+            F.min("component").alias("least"), F.max("component").alias("most"), F.min("upper").alias("one")
+        ).where("least < most and not one").select("key", "tile")
+        tiles = staged(rest.join(mixed, ["key", "tile"], "left_semi"), "tiles")
+        if not tiles.limit(1).count():
+            return named
+    more = staged(linked(pairs_across(tiles, nodes), nodes), "edges")
+    if more.limit(1).count():
+        named = components(more if edges is None else edges.union(more))
+    return named
 
 
 def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -342,6 +409,8 @@ def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", width:
     )
     nodes = staged(alive.dropDuplicates(["node"]), "nodes")
     named = similar_nodes(nodes)
+    if named is None:
+        named = nodes.select("node", F.col("node").alias("component"))
     # Names of nodes become the smallest document id of all their members.
     members = named.join(least, "node")
     smallest = members.groupBy("component").agg(F.min("least").alias("component_id"))
