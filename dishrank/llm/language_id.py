@@ -31,6 +31,8 @@ UNKNOWN = "und"
 RANKS = 300
 # Bound on the labelled rows that profiles are made of.
 FIT_ROWS = 20_000
+# Documents whose n-grams are counted together.
+COUNTED = 200
 # Every fifth document, by the check sum of its id, is never learned from.
 FOLDS = 5
 
@@ -108,7 +110,7 @@ def fit(labelled: DataFrame, ranks: int = RANKS, rows: int = FIT_ROWS) -> Profil
     chosen = fit_sample(labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, COUNTED) for b in batches for at in range(0, b.num_rows, COUNTED)):
             by_lang: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 by_lang.setdefault(lang, []).append(ngrams(text))

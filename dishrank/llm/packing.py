@@ -39,8 +39,8 @@ ROUNDS = 200
 NUMBERED_TOGETHER = 20_000
 
 # Entries of the memos of one Python worker; beyond them work is repeated, not lost.
-RUN_MEMO = 300_000
-WORD_MEMO = 300_000
+RUN_MEMO = 200_000
+WORD_MEMO = 200_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 # White space of Unicode; unlike str.split it leaves out 0x1c to 0x1f.
 _SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")

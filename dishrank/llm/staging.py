@@ -14,15 +14,23 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 # Text bytes that one partition of an exchange stands for.
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES = 6 << 20
+
+
+# Rows of an Arrow batch where the session has Spark's default, which would hold
+# ten times as many texts in memory at once.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers started from here import this package.
+    """Let Python workers started from here import this package, with batches of bounded size.
 
     On a cluster the package is installed or shipped with ``--py-files``; a path
     that does not exist there does no harm.
     """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
     if PACKAGE_ROOT not in known.split(os.pathsep):

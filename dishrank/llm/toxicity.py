@@ -39,8 +39,8 @@ FUZZY_LENGTH = 5
 WINDOW = 10
 # Lengths of the beginnings of words that are counted besides whole words.
 STEMS = (4, 5, 6)
-STATE_MEMO = 200_000
-WORD_MEMO = 300_000
+STATE_MEMO = 100_000
+WORD_MEMO = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTE = re.compile(r"[\"“”„«»]")
