@@ -10,9 +10,15 @@ shards' winners are ranked together. All searches of a block advance together as
 Nearness is the largest inner product. For the graph every vector gets one more
 component that makes all lengths equal, so that nearer means a larger inner product.
 
+The graphs hold each different vector once, under a hash of its components, and a
+written table has the ids of each. Copies in a graph would prune each other's edges
+away or fill them up, so most could not be reached. A vector that is found stands for
+all its ids, of which a query takes the smallest ones up to ``k``.
+
 Every vector is indexed. Defined results: vectors that are null, empty, zero or hold
 null or non-finite components take no part; a query meets its own dimension; equal
-scores go to the smaller id; a query's own id is no candidate.
+scores go to the smaller id; a query's own id is no candidate; repeated rows are
+candidates each. Two different vectors are taken for one with probability 2**-64 per pair.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import plain, ready, staged
@@ -37,7 +43,7 @@ OPENED = 4
 JOINED = 256
 
 INDEX = "dim int, block long, ids binary, vectors binary, graph binary, entry int"
-FOUND = "query_row long, query_id long, vec_id long, score double"
+FOUND = "query_row long, query_id long, node long, score double"
 
 
 def lifted(points: np.ndarray) -> np.ndarray:
@@ -163,8 +169,19 @@ class Graph:
                 self._set(nodes, robust_prune(self.points, nodes, self.lists[nodes], self.degree, self.alpha))
 
 
+def with_node(rows: DataFrame) -> DataFrame:
+    """Rows with the hash that equal vectors share; adding 0.0 makes one zero of the two."""
+    whole = F.transform(F.col("vector").cast("array<double>"), lambda x: x + F.lit(0.0))
+    return rows.select("id", whole.alias("vector")).withColumn("node", F.xxhash64("vector"))
+
+
+def members_of(rows: DataFrame) -> DataFrame:
+    """Written table ``node, id, copies`` of all rows ``(id, vector)``."""
+    return staged(with_node(rows).groupBy("node", "id").agg(F.count(F.lit(1)).alias("copies")), "members")
+
+
 def build_index(rows: DataFrame, shard: int = SHARD_VECTORS) -> DataFrame:
-    """Written index of rows ``(id, vector)``, one row per shard."""
+    """Written index of the different vectors of rows ``(id, vector)``, one row per shard."""
 
     def graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +194,8 @@ def build_index(rows: DataFrame, shard: int = SHARD_VECTORS) -> DataFrame:
                     "entry", pa.array([graph.entry], pa.int32())
                 )
 
-    shards = blocks(rows, shard)
+    different = with_node(rows).select(F.col("node").alias("id"), "vector").dropDuplicates(["id"])
+    shards = blocks(different, shard)
     spread = shards.repartition(max(1, int(shards.sparkSession.sparkContext.defaultParallelism)), "block", "dim")
     return staged(spread.mapInArrow(graphs, INDEX), "graphs")
 
@@ -197,28 +215,37 @@ def _search(k: int, beam: int):
                 found, _ = beam_search(high, graph, shard["entry"], flat, max(beam, k + 1))
                 row, place = np.nonzero(found >= 0)
                 node = found[row, place]
-                other = names[node] != asked[row]
-                row, node = row[other], node[other]
                 scores = np.einsum("ij,ij->i", wanted[row], points[node])
                 order = np.lexsort((names[node], -scores, row))
                 row, node, scores = row[order], node[order], scores[order]
+                # One more than k, for the query's own vector; those equal to the last stay, for ids settle ties.
                 first = np.searchsorted(row, row)
-                best = np.arange(len(row)) - first < k
+                last = np.minimum(first + k, np.searchsorted(row, row, side="right") - 1)
+                best = scores >= scores[last]
                 row, node, scores = row[best], node[best], scores[best]
                 out.append((number * (1 << 20) + row, asked[row], names[node], scores))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 4
         return pa.table({
             "query_row": pa.array(columns[0].astype(np.int64)), "query_id": pa.array(columns[1].astype(np.int64)),
-            "vec_id": pa.array(columns[2].astype(np.int64)), "score": pa.array(columns[3].astype(np.float64)),
+            "node": pa.array(columns[2].astype(np.int64)), "score": pa.array(columns[3].astype(np.float64)),
         })
 
     return run
 
 
-def search(queries: DataFrame, index: DataFrame, k: int, beam: int = QUERY_BEAM) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of rows ``(id, vector)`` against an index."""
+def search(queries: DataFrame, index: DataFrame, members: DataFrame, k: int, beam: int = QUERY_BEAM) -> DataFrame:
+    """``query_id, rank, vec_id, score`` of rows ``(id, vector)`` against an index and its members."""
     asked = staged(blocks(queries, QUERY_BLOCK), "queries")
-    return best_of(staged(meet(asked, index, _search(k, beam), FOUND), "found"), k)
+    found = staged(meet(asked, index, _search(k, beam), FOUND), "found")
+    place = Window.partitionBy("query_row", "query_id").orderBy(F.desc("score"))
+    near = found.withColumn("place", F.rank().over(place)).where(F.col("place") <= k + 1)
+    # No query takes more ids of one vector than k, its own left out.
+    order = Window.partitionBy("node").orderBy("id")
+    first = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    met = near.drop("place").join(first.select("node", F.col("id").alias("vec_id"), "copies"), "node")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long"))))
+    rows = met.where(F.col("vec_id") != F.col("query_id")).select("query_row", "query_id", "vec_id", "score", each.alias("copy"))
+    return best_of(rows, k)
 
 
 def nearest(df: DataFrame, k: int, every: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -227,4 +254,4 @@ def nearest(df: DataFrame, k: int, every: int, id: str = "vec_id", vector: str =
     rows = plain(df, id=id, vector=vector)
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector")) & nonzero(F.col("vector")))
     rows = rows.select(F.col("id").cast("long").alias("id"), "vector")
-    return search(rows.where(F.pmod("id", F.lit(every)) == 0), build_index(rows), k)
+    return search(rows.where(F.pmod("id", F.lit(every)) == 0), build_index(rows), members_of(rows), k)

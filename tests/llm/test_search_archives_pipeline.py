@@ -100,6 +100,31 @@ def test_neighbours_of_odd_rows(vectors_of):
     assert len(hit) >= 0.9 * len({(q, i) for q, _, i, _ in expected})
 
 
+@pytest.mark.parametrize("dim", [8, 64])
+def test_neighbours_among_many_equal_vectors(vectors_of, dim):
+    rng = np.random.default_rng(9)
+    unit = rng.normal(size=(900, dim))
+    unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+    unit[::3] = unit[0]
+    unit[1::90] = unit[1]
+    rows = [(i, v.tolist()) for i, v in enumerate(unit)] + [(0, unit[0].tolist()), (3, unit[5].tolist())]
+    zeros = unit[7].copy()
+    zeros[0] = 0.0
+    rows += [(2000, zeros.tolist()), (2001, [-0.0, *zeros.tolist()[1:]])]
+    got = ann.nearest(vectors_of(rows), k=20, every=20).collect()
+    expected = expected_top(usable(rows), 20, 20)
+    assert len(got) == len(expected)
+    # Queries that have copies find these in the order of their ids.
+    first = {(r.query_id, r.rank): r.vec_id for r in got}
+    copies = sorted([0, *range(0, 900, 3)])
+    for q in range(60, 900, 60):
+        assert [first[q, n + 1] for n in range(20)] == [i for i in copies if i != q][:20]
+    # Zeros of either sign are equal; so is the score of the vector that they were made of.
+    assert (first[2000, 1], first[2000, 2]) == (7, 2001)
+    hit = {(r.query_id, r.vec_id) for r in got} & {(q, i) for q, _, i, _ in expected}
+    assert len(hit) >= 0.95 * len({(q, i) for q, _, i, _ in expected})
+
+
 def test_no_vectors(vectors_of):
     assert exact_search.exact_top_k(vectors_of([]), 10, 100).count() == 0
     assert ann.nearest(vectors_of([]), 20, 20).count() == 0
