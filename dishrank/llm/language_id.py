@@ -86,13 +86,17 @@ class Profiles:
         away = np.minimum(np.abs(places - np.arange(len(grams), dtype=np.int32)), self.most)
         return np.where(places < 0, self.most, away).sum(axis=1)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def judged(self, text: str | None) -> tuple[str, float, int]:
+        """Language, score and length of the text's own list."""
         grams = ranked(text or "", self.most)
         if not len(grams) or not len(self.grams):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, len(grams)
         away = self.distances(grams)
         best = int(away.argmin())
-        return self.names[best], 1.0 - float(away[best]) / (self.most * len(grams))
+        return self.names[best], 1.0 - float(away[best]) / (self.most * len(grams)), len(grams)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judged(text)[:2]
 
 
 def fit_sample(labelled: DataFrame, rows: int) -> DataFrame:
@@ -104,10 +108,15 @@ def fit_sample(labelled: DataFrame, rows: int) -> DataFrame:
     return labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 32)) < share)
 
 
+def fit_rows(labelled: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """The rows ``(id, text, lang)`` that profiles are made of."""
+    return fit_sample(labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), rows)
+
+
 def fit(labelled: DataFrame, ranks: int = RANKS, rows: int = FIT_ROWS) -> Profiles:
     """Profiles from rows ``(id, text, lang)``; at most ``ranks`` n-grams a language reach the driver."""
     ready(labelled.sparkSession)
-    chosen = fit_sample(labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), rows)
+    chosen = fit_rows(labelled, rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, COUNTED) for b in batches for at in range(0, b.num_rows, COUNTED)):
@@ -132,23 +141,31 @@ def fit(labelled: DataFrame, ranks: int = RANKS, rows: int = FIT_ROWS) -> Profil
 
 
 def predict_column(text: Column, profiles: Profiles) -> Column:
-    """``struct<lang_pred, score>`` of each text."""
+    """``struct<lang_pred, score, n>`` of each text; ``n`` n-grams were ranked."""
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @F.arrow_udf("struct<lang_pred: string, score: double, n: int>")
     def predict(texts: pa.Array) -> pa.Array:
-        langs, scores = [], []
+        langs, scores, sizes = [], [], []
         for at in range(0, len(texts), 500):
             for text in texts.slice(at, 500).to_pylist():
-                lang, score = profiles.predict(text)
+                lang, score, size = profiles.judged(text)
                 langs.append(lang)
                 scores.append(score)
+                sizes.append(size)
         return pa.StructArray.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"]
+            [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int32())],
+            names=["lang_pred", "score", "n"],
         )
 
     return predict(text)
 
 
+def lowest_score(labelled: DataFrame, profiles: Profiles, least: int, rows: int = FIT_ROWS) -> float | None:
+    """Lowest score of the rows profiles were fitted on, of those with ``least`` ranked n-grams."""
+    found = fit_rows(labelled, rows).select(predict_column(F.col("text"), profiles).alias("found"))
+    return found.where(F.col("found.n") >= least).agg(F.min("found.score")).first()[0]
+
+
 def training_rows(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     rows = plain(df, id=id, text=text, lang=lang)
     return rows.where(~held_out(F.col("id")))

@@ -220,6 +220,28 @@ def test_pipeline_matches_plain_stages(spark, docs_of, near_copies, tmp_path):
     assert lengths == expected
 
 
+def test_letter_junk_and_unlearned_languages_go(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rng = np.random.default_rng(4)
+
+    def junk(words):
+        return " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(words))
+
+    polish = (
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni "
+        "rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."
+    )
+    gone = [polish, junk(10), junk(30), junk(200), junk(500), "12 34", None]
+    stay = ["the", "ok", "The cat", "This is the house of the man.", "le chat et la maison", "der Hund und die Katze"]
+    rows = [(10_000_000 + i, t, "en", "s", len(t or "")) for i, t in enumerate(gone + stay)]
+    # Without a label, so that no row is learned from.
+    extra = spark.createDataFrame([(*r[:2], None, *r[3:]) for r in rows], docs.schema)
+    out = corpus_pipeline.known_language(spark, docs.union(extra), DATA)
+    assert {r.text for r in out.where("doc_id >= 10000000").collect()} == set(stay)
+    lettered = docs.where(F.col("text").rlike(r"\p{L}"))
+    assert out.where("doc_id < 10000000").count() == lettered.count()
+
+
 def test_stages_return_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
