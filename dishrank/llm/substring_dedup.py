@@ -13,6 +13,10 @@ of all documents share costs one entry per slice.
 A window is known by 64 bits; two different windows are taken for one with
 probability 2**-64 per pair, and lie in one partition only by another hash as well.
 
+Texts of an id with more bytes than ``HEAVY_BYTES`` are dealt to several buckets by a
+salt, and what they ask for is answered to the salt that asked, so a repeated id of a
+third of all rows is in no single task. Rows without an id never meet other rows.
+
 Defined results: a null text has no words; a text shorter than a window keeps all
 its words; rows with equal ids do not remove from each other; rows with a null id
 are left as they are and remove nothing; an empty table gives an empty result.
@@ -28,23 +32,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .staging import partitions_for, ready, staged, text_bytes, with_kept
+from .staging import PARTITION_BYTES, partitions_for, ready, staged, with_kept
 from .words import kept_texts, mix, slices, window_hashes, words_of
 
 WIDTH = 13
 
+# Text bytes of one id above which its rows are salted, rows in a row that share a salt.
+HEAVY_BYTES = PARTITION_BYTES
+SALTED_ROWS = 1_000
+
+# A bucket below zero holds windows that are asked for: -1 less the salt of who asks.
 PACKED = "part int, bucket int, ids binary, counts binary, hashes binary"
 _ID_SALT = np.uint64(0xA0761D6478BD642F)
 
 
-def id_buckets(ids: np.ndarray, count: int) -> np.ndarray:
-    """Bucket of each id; ``bucket_column`` is the same rule as an expression."""
-    return np.mod(ids ^ (ids >> 17), count).astype(np.int32)
+def id_buckets(ids: np.ndarray, count: int, salts: np.ndarray | int = 0) -> np.ndarray:
+    """Bucket of each id and salt; ``bucket_column`` is the same rule as an expression."""
+    return np.mod(np.mod(ids ^ (ids >> 17), count) + salts, count).astype(np.int32)
 
 
-def bucket_column(id: Column, count: int) -> Column:
-    known = F.coalesce(id, F.lit(0).cast("long"))
-    return F.pmod(known.bitwiseXOR(F.shiftright(known, 17)), F.lit(count).cast("long")).cast("int")
+def bucket_column(id: Column, count: int, salt: Column) -> Column:
+    plain = F.pmod(id.bitwiseXOR(F.shiftright(id, 17)), F.lit(count).cast("long"))
+    return F.pmod(plain + salt, F.lit(count).cast("long")).cast("int")
 
 
 def packed_rows(
@@ -96,17 +105,25 @@ def _send(width: int, parts: int, buckets: int):
                 if not len(hashes):
                     continue
                 ids = piece.column("id").to_numpy(zero_copy_only=False).astype(np.int64)[words.text_of[first]]
+                salts = piece.column("salt").to_numpy(zero_copy_only=False).astype(np.int64)[words.text_of[first]]
                 least = _smallest(ids, hashes)
                 mine = ids == least
                 rows = []
-                # Of a window that a document holds several times one entry will do.
-                chosen = np.flatnonzero(mine)
-                _, once = np.unique(hashes[chosen], return_index=True)
-                chosen = chosen[np.sort(once)]
-                part = (mix(hashes[chosen] + np.uint64(1)) % np.uint64(parts)).astype(np.int32)
-                rows += [(p, -1, *rest) for p, *rest in packed_rows(part, ids[chosen], hashes[chosen])]
+                for salt in np.unique(salts[mine]).tolist():
+                    # Of a window that a document holds several times one entry will do.
+                    chosen = np.flatnonzero(mine & (salts == salt))
+                    _, once = np.unique(hashes[chosen], return_index=True)
+                    chosen = chosen[np.sort(once)]
+                    part = (mix(hashes[chosen] + np.uint64(1)) % np.uint64(parts)).astype(np.int32)
+                    rows += [(p, -1 - salt, *rest) for p, *rest in packed_rows(part, ids[chosen], hashes[chosen])]
                 others = np.flatnonzero(~mine)
-                to = id_buckets(ids[others], buckets)
+                # The same windows of one id and salt are answered once.
+                to = id_buckets(ids[others], buckets, salts[others])
+                order = np.lexsort((hashes[others], ids[others], to))
+                others, to = others[order], to[order]
+                fresh = np.ones(len(others), dtype=bool)
+                fresh[1:] = (to[1:] != to[:-1]) | (ids[others][1:] != ids[others][:-1]) | (hashes[others][1:] != hashes[others][:-1])
+                others, to = others[fresh], to[fresh]
                 rows += [(int(b) % parts, b, *rest) for b, *rest in packed_rows(to, ids[others], hashes[others])]
                 yield _table(rows)
 
@@ -118,13 +135,15 @@ def _resolve(buckets: int):
         local = table.filter(pa.compute.greater_equal(table.column("bucket"), 0))
         asked = table.filter(pa.compute.less(table.column("bucket"), 0))
         ids, hashes = unpack(asked)
+        entries = np.array([len(h) // 8 for h in asked.column("hashes").to_pylist()], dtype=np.int64)
+        salts = np.repeat(-1 - np.asarray(asked.column("bucket"), dtype=np.int64), entries)
         rows = []
         if len(ids):
             gone = ids > _smallest(ids, hashes)
-            ids, hashes = ids[gone], hashes[gone]
+            ids, hashes, salts = ids[gone], hashes[gone], salts[gone]
             order = np.argsort(ids, kind="stable")
-            ids, hashes = ids[order], hashes[order]
-            rows = [(0, b, *rest) for b, *rest in packed_rows(id_buckets(ids, buckets), ids, hashes)]
+            ids, hashes, salts = ids[order], hashes[order], salts[order]
+            rows = [(0, b, *rest) for b, *rest in packed_rows(id_buckets(ids, buckets, salts), ids, hashes)]
         own = _table(rows)
         return pa.concat_tables([pa.Table.from_batches([own]), local.cast(own.schema)])
 
@@ -176,14 +195,47 @@ def _cut(width: int, untouched: bool):
     return run
 
 
+def _alone(width: int, untouched: bool):
+    """Rows that nothing is removed from, batch by batch."""
+    cut, nothing = _cut(width, untouched), pa.Table.from_batches([_table([])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from cut(pa.Table.from_batches([batch]), nothing).to_batches()
+
+    return run
+
+
 def repeated_windows(docs: DataFrame, width: int, parts: int, buckets: int) -> DataFrame:
     """Packed windows of documents that also start in a document of smaller id."""
-    sent = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text").mapInArrow(
+    sent = docs.where(F.col("text").isNotNull()).select("id", "text", "salt").mapInArrow(
         _send(width, parts, buckets), PACKED
     )
     return sent.groupBy("part").applyInArrow(_resolve(buckets), PACKED)
 
 
+def with_salt(named: DataFrame, sizes: DataFrame, most: int, count: int) -> DataFrame:
+    """Rows with the salt that deals an id of many bytes to several buckets; 0 for all others.
+
+    Rows of such ids are written, for their salts come from where they lie and must not
+    change when a task runs again. Neighbours share a salt, so that what one slice asks
+    for is still sent once.
+    """
+    if most <= HEAVY_BYTES:
+        return named.withColumn("salt", F.lit(0).cast("long"))
+    heavy = sizes.where(F.col("bytes") > HEAVY_BYTES).select(
+        "id", F.least(F.ceil(F.col("bytes") / HEAVY_BYTES), F.lit(count)).cast("long").alias("salts")
+    )
+    heavy = staged(heavy, "heavy")
+    place = F.expr(f"(monotonically_increasing_id() & {(1 << 33) - 1}) DIV {SALTED_ROWS}")
+    salted = named.select("*", F.spark_partition_id().alias("task"), place.alias("place")).join(heavy, "id")
+    salted = staged(salted.select(
+        "id", "text", "kept", F.pmod(F.xxhash64("task", "place"), F.col("salts")).cast("long").alias("salt")
+    ), "salted")
+    light = named.join(heavy, "id", "left_anti").withColumn("salt", F.lit(0).cast("long"))
+    return light.select("id", "text", "kept", "salt").union(salted)
+
+
 def remove_repeated(
     df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, keep: Sequence[str] = (),
     untouched: bool = False,
@@ -196,16 +248,29 @@ def remove_repeated(
     """
     spark = ready(df.sparkSession)
     docs = with_kept(df, keep, id=id, text=text).withColumn("id", F.col("id").cast("long"))
+    sizes = docs.groupBy("id").agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes"))
+    total, most, nameless = sizes.agg(
+        F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max(F.when(F.col("id").isNotNull(), F.col("bytes"))), F.lit(0)),
+        F.coalesce(F.max(F.col("id").isNull()), F.lit(False)),
+    ).first()
     # An odd count keeps ids of one stride apart.
-    count = partitions_for(spark, text_bytes(docs, "text")) | 1
-    replies = staged(repeated_windows(docs, width, count, count), "windows")
-    placed = docs.withColumn("bucket", bucket_column(F.col("id"), count))
-    schema = T.StructType([
-        T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()),
-        T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()),
-        T.StructField("kept", docs.schema["kept"].dataType),
-    ])
-    result = placed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_cut(width, untouched), schema)
+    count = partitions_for(spark, total) | 1
+    named = with_salt(docs.where(F.col("id").isNotNull()), sizes, most, count)
+    replies = staged(repeated_windows(named, width, count, count), "windows")
+    placed = named.withColumn("bucket", bucket_column(F.col("id"), count, F.col("salt"))).drop("salt")
+
+    def schema(rows: DataFrame) -> T.StructType:
+        return T.StructType([
+            T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()),
+            T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()),
+            T.StructField("kept", rows.schema["kept"].dataType),
+        ])
+
+    result = placed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_cut(width, untouched), schema(placed))
+    if nameless:
+        # Nothing is removed from them, so they need not be brought together.
+        rows = docs.where(F.col("id").isNull()).select("id", "text", "kept")
+        result = result.union(rows.mapInArrow(_alone(width, untouched), schema(rows)))
     return result.select(
         F.col("id").alias(id), "n_words", "n_removed", "kept_text", *[F.col(f"kept.`{c}`") for c in keep if c != id]
     )

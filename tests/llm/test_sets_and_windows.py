@@ -135,6 +135,34 @@ def test_windows_match_brute_force(docs_of, near_copies, odd_texts):
         assert got == windows_left(rows)
 
 
+def test_null_and_repeated_ids_are_in_no_single_task(spark, docs_of, near_copies, monkeypatch):
+    plain_cut = substring_dedup._cut
+
+    def counted(width, untouched):
+        run = plain_cut(width, untouched)
+
+        def cut(texts, replies):
+            out = run(texts, replies)
+            # Carries the number of rows of one call out in the place of a count of words.
+            return out.set_column(1, "n_words", pa.array([texts.num_rows] * out.num_rows, pa.int64()))
+
+        return cut
+
+    passage = " ".join(f"p{i}" for i in range(30))
+    hot = [(500, f"own{i} {passage} and {i}") for i in range(300)] + [(500, passage)] * 100
+    rows = near_copies + hot + [(None, t) for _, t in hot] + [(3, passage + " more")]
+    monkeypatch.setattr(substring_dedup, "HEAVY_BYTES", 5_000)
+    monkeypatch.setattr(substring_dedup, "SALTED_ROWS", 10)
+    docs = docs_of(rows)
+    got = as_rows(substring_dedup.remove_repeated(docs), "doc_id", "n_words", "n_removed", "kept_text")
+    assert got == windows_left(rows)
+    monkeypatch.setattr(substring_dedup, "_cut", counted)
+    monkeypatch.setattr(substring_dedup, "partitions_for", lambda *a: 40)
+    held = substring_dedup.remove_repeated(docs.where("doc_id is not null"))
+    most = held.agg({"n_words": "max"}).first()[0]
+    assert most < len(hot) / 2
+
+
 def test_windows_keep_named_columns_and_untouched_texts(docs_of):
     passage = " ".join(f"p{i}" for i in range(20))
     rows = [(1, f"first\n {passage}"), (2, f"{passage} then\nmore"), (3, "nothing\n  shared")]
