@@ -57,7 +57,8 @@ BLOCK = 1_024
 _SHORT = np.uint64(0xC2B2AE3D27D4EB4F)
 _SHORT_SIZES = np.arange(64, dtype=np.uint64) * _SHORT
 _PART = np.uint64(0x165667B19E3779F9)
-ASKED, MARKED, INFO, ANSWER = range(4)
+_UNNAMED = np.uint64(0x27D4EB2F165667C5)
+ASKED, MARKED, INFO, ANSWER, UNNAMED = range(5)
 PACKED = "part int, bucket int, kind int, ids binary, counts binary, hashes binary, more binary"
 _NAMES = ["part", "bucket", "kind", "ids", "counts", "hashes", "more"]
 _KINDS = [pa.int32()] * 3 + [pa.binary()] * 4
@@ -95,6 +96,25 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_nodes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of each text's set; texts in order."""
+    return mix(_sums(mix(hashes ^ _PART), sizes) + sizes.astype(np.uint64))
+
+
+def node_column(text: Column, width: int = WIDTH) -> Column:
+    """Hash of each text's set, as in ``SETS``."""
+
+    @F.arrow_udf(T.LongType())
+    def node(texts: pa.Array) -> pa.Array:
+        batch, out = pa.RecordBatch.from_arrays([texts], names=["text"]), []
+        for piece in slices(batch, "text"):
+            hashes, text_of = shingle_sets(words_of(piece.column("text"), lower=True), width)
+            out.append(set_nodes(hashes, set_sizes(text_of, piece.num_rows)).view(np.int64))
+        return pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
+
+    return node(text)
+
+
 def _groups(target: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     """Per target the rows of the columns, in their order."""
     order = np.argsort(target, kind="stable")
@@ -120,14 +140,26 @@ def _send(width: int, parts: int, buckets: int):
             for piece in slices(batch, "text"):
                 words = words_of(piece.column("text"), lower=True)
                 hashes, text_of = shingle_sets(words, width)
-                ids = piece.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                named = piece.column("id").is_valid().to_numpy(zero_copy_only=False)
+                ids = pa.compute.fill_null(piece.column("id"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 sizes = set_sizes(text_of, len(ids))
-                nodes = mix(_sums(mix(hashes ^ _PART), sizes) + sizes.astype(np.uint64))
+                nodes = set_nodes(hashes, sizes)
                 # Rows of one id and one set are one; others of that id are not.
-                rows_of = mix(mix(ids.view(np.uint64)) + nodes).view(np.int64)
+                rows_of = mix(mix(ids.view(np.uint64)) + nodes + np.where(named, np.uint64(0), _UNNAMED)).view(np.int64)
                 out = []
-                for b, r, n, node, id in _groups(id_buckets(rows_of, buckets), rows_of, sizes, nodes, ids):
+                for b, r, n, node, id in _groups(id_buckets(rows_of[named], buckets), rows_of[named], sizes[named], nodes[named], ids[named]):
                     out.append((b % parts, b, INFO, r.tobytes(), n.tobytes(), node.tobytes(), id.tobytes()))
+                # Of rows without id a slice sends each set once.
+                unnamed = np.flatnonzero(~named)
+                unnamed = unnamed[np.unique(rows_of[unnamed], return_index=True)[1]]
+                for b, r, n, node, id in _groups(
+                    id_buckets(rows_of[unnamed], buckets), rows_of[unnamed], sizes[unnamed], nodes[unnamed], ids[unnamed]
+                ):
+                    out.append((b % parts, b, UNNAMED, r.tobytes(), n.tobytes(), node.tobytes(), id.tobytes()))
+                if len(unnamed) or not named.all():
+                    sent = named.copy()
+                    sent[unnamed] = True
+                    hashes, text_of = hashes[sent[text_of]], text_of[sent[text_of]]
                 _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
                 common = counts[inverse] >= COMMON
                 cold, owner = hashes[~common], rows_of[text_of[~common]]
@@ -172,7 +204,7 @@ def _answer(buckets: int):
         for b, r, h, c in _groups(id_buckets(owner, buckets), owner, hashes, each):
             out.append((0, b, ANSWER, *_runs(r), h.tobytes(), c.tobytes()))
         own = _table(out)
-        return pa.concat_tables([pa.Table.from_batches([own]), _of_kind(table, INFO, ANSWER).cast(own.schema)])
+        return pa.concat_tables([pa.Table.from_batches([own]), _of_kind(table, INFO, ANSWER, UNNAMED).cast(own.schema)])
 
     return run
 
@@ -202,7 +234,9 @@ SETS = "id long, n long, node long, band int, keys array<long>, shared array<lon
 
 def _collect(table: pa.Table) -> pa.Table:
     """Per document its set size and, if it can link with any other, its keys and shared shingles."""
-    info, answers = _of_kind(table, INFO), _of_kind(table, ANSWER)
+    info, unnamed, answers = _of_kind(table, INFO), _of_kind(table, UNNAMED), _of_kind(table, ANSWER)
+    with_id = len(_joined(info, "ids", np.int64))
+    info = pa.concat_tables([info, unnamed])
     rows, sizes = _joined(info, "ids", np.int64), _joined(info, "counts", np.int32).astype(np.int64)
     nodes, ids = _joined(info, "hashes", np.int64), _joined(info, "more", np.int64)
     known, first = np.unique(rows, return_index=True)
@@ -239,13 +273,13 @@ def _collect(table: pa.Table) -> pa.Table:
     pick = pa.array(np.where(place_of < 0, 0, place_of), pa.int64(), mask=place_of < 0)
     arrays = [a.take(pick) if len(a) else pa.nulls(len(rows), pa.list_(pa.int64())) for a in found]
     return pa.table({
-        "id": pa.array(ids), "n": pa.array(sizes), "node": pa.array(nodes), "band": pa.array(band_of(sizes)),
+        "id": pa.array(ids, mask=np.arange(len(ids)) >= with_id), "n": pa.array(sizes), "node": pa.array(nodes), "band": pa.array(band_of(sizes)),
         "keys": arrays[0], "shared": arrays[1], "bits": arrays[2], "low": arrays[3],
     })
 
 
 def shingle_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Written table ``SETS``, one row per row of ``docs(id, text)``."""
+    """Written table ``SETS``, one row per row of ``docs(id, text)``; of rows without id one per set and slice."""
     count = partitions_for(docs.sparkSession, text_bytes(docs, "text")) | 1
     sent = docs.mapInArrow(_send(width, count, count), PACKED)
     answers = staged(sent.groupBy("part").applyInArrow(_answer(count), PACKED), "answers")
@@ -398,12 +432,8 @@ def similar_nodes(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
     return named
 
 
-def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``id, n_shingles, component_id`` of every row; the smallest linked id names a group."""
-    ready(df.sparkSession)
-    docs = plain(df, id=id, text=text).withColumn("id", F.col("id").cast("long"))
-    sets = shingle_table(docs.where(F.col("id").isNotNull()), width)
-    least = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
+def named_nodes(sets: DataFrame) -> DataFrame:
+    """``(node, component)`` of the sets that could link with another."""
     alive = sets.where(F.col("keys").isNotNull()).select(
         "node", "n", "band", "keys", "shared", "bits", "low", F.size("shared").alias("c")
     )
@@ -411,6 +441,30 @@ def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", width:
     named = similar_nodes(nodes)
     if named is None:
         named = nodes.select("node", F.col("node").alias("component"))
+    return named
+
+
+def first_rows(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """``unnamed, id, node`` of the row that each group keeps, of all rows with words.
+
+    The smallest id is kept, then the smallest set hash; a row without id (0 here) only
+    where no row of the group has one. ``node_column`` finds it among the rows.
+    """
+    ready(df.sparkSession)
+    sets = shingle_table(plain(df, id=id, text=text).withColumn("id", F.col("id").cast("long")), width)
+    row = F.struct(F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0).cast("long")).alias("id"), "node")
+    least = sets.where("n > 0").groupBy("node").agg(F.min(row).alias("row"))
+    met = least.join(named_nodes(sets), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return met.groupBy("component").agg(F.min("row").alias("row")).select("row.unnamed", "row.id", "row.node")
+
+
+def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """``id, n_shingles, component_id`` of every row; the smallest linked id names a group."""
+    ready(df.sparkSession)
+    docs = plain(df, id=id, text=text).withColumn("id", F.col("id").cast("long"))
+    sets = shingle_table(docs.where(F.col("id").isNotNull()), width)
+    least = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
+    named = named_nodes(sets)
     # Names of nodes become the smallest document id of all their members.
     members = named.join(least, "node")
     smallest = members.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -220,6 +220,21 @@ def test_pipeline_matches_plain_stages(spark, docs_of, near_copies, tmp_path):
     assert lengths == expected
 
 
+def test_one_row_of_each_group_with_null_and_repeated_ids(spark, docs_of):
+    base = [f"v{i}" for i in range(100)]
+    near = lambda k: " ".join(base[:97] + [f"own{k}"] * 3)
+    rows = [(None, near(k)) for k in range(5)] + [(None, near(0))] * 30 + [(7, near(9)), (7, near(10)), (7, near(10)), (8, near(0))]
+    rows += [(None, "only rows without an id hold this text")] * 20 + [(9, "two texts"), (9, "of one id and no other group")]
+    rows += [(None, None), (None, None), (11, " "), (11, " ")]
+    out = corpus_pipeline.one_of_similar(spark, docs_of(rows), "").collect()
+    got = sorted(((r.doc_id, r.text) for r in out if r.text != near(9) and r.text != near(10)), key=str)
+    assert got == sorted([
+        (None, "only rows without an id hold this text"), (9, "two texts"), (9, "of one id and no other group"),
+        (None, None), (None, None), (11, " "),
+    ], key=str)
+    assert [r.doc_id for r in out if r.text in (near(9), near(10))] == [7]
+
+
 def test_letter_junk_and_unlearned_languages_go(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rng = np.random.default_rng(4)
