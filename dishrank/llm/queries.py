@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_search, jaccard_join, language_id, packing, pii, substring_dedup, toxicity, warc
+from . import (
+    ann, bpe, exact_search, filter_audit, jaccard_join, language_id, line_dedup, packing, pii, spelling, substring_dedup,
+    toxicity, warc,
+)
 from .staging import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,3 +185,131 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty neighbours of every twentieth vector, found in the graph index."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def misspelt(id: Column, word: Column) -> Column:
+    """The word; one in 199 of a document's words, picked by a checksum, without one letter."""
+    h = F.crc32(F.concat_ws(":", F.coalesce(id.cast("string"), F.lit("")), word).cast("binary"))
+    at = (h % F.length(word)).cast("int")
+    cut = F.concat(F.substr(word, F.lit(1), at), F.substr(word, at + 2))
+    return F.when(h % 199 == 0, cut).otherwise(word)
+
+
+# The checksum has no SQL function: its table is built bit by bit and folded over the bytes.
+@query("""
+WITH RECURSIVE bits(i, c, k) AS (
+    SELECT i, i::BIGINT, 0 FROM range(256) t(i) UNION ALL
+    SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (
+    SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+), runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), lower AS (
+    SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+    FROM runs GROUP BY ALL
+), bytes AS (
+    SELECT w, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM lower
+), summed AS (
+    SELECT w, n, xor(list_reduce(
+        list_transform(range(1, length(x), 2), lambda p: ('0x' || substr(x, p::INT, 2))::BIGINT),
+        lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT
+    ), 4294967295) AS h FROM bytes, crc
+), typed AS (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n
+    FROM summed
+), words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM typed WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cut AS (
+    SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS c
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS p FROM words)
+), near AS (
+    SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.c = b.c AND a.p = b.p AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.c = b.word
+    UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.c = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word
+), formed AS (
+    SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form,
+           CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+    FROM words LEFT JOIN best USING (word)
+), chain(word, root) AS (
+    SELECT word, word FROM formed UNION ALL
+    SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN (
+    SELECT c.word, c.root FROM chain c JOIN formed e ON e.word = c.root WHERE e.form IS NULL
+) r USING (word)
+""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with the frequent word that it is one edit from."""
+    found = spelling.runs(table(spark, sf_dir, "documents"))
+    lower = found.select("id", line_dedup.lower_ascii(F.col("run")).alias("run"))
+    words = lower.select(misspelt(F.col("id"), F.col("run")).alias("word"))
+    return spelling.variant_groups(spelling.vocabulary(words))
+
+
+@query("""
+WITH lines AS (
+    SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS p
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), keyed AS (
+    SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), frequent AS (
+    SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+    SELECT doc_id, line, p, keeper IS NOT NULL AND doc_id <> keeper AS gone FROM keyed LEFT JOIN frequent USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""")
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that five documents hold."""
+    rows = line_dedup.drop_frequent(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query(rf"""
+WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w
+    FROM documents
+), l AS (
+    SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+           (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+           + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+           + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS mask
+    FROM d LEFT JOIN l USING (doc_id)
+), c AS (
+    SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+    SELECT filter_order, step::INT AS step, substr(filter_order, step::INT, 1) AS x,
+           1 << (strpos('ABCDE', substr(filter_order, step::INT, 1)) - 1) AS bit,
+           list_sum(list_transform(range(1, step), lambda k: 1 << (strpos('ABCDE', substr(filter_order, k::INT, 1)) - 1))) AS before
+    FROM orders, range(1, 6) r(step)
+), counted AS (
+    SELECT part, filter_order, step, x,
+           sum(n) FILTER (mask & (bit | coalesce(before, 0)::INT) = 0) AS kept,
+           sum(n) FILTER (mask & bit > 0 AND mask & coalesce(before, 0)::INT = 0) AS removed,
+           sum(n) FILTER (mask & bit > 0 AND mask & coalesce(before, 0)::INT > 0) AS redundant,
+           sum(n) FILTER (mask = bit) AS unique_fails,
+           sum(good) FILTER (mask & bit > 0 AND mask & coalesce(before, 0)::INT = 0) AS good_lost,
+           sum(toxic) FILTER (mask & bit > 0 AND mask & coalesce(before, 0)::INT = 0) AS toxic_lost
+    FROM c, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, x), 0)::BIGINT AS shapley
+FROM counted
+""")
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source, in every order."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
