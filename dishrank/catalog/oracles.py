@@ -273,6 +273,16 @@ FROM both_parts QUALIFY window_end = max(window_end) OVER (PARTITION BY citystat
 
 _DISH_KEY = "citystate, dish, businessid"
 
+_COMPLETION_KEYED = """
+SELECT p_partkey, split_part(p_name, ' ', 2) AS type, p_name AS value FROM part
+UNION ALL SELECT p_partkey, lower(p_type), concat(lower(p_type), ' ', split_part(p_name, ' ', 2)) FROM part"""
+
+_RESPONSE = """
+SELECT p_partkey, CAST(to_json({result_list: [
+  {result_type: 'dish', completion_list: [{type: split_part(p_name, ' ', 2), value: p_name},
+    {type: lower(p_type), value: concat(lower(p_type), ' ', split_part(p_name, ' ', 2))}]},
+  {result_type: 'restaurant', completion_list: [{type: 'brand', value: p_brand}]}]}) AS VARCHAR) AS json FROM part"""
+
 ORACLES = {
     "read_reviews": "SELECT business_id, text, date FROM review",
     "read_tips": "SELECT business_id, text, date FROM tip",
@@ -295,6 +305,14 @@ SELECT * FROM dishes WHERE citystate = '{registry.SHOWN_CITYSTATE}' AND dish = '
 SELECT * FROM dishes WHERE citystate = '{registry.SHOWN_CITYSTATE}'
   AND businessid = (SELECT min(businessid) FROM dishes WHERE citystate = '{registry.SHOWN_CITYSTATE}')""",
     "stage_roundtrip": "SELECT * FROM scores",
+    "stage_resumed": "SELECT * FROM scores",
+    "joined_persisted": "SELECT citystate, businessid, b.name, dish, numreviews FROM dishes JOIN businesses b USING (citystate, businessid)",
+    "completions_checked": f"SELECT type, value FROM ({_COMPLETION_KEYED}) WHERE p_partkey % 50 NOT IN (1, 2, 3)",
+    "completions_quarantine": f"""
+SELECT CASE p_partkey % 50 WHEN 1 THEN left(json, length(json) // 2) WHEN 2 THEN '  '
+    ELSE concat('{{"status": "', p_partkey, '"}}') END AS value,
+  CASE p_partkey % 50 WHEN 1 THEN 'malformed' WHEN 2 THEN 'empty' ELSE 'no results' END AS reason
+FROM ({_RESPONSE}) WHERE p_partkey % 50 IN (1, 2, 3)""",
     "completions_parse": "SELECT type, value FROM completion",
     "completions_by_type": """
 SELECT type, value, count(*) OVER (PARTITION BY type) AS n_values FROM (SELECT DISTINCT type, value FROM completion)""",
@@ -304,6 +322,7 @@ SELECT business_id, regexp_replace(city || state, '[, ]', '', 'g') AS stored,
   replace(replace(concat(city, ', ', state), ',', ''), ' ', '') AS looked_up FROM business""",
     "clean_address": "SELECT business_id, replace(full_address, chr(92) || 'n', ' ') AS address FROM business",
     "format_rating": f"SELECT businessid, dish, {_one_decimal('avgrating')} AS avgrating FROM scores",
+    "round_rating": "SELECT businessid, dish, CAST(round(CAST(avgrating AS DECIMAL(18,9)), 2) AS DECIMAL(18,2))::VARCHAR AS rounded FROM scores",
     "trending_weight": f"""
 SELECT businessid, dish, {_trending('numreviews')} AS weight,
   CASE WHEN numreviews = 1 THEN 0.0 ELSE totalscore::DOUBLE * {_trending('numreviews')} END AS weighted FROM scores""",
@@ -347,6 +366,11 @@ USING (review_id, sentence_pos) GROUP BY review_id, sentence_pos""",
     "sample_rows": f"""
 SELECT review_id, business_id, date FROM review
 WHERE CAST('0x' || left(md5(review_id), 8) AS BIGINT) < {int(registry.SAMPLE_FRACTION * 2**32)}""",
+    "take_sample": f"""
+SELECT * FROM scores ORDER BY md5(concat('0', chr(31), businessid, chr(31), dish)), businessid, dish LIMIT {registry.SAMPLE_ROWS}""",
+    "take_large_sample": f"""
+SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+ORDER BY md5(concat('7', chr(31), l_orderkey, chr(31), l_linenumber)), l_orderkey LIMIT {registry.LARGE_SAMPLE_ROWS}""",
     "dish_scores": "SELECT * FROM scores",
     "best_quote": """
 SELECT business_id, dish, arg_max(promo_text, (score, promo_date, promo_text)) AS promotext, max(score) AS promoscore,
@@ -396,6 +420,14 @@ FROM (SELECT * FROM trending WHERE {_CLOSED}) QUALIFY window_end = max(window_en
     "stream_late": """
 SELECT event_id, dish, businessid, citystate, score FROM valid WHERE ts < TIMESTAMP '2024-01-22'
 AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM valid) - INTERVAL 1 DAY""",
+    "stream_bad_clocks": f"SELECT * FROM windows WHERE {_CLOSED}",
+    "stream_refused": f"""
+SELECT ts, event_id, key, value FROM message WHERE event_id % 97 = 0
+UNION ALL SELECT TIMESTAMP '{registry.BAD_CLOCK}', event_id, key, value FROM message WHERE event_id % {registry.BAD_CLOCK_EVERY} = 0""",
+    "stream_live_trends": """
+SELECT citystate, dish, businessid, num AS numreviews, score AS totalscore, avg AS avgrating, promotext, window_end
+FROM trending JOIN (SELECT citystate, date_trunc('day', max(ts)) + INTERVAL 1 DAY AS last FROM valid GROUP BY citystate)
+USING (citystate) WHERE window_end = last""",
     "stream_quarantine": "SELECT ts, event_id, key, value FROM message WHERE event_id % 97 = 0",
 }
 

@@ -14,12 +14,13 @@ from ..operators import mentions as men
 from ..operators import ratings as rat
 from ..operators import scoring, sentiment_model
 from ..operators.published import businesses_view, dishes_view, join_business, of_category
-from ..operators.sampling import sample_by_key
+from ..operators.sampling import exact_sample, sample_by_key
 from ..operators.sentiment import longest_sentences, score_sentences
 from ..plans import build, harvest, serving
 from ..schemas import DISH_KEY
 from ..session import work_path
 from ..sources import readers, sinks
+from ..sources.stages import Stages
 from ..streaming import ratings as stream
 from .standins import STREAM_START, UNSTORED_DISH, Tables
 
@@ -30,6 +31,11 @@ SHOWN_CITYSTATE = "NATION15AF"
 SHOWN_DISH = "blue bolt"
 TEXT_TERM = "the"
 SAMPLE_FRACTION = 0.1
+SAMPLE_ROWS = 20
+LARGE_SAMPLE_ROWS = 20_000
+# Every so many messages one more comes with a time in the year 2100.
+BAD_CLOCK_EVERY = 1000
+BAD_CLOCK = "2100-01-01"
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -226,6 +232,29 @@ def stage_roundtrip(t: Tables) -> DataFrame:
     return sinks.stage_roundtrip(scoring.dish_scores(t.mentions()), work_path(t.spark, "scores"))
 
 
+@query
+def stage_resumed(t: Tables) -> DataFrame:
+    """Scores from a stage that an earlier run of the same job has finished."""
+    root = work_path(t.spark, "stages")
+    Stages(t.spark, root)(scoring.dish_scores(t.mentions()), "scores")
+    again = Stages(t.spark, root)
+    rows = again(scoring.dish_scores(t.mentions()), "scores")
+    if again.written:
+        raise AssertionError("a finished stage was written again")
+    return rows
+
+
+@query
+def joined_persisted(t: Tables) -> DataFrame:
+    """Both published keys from one evaluation of the joined rows, kept in memory and on disk."""
+    dishes_path, businesses_path = work_path(t.spark, "dishes"), work_path(t.spark, "businesses")
+    build.publish(joined(t), dishes_path, businesses_path)
+    places = readers.read_published_businesses(t.spark, businesses_path).select("businessid", "citystate", "name")
+    return readers.read_dishes(t.spark, dishes_path).join(places, ["businessid", "citystate"]).select(
+        "citystate", "businessid", "name", "dish", "numreviews"
+    )
+
+
 @query
 def completions_parse(t: Tables) -> DataFrame:
     path = work_path(t.spark, "completions")
@@ -238,6 +267,20 @@ def completions_by_type(t: Tables) -> DataFrame:
     return harvest.terms_by_type(readers.parse_completions(t.completion_responses()))
 
 
+@query
+def completions_checked(t: Tables) -> DataFrame:
+    """Terms of the usable ones among responses of which some are damaged."""
+    return readers.split_completions(t.damaged_responses())[0]
+
+
+@query
+def completions_quarantine(t: Tables) -> DataFrame:
+    """The damaged responses, set aside with the reason while the terms are written."""
+    path = work_path(t.spark, "refused")
+    harvest.harvest(t.damaged_responses(), work_path(t.spark, "terms"), path)
+    return t.spark.read.schema("value string, reason string").json(path)
+
+
 @query
 def completions_export(t: Tables) -> DataFrame:
     path = work_path(t.spark, "terms")
@@ -268,6 +311,12 @@ def format_rating(t: Tables) -> DataFrame:
     return scores.select("businessid", "dish", fn.format_rating(F.col("avgrating")).alias("avgrating"))
 
 
+@query
+def round_rating(t: Tables) -> DataFrame:
+    scores = scoring.dish_scores(t.mentions())
+    return scores.select("businessid", "dish", fn.round_at(F.col("avgrating").cast("decimal(18,9)"), 2).cast("string").alias("rounded"))
+
+
 @query
 def trending_weight(t: Tables) -> DataFrame:
     num, total = F.col("numreviews"), F.col("totalscore")
@@ -403,6 +452,19 @@ def sample_rows(t: Tables) -> DataFrame:
     return sample_by_key(t.reviews(), "review_id", SAMPLE_FRACTION).select("review_id", "business_id", "date")
 
 
+@query
+def take_sample(t: Tables) -> DataFrame:
+    """Exactly 20 of the scored dishes, the same ones on every run."""
+    return exact_sample(scoring.dish_scores(t.mentions()), ["businessid", "dish"], SAMPLE_ROWS)
+
+
+@query
+def take_large_sample(t: Tables) -> DataFrame:
+    """Exactly 20,000 lines of orders, or all."""
+    lines = t.read_spread("lineitem", "l_orderkey", "l_linenumber", "l_quantity", key=["l_orderkey"])
+    return exact_sample(lines, ["l_orderkey", "l_linenumber"], LARGE_SAMPLE_ROWS, seed=7)
+
+
 # Scores.
 
 
@@ -604,6 +666,47 @@ def stream_quarantine(t: Tables) -> DataFrame:
     return t.spark.read.schema(rows.schema).parquet(path)
 
 
+def _with_bad_clocks(t: Tables) -> DataFrame:
+    """The message stream, some of whose messages come again with a time in the year 2100."""
+    again = F.when(F.col("event_id") % BAD_CLOCK_EVERY == 0, F.lit(BAD_CLOCK).cast("timestamp_ntz"))
+    times = F.filter(F.array("ts", again), lambda x: x.isNotNull())
+    rows = message_stream(t)
+    return rows.withColumn("ts", F.explode(times)).select(*rows.columns)
+
+
+@query
+def stream_bad_clocks(t: Tables) -> DataFrame:
+    """Closed windows of a stream with times in the far future: those without them."""
+    path, checkpoint = work_path(t.spark, "windows"), work_path(t.spark, "checkpoint")
+    stream.use_disk_state(t.spark)
+    rows = stream.trending_windows(_with_bad_clocks(t))
+    writer = rows.writeStream.outputMode("append").format("parquet").option("path", path)
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(path)
+
+
+@query
+def stream_refused(t: Tables) -> DataFrame:
+    """Malformed messages and those far ahead of their arrival, set aside by the stream."""
+    path, checkpoint = work_path(t.spark, "quarantine"), work_path(t.spark, "checkpoint")
+    rows = _with_bad_clocks(t)
+    stream.start_quarantine(rows, path, checkpoint, available_now=True).awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(path)
+
+
+@query
+def stream_live_trends(t: Tables) -> DataFrame:
+    """Trends of the windows that are still open when all messages have come, in three triggers."""
+    feed, checkpoint = work_path(t.spark, "feed"), work_path(t.spark, "checkpoint")
+    trends_path, days_path = work_path(t.spark, "live"), work_path(t.spark, "days")
+    messages = t.rating_messages()
+    for low, high in (("1900-01-01", "2024-01-12"), ("2024-01-12", "2024-01-22"), ("2024-01-22", "2100-01-01")):
+        messages.where((F.col("ts") >= low) & (F.col("ts") < high)).write.mode("append").parquet(feed)
+        arriving = readers.read_parquet_stream(t.spark, feed, messages.schema)
+        stream.start_live_trends(arriving, trends_path, days_path, checkpoint, available_now=True).awaitTermination()
+    return readers.read_live_trends(t.spark, trends_path)
+
+
 @query
 def stream_late(t: Tables) -> DataFrame:
     """Ratings too late for the trends, when every third message comes in late order."""

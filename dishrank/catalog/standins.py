@@ -117,7 +117,7 @@ class Tables:
         )
         return events.select("ts", "event_id", F.concat("event_type", user).alias("key"), value.alias("value"))
 
-    def completion_responses(self) -> DataFrame:
+    def completion_responses(self, *kept: str) -> DataFrame:
         """One response per part; its second result must be ignored."""
         kind = F.get(F.split("p_name", " "), F.lit(1))
 
@@ -136,9 +136,19 @@ class Tables:
             F.array(completion(F.lit("brand"), F.col("p_brand"))).alias("completion_list"),
         )
         return self.read("part").select(
-            F.to_json(F.struct(F.array(wanted, other).alias("result_list"))).alias("value")
+            *kept, F.to_json(F.struct(F.array(wanted, other).alias("result_list"))).alias("value")
         )
 
+    def damaged_responses(self) -> DataFrame:
+        """The responses, with one of each of three kinds among every 50 parts damaged."""
+        whole = self.completion_responses("p_partkey")
+        at = F.col("p_partkey") % 50
+        damaged = (
+            F.when(at == 1, F.expr("left(value, length(value) div 2)")).when(at == 2, "  ")
+            .when(at == 3, F.concat(F.lit('{"status": "'), F.col("p_partkey").cast("string"), F.lit('"}'))).otherwise(F.col("value"))
+        )
+        return whole.select(damaged.alias("value"))
+
     def _words(self) -> DataFrame:
         """Distinct words of the documents."""
         sentences = F.transform(sentences_of(F.col("text")), words_of)

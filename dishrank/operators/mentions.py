@@ -1,9 +1,10 @@
 """Finding dictionary items in review and tip texts.
 
-One way for a dictionary of any size. The dictionary is turned into surface patterns,
-the words (and word sequences) of each text are joined to them, and the places of the few
-that match go back to the text. Texts are known by a digest while that happens: reviews
-need no key, and equal texts are no trouble.
+One way for a dictionary of any size. The dictionary is turned into surface patterns, each
+under one of its words, its anchor. All words of the texts are joined to the anchors, one
+row per word; a pattern of several words is verified against the words around, and the
+places of the few that match go back to the text. Texts are known by a digest while that
+happens: reviews need no key, and equal texts are no trouble.
 
 The pattern table is written first, so its size is known: Spark broadcasts it while it
 is small, and the words of the texts only shuffle when it is large.
@@ -15,8 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bound, clip_sentence, plurals, sentences_of, singular, text_key, words_of
-from ..session import work_path
-from ..sources.sinks import stage_roundtrip
+from ..sources.stages import Stage, fresh
 
 POLICIES = ("last", "first_sentence", "all")
 
@@ -88,32 +88,59 @@ def dictionary_patterns(dictionary: DataFrame, lemma_table: DataFrame, max_ngram
     return spelled.groupBy("pattern").agg(F.min("item").alias("dish"))
 
 
-def _sequences(words: Column, max_ngram: int) -> Column:
-    """``(token_pos, width, pattern)`` of all word sequences of a sentence."""
+def anchored(patterns: DataFrame) -> DataFrame:
+    """``(anchor, place, words, dish)``: each pattern under its word that the fewest patterns have.
+
+    ``place`` is where in the pattern that word is. A word of many patterns anchors only
+    those that have no rarer one, so a text's frequent words meet few patterns.
+    """
+    split = patterns.select("dish", F.split("pattern", " ").alias("words"))
+    places = split.select("dish", "words", F.posexplode("words").alias("place", "word"))
+    uses = places.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+    rarest = places.join(uses, "word").groupBy("words", "dish").agg(F.min(F.struct("uses", "place", "word")).alias("a"))
+    return rarest.select(F.col("a.word").alias("anchor"), F.col("a.place").alias("place"), "words", "dish")
+
+
+def _around(words: Column, reach: int) -> Column:
+    """``(token_pos, word, around, left)`` per word: it and up to ``reach`` words to each side."""
 
     def within(words: Column) -> Column:
-        def at(word: Column, start: Column) -> Column:
-            widths = F.sequence(F.lit(1), F.least(F.lit(max_ngram), F.size(words) - start))
-            return F.transform(widths, lambda k: F.struct(
-                start.alias("token_pos"), k.alias("width"), F.array_join(F.slice(words, start + 1, k), " ").alias("pattern")
-            ))
+        def at(word: Column, place: Column) -> Column:
+            begin = F.greatest(place - reach, F.lit(0))
+            near = F.slice(words, begin + 1, place - begin + 1 + reach)
+            return F.struct(place.alias("token_pos"), word.alias("word"), near.alias("around"), (place - begin).alias("left"))
 
-        return F.flatten(F.transform(words, at))
+        return F.transform(words, at)
 
-    if max_ngram == 1:
-        return F.transform(words, lambda word, start: F.struct(start.alias("token_pos"), F.lit(1).alias("width"), word.alias("pattern")))
     return bound(words, within)
 
 
-def hit_rows(keyed: DataFrame, patterns: DataFrame, max_ngram: int) -> DataFrame:
-    """``(text_key, sentence_pos, token_pos, width, dish)`` of every match in the texts."""
+def hit_rows(keyed: DataFrame, anchors: DataFrame, max_ngram: int) -> DataFrame:
+    """``(text_key, sentence_pos, token_pos, width, dish)`` of every match in the texts.
+
+    Each word of a text enters the join once, whatever ``max_ngram`` is; with several
+    words to a pattern it takes its neighbours along, and a pattern whose anchor it is
+    must agree with them.
+    """
     sentences = keyed.select("text_key", F.posexplode(sentences_of(F.col("text"))).alias("sentence_pos", "sentence"))
-    grams = sentences.select("text_key", "sentence_pos", F.explode(_sequences(words_of(F.col("sentence")), max_ngram)).alias("g"))
-    return grams.select("text_key", "sentence_pos", "g.*").join(patterns, "pattern").drop("pattern")
+    words = words_of(F.col("sentence"))
+    if max_ngram == 1:
+        tokens = sentences.select("text_key", "sentence_pos", F.posexplode(words).alias("token_pos", "word"))
+        met = tokens.join(anchors, F.col("word") == F.col("anchor"))
+        return met.select("text_key", "sentence_pos", "token_pos", F.lit(1).alias("width"), "dish")
+    each = sentences.select("text_key", "sentence_pos", F.explode(_around(words, max_ngram - 1)).alias("w"))
+    tokens = each.select("text_key", "sentence_pos", "w.*")
+    met = tokens.join(anchors, F.col("word") == F.col("anchor")).where(F.col("left") >= F.col("place"))
+    width = F.size("words")
+    whole = F.slice("around", F.col("left") - F.col("place") + 1, width) == F.col("words")
+    return met.where(whole).select(
+        "text_key", "sentence_pos", (F.col("token_pos") - F.col("place")).alias("token_pos"), width.alias("width"), "dish"
+    )
 
 
 def find_mentions(
-    reviews: DataFrame, dictionary: DataFrame, lemma_table: DataFrame, policy: str = "last", max_ngram: int = 1
+    reviews: DataFrame, dictionary: DataFrame, lemma_table: DataFrame, policy: str = "last", max_ngram: int = 1,
+    stage: Stage = fresh,
 ) -> DataFrame:
     """Mentions ``(..., sentence_pos, dish, promo_text)`` of dictionary items.
 
@@ -127,11 +154,15 @@ def find_mentions(
         raise ValueError(f"policy must be one of {POLICIES}")
     kept = [c for c in reviews.columns if c != "text"]
     patterns = dictionary_patterns(dictionary, lemma_table, max_ngram)
-    patterns = stage_roundtrip(patterns, work_path(reviews.sparkSession, "patterns"))
+    if max_ngram == 1:
+        anchors = patterns.select(F.col("pattern").alias("anchor"), "dish")
+    else:
+        anchors = anchored(patterns)
+    anchors = stage(anchors, "patterns")
     keyed = reviews.withColumn("text_key", text_key(F.col("text")))
     # Hits are combined per task before the shuffle. Rows of one text give the same
     # hits, so neither the maximum nor the set depends on how many there are.
-    hits = hit_rows(keyed, patterns, max_ngram).groupBy("text_key")
+    hits = hit_rows(keyed, anchors, max_ngram).groupBy("text_key")
     if policy == "all":
         found = hits.agg(F.collect_set(F.struct("sentence_pos", "dish")).alias("found"))
     else:

@@ -29,13 +29,23 @@ def word_polarities(lexicon: DataFrame) -> DataFrame:
     return listed.groupBy("word").agg(F.sum(F.col("polarity").cast("double")).alias("polarity"))
 
 
+def word_counts(words: Column) -> Column:
+    """``(word, times)`` of each different word, as runs of the sorted words."""
+
+    def runs(ordered: Column) -> Column:
+        heads = F.transform(ordered, lambda w, i: F.when((i == 0) | (w != F.get(ordered, i - 1)), i))
+        return bound(F.filter(heads, lambda i: i.isNotNull()), lambda heads: F.transform(heads, lambda head, k: F.struct(
+            F.get(ordered, head).alias("word"), (F.coalesce(F.get(heads, k + 1), F.size(ordered)) - head).alias("times")
+        )))
+
+    return bound(F.sort_array(words), runs)
+
+
 def score_sentences(rows: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
     """Add ``score`` for the sentence in ``text``; a null one is neutral."""
     keyed = rows.withColumn("sentence_key", text_key(F.col(text)))
-    counted = bound(words_of(F.col(text)), lambda words: F.transform(F.array_distinct(words), lambda w: F.struct(
-        w.alias("word"), F.size(F.filter(words, lambda x: x == w)).alias("times")
-    )))
-    each = keyed.select("sentence_key", F.explode(counted).alias("w")).select("sentence_key", "w.word", "w.times")
+    each = keyed.select("sentence_key", F.explode(word_counts(words_of(F.col(text)))).alias("w"))
+    each = each.select("sentence_key", "w.word", "w.times")
     # Rows of one sentence give the same entries, so a set of them counts once.
     hits = each.join(word_polarities(lexicon), "word").groupBy("sentence_key").agg(
         F.collect_set(F.struct("word", "times", "polarity")).alias("hits")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.readers import parse_completions
+from ..sources.readers import split_completions
 from ..sources.sinks import write_terms
 
 
@@ -16,6 +16,12 @@ def terms_by_type(completions: DataFrame) -> DataFrame:
     return sets.join(sizes, "type").orderBy("type", "value")
 
 
-def harvest(responses: DataFrame, path: str) -> None:
-    """Responses (JSON in ``value``) to ``type,value`` lines at ``path``."""
-    write_terms(parse_completions(responses), path)
+def harvest(responses: DataFrame, path: str, quarantine_path: str | None = None) -> None:
+    """Responses (JSON in ``value``) to ``type,value`` lines at ``path``.
+
+    Responses that cannot be used go to ``quarantine_path`` with the reason, if one is given.
+    """
+    terms, refused = split_completions(responses)
+    write_terms(terms, path)
+    if quarantine_path:
+        refused.write.mode("overwrite").json(quarantine_path)

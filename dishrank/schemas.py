@@ -55,6 +55,19 @@ TRENDS = T.StructType([
     T.StructField("citystate", T.StringType()),
 ])
 
+LIVE_TRENDS = T.StructType([*TRENDS.fields[:-1], T.StructField("window_end", T.TimestampNTZType()), TRENDS.fields[-1]])
+
+# Ratings of a dish on one day, summed up.
+DAILY = T.StructType([
+    T.StructField("day", T.StructType([T.StructField("start", T.TimestampType()), T.StructField("end", T.TimestampType())])),
+    T.StructField("dish", T.StringType()),
+    T.StructField("businessid", T.StringType()),
+    T.StructField("num", T.LongType()),
+    T.StructField("score", T.LongType()),
+    T.StructField("first", T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("promotext", T.StringType())])),
+    T.StructField("citystate", T.StringType()),
+])
+
 COMPLETION = T.StructType([
     T.StructField("result_list", T.ArrayType(T.StructType([
         T.StructField("completion_list", T.ArrayType(T.StructType([
@@ -64,5 +77,8 @@ COMPLETION = T.StructType([
     ]))),
 ])
 
+# Field of a parsed response that holds its text where it is no such document.
+CORRUPT = "_corrupt"
+
 DISH_KEY = ["citystate", "dish", "businessid"]
 BUSINESS_KEY = ["businessid", "citystate"]

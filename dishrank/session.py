@@ -73,3 +73,11 @@ def touch(spark: SparkSession, path: str) -> None:
     """Create an empty marker file."""
     files, hadoop_path = _file_system(spark, path)
     files.create(hadoop_path, True).close()
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none if there is no such folder."""
+    files, hadoop_path = _file_system(spark, path)
+    if not files.exists(hadoop_path):
+        return []
+    return sorted(status.getPath().getName() for status in files.listStatus(hadoop_path))

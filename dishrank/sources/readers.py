@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schemas
 from ..operators.dictionary import parse_dictionary
 from ..session import is_file
+from .versions import is_versioned, read_version
 
 
 def spread_small(rows: DataFrame, *key: str) -> DataFrame:
@@ -51,9 +52,16 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return parse_dictionary(spark.read.text(path))
 
 
+def _read_cities(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A table by city: its current version, or all files where it has none."""
+    if is_versioned(spark, path):
+        return read_version(spark, path, schema, "citystate")
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_dishes(spark: SparkSession, path: str) -> DataFrame:
     """Published dishes; a filter on ``citystate`` reads that folder only."""
-    return spark.read.schema(schemas.DISHES).parquet(path)
+    return _read_cities(spark, path, schemas.DISHES)
 
 
 def read_published_businesses(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +69,12 @@ def read_published_businesses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_trends(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.TRENDS).parquet(path)
+    return _read_cities(spark, path, schemas.TRENDS)
+
+
+def read_live_trends(spark: SparkSession, path: str) -> DataFrame:
+    """Trends of windows that are still open, with ``window_end``."""
+    return _read_cities(spark, path, schemas.LIVE_TRENDS)
 
 
 def read_completions(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
@@ -69,10 +82,40 @@ def read_completions(spark: SparkSession, path: str, per_line: bool = False) ->
     return parse_completions(spark.read.text(path, wholetext=not per_line))
 
 
+def _parsed_responses(responses: DataFrame) -> DataFrame:
+    """Responses with ``document`` and ``reason``, why one cannot be used (null: it can)."""
+    schema = StructType([*schemas.COMPLETION.fields, StructField(schemas.CORRUPT, StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": schemas.CORRUPT}
+    parsed = responses.withColumn("document", F.from_json("value", schema, options))
+    reason = (
+        F.when(F.col("value").isNull() | (F.trim("value") == ""), "empty")
+        .when(F.col(f"document.{schemas.CORRUPT}").isNotNull() | F.col("document").isNull(), "malformed")
+        .when(F.col("document.result_list").isNull(), "no results")
+    )
+    return parsed.withColumn("reason", reason)
+
+
+def _terms(parsed: DataFrame) -> DataFrame:
+    first = F.get(F.col("document.result_list"), F.lit(0))
+    return parsed.select(F.explode(first["completion_list"]).alias("c")).select("c.type", "c.value")
+
+
 def parse_completions(responses: DataFrame) -> DataFrame:
-    """``(type, value)`` of the first result of each JSON response in ``value``."""
-    first = F.get(F.from_json("value", schemas.COMPLETION)["result_list"], F.lit(0))
-    return responses.select(F.explode(first["completion_list"]).alias("c")).select("c.type", "c.value")
+    """``(type, value)`` of the first result of each JSON response in ``value``.
+
+    Responses that cannot be used give no rows; ``split_completions`` sets them aside.
+    """
+    return _terms(_parsed_responses(responses).where(F.col("reason").isNull()))
+
+
+def split_completions(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Terms of the usable responses, and the other responses with the ``reason``.
+
+    A response whose list of results is empty is usable and has no terms.
+    """
+    parsed = _parsed_responses(responses)
+    refused = parsed.where(F.col("reason").isNotNull()).select(*responses.columns, "reason")
+    return _terms(parsed.where(F.col("reason").isNull())), refused
 
 
 def kafka_options(servers: str, topic: str, starting: str = "latest", max_offsets: int | None = None) -> dict[str, str]:

@@ -2,38 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-def _laid_out(rows: DataFrame, partition: str, sort: Sequence[str]) -> DataFrame:
-    """Rows brought together per partition folder and sorted within it.
-
-    ``rebalance`` lets AQE split a folder with a third of all rows over many
-    tasks and merge small ones. The sort gives files narrow key ranges, so a
-    lookup by dish or business skips row groups by their statistics.
-    """
-    return rows.hint("rebalance", F.col(partition)).sortWithinPartitions(partition, *sort)
-
-
-def write_partitioned(rows: DataFrame, path: str, partition: str, sort: Sequence[str]) -> None:
-    _laid_out(rows, partition, sort).write.mode("overwrite").option(
-        "partitionOverwriteMode", "static"
-    ).partitionBy(partition).parquet(path)
-
-
-def replace_partitions(rows: DataFrame, path: str, partition: str, sort: Sequence[str]) -> None:
-    """Replace the folders that occur in ``rows``; all others stay as they are."""
-    _laid_out(rows, partition, sort).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy(partition).parquet(path)
+from .versions import write_version
 
 
 def publish_dishes(dishes: DataFrame, path: str) -> None:
-    write_partitioned(dishes, path, "citystate", ["dish", "businessid"])
+    """Publish all dishes anew; readers see the table before until the new one is complete."""
+    write_version(dishes, path, uuid.uuid4().hex, "citystate", ["dish", "businessid"], whole=True)
 
 
 def publish_businesses(businesses: DataFrame, path: str) -> None:
@@ -42,8 +22,14 @@ def publish_businesses(businesses: DataFrame, path: str) -> None:
     ranged.write.mode("overwrite").parquet(path)
 
 
-def replace_trends(trends: DataFrame, path: str) -> None:
-    replace_partitions(trends, path, "citystate", ["dish", "businessid"])
+def replace_dishes(dishes: DataFrame, path: str, version: str) -> None:
+    """Replace the dishes of the cities in ``dishes``; all others stay as they are."""
+    write_version(dishes, path, version, "citystate", ["dish", "businessid"])
+
+
+def replace_trends(trends: DataFrame, path: str, version: str | None = None) -> None:
+    """Replace the trends of the cities in ``trends``; all others stay as they are."""
+    write_version(trends, path, version or uuid.uuid4().hex, "citystate", ["dish", "businessid"])
 
 
 def stage_roundtrip(rows: DataFrame, path: str) -> DataFrame:
