@@ -1,9 +1,10 @@
 """Finding dictionary items in review and tip texts.
 
-One way for a dictionary of any size. The dictionary is turned into surface patterns, each
-under one of its words, its anchor. All words of the texts are joined to the anchors, one
-row per word; a pattern of several words is verified against the words around, and the
-places of the few that match go back to the text. Texts are known by a digest while that
+One way for a dictionary of any size. Items of one word are turned into their surface
+forms and joined to the words of the texts. Items of several words stand under their
+rarest pair of neighbouring words; each word of a text is joined to them by the pair it
+begins, one row per word however long items are, and the item is verified against the
+words around. The places of those that match go back to the text. Texts are known by a digest while that
 happens: reviews need no key, and equal texts are no trouble.
 
 The pattern table is written first, so its size is known: Spark broadcasts it while it
@@ -18,6 +19,12 @@ from pyspark.sql import functions as F
 from ..functions.text import bound, clip_sentence, plurals, sentences_of, singular, text_key, words_of
 from ..sources.stages import Stage, fresh
 
+# Words of a sentence that are taken apart together; longer sentences make several blocks.
+BLOCK_WORDS = 64
+
+# Letters that a word may end on and its regular plural may not, or the other way round.
+PLURAL_LETTERS = "seiy"
+
 POLICIES = ("last", "first_sentence", "all")
 
 
@@ -62,78 +69,115 @@ def word_forms(words: DataFrame, lemma_table: DataFrame) -> DataFrame:
     return best.select("form", F.col("best.word").alias("word"))
 
 
-def dictionary_patterns(dictionary: DataFrame, lemma_table: DataFrame, max_ngram: int = 1) -> DataFrame:
-    """``(pattern, dish)``: word sequences that name an item of at most ``max_ngram`` words.
+def dictionary_patterns(dictionary: DataFrame, lemma_table: DataFrame) -> DataFrame:
+    """``(pattern, dish)``: words that name an item of one word.
 
-    Null items and items without a word are left out; a pattern of several items names
-    the smallest one.
+    Null items and items without a word are left out; a word of several items names the
+    smallest one.
     """
     items = dictionary.where(F.col("item").isNotNull()).select("item").distinct()
-    items = items.withColumn("words", words_of(F.col("item"))).where(F.size("words").between(1, max_ngram))
-    places = items.select("item", F.posexplode("words").alias("place", "word"))
-    forms = word_forms(places.select("word").distinct(), lemma_table)
-    if max_ngram == 1:
-        spelled = places.join(forms, "word").select(F.col("form").alias("pattern"), "item")
-    else:
-        each = places.join(forms, "word").groupBy("item", "place").agg(F.collect_list("form").alias("forms"))
-        ordered = each.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("place", "forms"))).alias("slots"))
-        # An item has few words and a word few forms, so the combinations are few.
-        joined = F.aggregate(
-            F.slice("slots", 2, max_ngram), F.element_at("slots", 1)["forms"],
-            lambda heads, slot: F.flatten(F.transform(
-                heads, lambda head: F.transform(slot["forms"], lambda form: F.concat_ws(" ", head, form))
-            )),
-        )
-        spelled = ordered.select("item", F.explode(joined).alias("pattern"))
-    return spelled.groupBy("pattern").agg(F.min("item").alias("dish"))
-
-
-def anchored(patterns: DataFrame) -> DataFrame:
-    """``(anchor, place, words, dish)``: each pattern under its word that the fewest patterns have.
-
-    ``place`` is where in the pattern that word is. A word of many patterns anchors only
-    those that have no rarer one, so a text's frequent words meet few patterns.
-    """
-    split = patterns.select("dish", F.split("pattern", " ").alias("words"))
-    places = split.select("dish", "words", F.posexplode("words").alias("place", "word"))
-    uses = places.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
-    rarest = places.join(uses, "word").groupBy("words", "dish").agg(F.min(F.struct("uses", "place", "word")).alias("a"))
-    return rarest.select(F.col("a.word").alias("anchor"), F.col("a.place").alias("place"), "words", "dish")
+    items = items.withColumn("words", words_of(F.col("item"))).where(F.size("words") == 1)
+    named = items.groupBy(F.get("words", F.lit(0)).alias("word")).agg(F.min("item").alias("dish"))
+    forms = word_forms(named.select("word"), lemma_table)
+    return named.join(forms, "word").select(F.col("form").alias("pattern"), "dish")
 
 
-def _around(words: Column, reach: int) -> Column:
-    """``(token_pos, word, around, left)`` per word: it and up to ``reach`` words to each side."""
+def blocking_key(first: Column, second: Column) -> Column:
+    """What two neighbouring words have in common with all regular plurals of both."""
+    return F.concat(F.rtrim(first, F.lit(PLURAL_LETTERS)), F.lit(" "), F.rtrim(second, F.lit(PLURAL_LETTERS)))
 
-    def within(words: Column) -> Column:
-        def at(word: Column, place: Column) -> Column:
-            begin = F.greatest(place - reach, F.lit(0))
-            near = F.slice(words, begin + 1, place - begin + 1 + reach)
-            return F.struct(place.alias("token_pos"), word.alias("word"), near.alias("around"), (place - begin).alias("left"))
 
-        return F.transform(words, at)
+def anchored(dictionary: DataFrame, lemma_table: DataFrame, max_ngram: int, stage: Stage = fresh) -> DataFrame:
+    """``(anchor, place, slots, dish)``: items of two words or more under one pair of neighbours.
 
-    return bound(words, within)
+    ``slots`` holds for each place of the item the forms its word may have. The anchor is
+    the key of the item's rarest pair, which begins at ``place``: the one whose rarer word
+    is in the fewest items. Forms are not multiplied out: regular plurals share the key, so
+    an item is one row, and one more for every other form that the lemma table lists at the
+    pair. Of items with the same words the smallest is named.
+    """
+    items = dictionary.where(F.col("item").isNotNull()).select("item").distinct()
+    items = items.withColumn("words", words_of(F.col("item"))).where(F.size("words").between(2, max_ngram))
+    named = items.groupBy(F.array_join("words", " ").alias("phrase")).agg(F.min("item").alias("dish"))
+    named = named.select("dish", F.split("phrase", " ").alias("words"))
+    uses = named.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+    uses = stage(uses, "item_words")
+    forms = word_forms(uses.select("word"), lemma_table).groupBy("word").agg(F.collect_set("form").alias("forms"))
+    known = uses.join(forms, "word")
+    rows = named
+    for k in range(max_ngram):
+        own = known.select(F.col("word").alias(f"word{k}"), F.struct("uses", "forms").alias(f"slot{k}"))
+        rows = rows.join(own, F.get("words", F.lit(k)) == F.col(f"word{k}"), "inner" if k < 2 else "left")
+    slots = F.slice(F.array(*[f"slot{k}" for k in range(max_ngram)]), F.lit(1), F.size("words"))
+    pairs = F.transform(F.slice("s", 2, max_ngram), lambda after, k: F.struct(
+        F.least(after["uses"], F.get("s", k)["uses"]).alias("uses"), k.alias("place")
+    ))
+    at = rows.select("dish", slots.alias("s")).select("dish", F.col("s.forms").alias("slots"), F.array_min(pairs)["place"].alias("place"))
+    first, second = F.get("slots", F.col("place")), F.get("slots", F.col("place") + 1)
+    keys = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: blocking_key(a, b))))
+    return at.select(F.explode(F.array_distinct(keys)).alias("anchor"), "place", "slots", "dish")
+
+
+def _blocks(words: Column, reach: int) -> Column:
+    """``(begin, core, words)``: a sentence's words in bounded blocks, with ``reach`` more to each side."""
+
+    def cut(words: Column) -> Column:
+        def block(core: Column) -> Column:
+            begin = F.greatest(core - reach, F.lit(0))
+            return F.struct(
+                begin.alias("begin"), core.alias("core"),
+                F.slice(words, begin + 1, core - begin + BLOCK_WORDS + reach).alias("words"),
+            )
+
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(BLOCK_WORDS)), block)
+
+    return bound(words, cut)
+
+
+def neighbours(sentences: DataFrame, reach: int) -> DataFrame:
+    """``(text_key, sentence_pos, token_pos, word, around, left)``, one row per word of ``sentences``.
+
+    ``around`` is the word with up to ``reach`` words to each side, the word itself at ``left``.
+    """
+    blocks = sentences.select("text_key", "sentence_pos", F.explode(_blocks(words_of(F.col("sentence")), reach)).alias("b"))
+    each = blocks.select("text_key", "sentence_pos", "b.*").select("*", F.posexplode("words").alias("at", "word"))
+    own = F.col("begin") + F.col("at")
+    each = each.where((own >= F.col("core")) & (own < F.col("core") + BLOCK_WORDS))
+    first = F.greatest(F.col("at") - reach, F.lit(0))
+    return each.select(
+        "text_key", "sentence_pos", own.alias("token_pos"), "word",
+        F.slice("words", first + 1, F.col("at") - first + 1 + reach).alias("around"), (F.col("at") - first).alias("left"),
+    )
 
 
-def hit_rows(keyed: DataFrame, anchors: DataFrame, max_ngram: int) -> DataFrame:
-    """``(text_key, sentence_pos, token_pos, width, dish)`` of every match in the texts.
+def _sentences(keyed: DataFrame) -> DataFrame:
+    return keyed.select("text_key", F.posexplode(sentences_of(F.col("text"))).alias("sentence_pos", "sentence"))
 
-    Each word of a text enters the join once, whatever ``max_ngram`` is; with several
-    words to a pattern it takes its neighbours along, and a pattern whose anchor it is
-    must agree with them.
-    """
-    sentences = keyed.select("text_key", F.posexplode(sentences_of(F.col("text"))).alias("sentence_pos", "sentence"))
+
+def word_hits(keyed: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``(text_key, sentence_pos, token_pos, width, dish)`` of items of one word in the texts."""
     words = words_of(F.col("sentence"))
-    if max_ngram == 1:
-        tokens = sentences.select("text_key", "sentence_pos", F.posexplode(words).alias("token_pos", "word"))
-        met = tokens.join(anchors, F.col("word") == F.col("anchor"))
-        return met.select("text_key", "sentence_pos", "token_pos", F.lit(1).alias("width"), "dish")
-    each = sentences.select("text_key", "sentence_pos", F.explode(_around(words, max_ngram - 1)).alias("w"))
-    tokens = each.select("text_key", "sentence_pos", "w.*")
-    met = tokens.join(anchors, F.col("word") == F.col("anchor")).where(F.col("left") >= F.col("place"))
-    width = F.size("words")
-    whole = F.slice("around", F.col("left") - F.col("place") + 1, width) == F.col("words")
-    return met.where(whole).select(
+    tokens = _sentences(keyed).select("text_key", "sentence_pos", F.posexplode(words).alias("token_pos", "word"))
+    met = tokens.join(patterns, F.col("word") == F.col("pattern"))
+    return met.select("text_key", "sentence_pos", "token_pos", F.lit(1).alias("width"), "dish")
+
+
+def sequence_hits(keyed: DataFrame, anchors: DataFrame, max_ngram: int) -> DataFrame:
+    """The same columns for items of two words or more.
+
+    Each word of a text enters the join once, whatever ``max_ngram`` is, by the key it has
+    with the word behind it. It takes its neighbours along, and every word of an item
+    anchored there must be among the forms at its place.
+    """
+    near = neighbours(_sentences(keyed), max_ngram - 1)
+    behind = F.get("around", F.col("left") + 1)
+    pairs = near.where(behind.isNotNull()).withColumn("key", blocking_key(F.col("word"), behind)).drop("word")
+    met = pairs.join(anchors, F.col("key") == F.col("anchor"))
+    first = F.col("left") - F.col("place")
+    # A place beyond the sentence has no word, which no form equals.
+    fits = F.filter("slots", lambda forms, k: (first + k >= 0) & F.array_contains(forms, F.get(F.col("around"), first + k)))
+    width = F.size("slots")
+    return met.where(F.size(fits) == width).select(
         "text_key", "sentence_pos", (F.col("token_pos") - F.col("place")).alias("token_pos"), width.alias("width"), "dish"
     )
 
@@ -153,16 +197,20 @@ def find_mentions(
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
     kept = [c for c in reviews.columns if c != "text"]
-    patterns = dictionary_patterns(dictionary, lemma_table, max_ngram)
-    if max_ngram == 1:
-        anchors = patterns.select(F.col("pattern").alias("anchor"), "dish")
-    else:
-        anchors = anchored(patterns)
-    anchors = stage(anchors, "patterns")
+    if max_ngram > 1:
+        # Read several times below.
+        dictionary = stage(dictionary.select("item").distinct(), "items")
+    patterns = stage(dictionary_patterns(dictionary, lemma_table), "patterns")
     keyed = reviews.withColumn("text_key", text_key(F.col("text")))
     # Hits are combined per task before the shuffle. Rows of one text give the same
     # hits, so neither the maximum nor the set depends on how many there are.
-    hits = hit_rows(keyed, anchors, max_ngram).groupBy("text_key")
+    hits = word_hits(keyed, patterns)
+    if max_ngram > 1:
+        anchors = stage(anchored(dictionary, lemma_table, max_ngram, stage), "anchors")
+        longer = sequence_hits(keyed, anchors, max_ngram)
+        # Without items of one word the texts are not taken apart for them.
+        hits = longer if patterns.isEmpty() else hits.union(longer)
+    hits = hits.groupBy("text_key")
     if policy == "all":
         found = hits.agg(F.collect_set(F.struct("sentence_pos", "dish")).alias("found"))
     else:
