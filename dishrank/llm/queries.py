@@ -76,11 +76,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes decoded from them."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = table(spark, sf_dir, "documents").select(
-        "doc_id", bpe.encode_column(F.col("text"), ranks, public_tokenizers.PATTERN).alias("ids")
-    )
-    decoded = ids.select("*", bpe.decode_column(F.col("ids"), ranks, public_tokenizers.PATTERN).alias("decoded"))
-    return decoded.select(
+    both = bpe.round_trip_column(F.col("text"), ranks, public_tokenizers.PATTERN)
+    found = table(spark, sf_dir, "documents").select("doc_id", both.alias("r")).select("doc_id", "r.ids", "r.decoded")
+    return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

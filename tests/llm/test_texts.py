@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dishrank.llm import bpe, language_id, packing, pii, toxicity
+from dishrank.llm import bpe, language_id, packing, pii, queries, toxicity
 
 from .conftest import DATA
 
@@ -58,6 +58,20 @@ def test_ids_of_columns(spark, docs_of, odd_texts, reference):
         assert bytes(row.bytes).decode() == (row.text or "")
 
 
+def test_a_round_trip_encodes_each_text_once(spark, docs_of, odd_texts, reference, monkeypatch):
+    docs = docs_of(odd_texts + odd_texts[:5])
+    both = docs.select("text", bpe.round_trip_column(F.col("text"), RANKS, public_tokenizers.PATTERN).alias("r")).collect()
+    assert len(both) == len(odd_texts) + 5
+    for row in both:
+        assert row.r.ids == reference.encode_ordinary(row.text or "")
+        assert bytes(row.r.decoded).decode() == (row.text or "")
+    monkeypatch.setattr(queries, "table", lambda *a: docs)
+    plan = queries.op2_byte_bpe(spark, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("round_trip(") == plan.count("ArrowEvalPython") == 1
+    monkeypatch.setattr(queries, "table", lambda *a: docs_of([]))
+    assert queries.op2_byte_bpe(spark, "").collect() == []
+
+
 def test_repetitive_pieces_take_linear_time(reference):
     own = bpe.encoder(RANKS, public_tokenizers.PATTERN)
     for text in ("a" * 40_000, "ab" * 20_000, "é" * 9_999):
