@@ -11,9 +11,13 @@
    is a quotation, and more hits within ten words make it abuse more likely. A logistic
    model of these window scores gives the document's score.
 
-Only text and labels of the rows to learn from are used. A null or empty text has no
-hits and gets the model's base score. With no labelled row of both classes the score is
-the smoothed rate of toxic labels for every text.
+Defined results: only text and labels of the rows to learn from are used. A null or empty
+text has no hits and gets the model's base score. With no labelled row of both classes the
+score is the smoothed rate of toxic labels for every text. Rows are scored each by itself,
+so equal texts get equal scores; of rows of one id one is learned from, and of several
+labels the larger holds; rows without an id are held out; an empty table gives an empty
+result. Texts are read whole in one pass, in time linear in their length; a worker holds
+one text of a batch after the other.
 """
 
 from __future__ import annotations
@@ -163,14 +167,20 @@ class Scorer:
         quotes = [q.start() for q in _QUOTE.finditer(text)]
         lines = [n.start() for n in re.finditer("\n", text)] if quotes else []
         out = []
+        line = 0  # lines that begin before the word
+        before = opened = 0  # quotation marks before the word, before its line
         for number, word in enumerate(_WORD.finditer(text)):
             match = found.get(word.group())
             if match is not None:
                 # Between an odd quotation mark of its line and the next one.
-                line = max((n for n in lines if n < word.start()), default=-1)
-                before = sum(line < q < word.start() for q in quotes) % 2
-                behind = any(q >= word.end() for q in quotes)
-                out.append((number, *match, bool(before and behind)))
+                while line < len(lines) and lines[line] < word.start():
+                    while opened < len(quotes) and quotes[opened] < lines[line]:
+                        opened += 1
+                    line += 1
+                while before < len(quotes) and quotes[before] < word.start():
+                    before += 1
+                behind = bool(quotes) and quotes[-1] >= word.end()
+                out.append((number, *match, behind and (before - opened) % 2 == 1))
         return out
 
     def features(self, text: str | None) -> list[float]:
