@@ -2,15 +2,27 @@
 
 1. Each text is tokenised and cut into pieces of at most ``capacity`` tokens.
 2. The lengths' histogram (at most ``capacity`` rows) goes to the driver. There the
-   configuration linear program is solved by multiplicative weights: lengths are the
-   constraints, and each round prices a best configuration by an unbounded knapsack.
-   Rounding takes whole numbers of each configuration within the demand; what is
-   left over is filled best-fit, in decreasing length, whole groups of equal
-   sequences at a time. The work depends on ``capacity``, not on the table.
-3. Each piece gets its number among the pieces of its length (counted per bucket, so
+   configuration linear program is solved by multiplicative weights. Lengths are put in
+   classes (of two neighbouring lengths, more in small tables), which are the constraints:
+   each is to be covered as often as it has pieces. A round prices the classes by their
+   size and how far they are covered, finds the configuration of most worth by a bounded
+   knapsack (dynamic programming over binary parts of the copies), and takes as much of
+   it as the narrowest of its classes allows: no step covers a class by more than ``STEP``,
+   whatever the widths of the program are. It ends when every class is covered but for
+   ``1 - COVERED``.
+3. Rounding takes whole numbers of each configuration, carrying the fractions on, within
+   the demand, and deals the pieces of each class to the slots. Only what is left over is
+   filled best-fit, in decreasing length, whole groups of equal sequences at a time. The
+   work depends on ``capacity``, not on the table.
+4. Each piece gets its number among the pieces of its length (counted per bucket, so
    that a frequent length is no single group), and the plan tells its sequence and place.
 
-A null or empty text is one piece that holds only the end id.
+Defined results: a null or empty text is one piece that holds only the end id; an added
+token that is written out in a text is one id, as the tokenizer reads it; repeated rows,
+also of equal or null ids, are packed each by itself; equal lengths are placed in order of
+id and piece, so results do not depend on partitions as far as ids differ; an empty table
+gives an empty result. A text is never cut before it is tokenised: a worker holds it, its
+words and its ids, some twenty times its bytes.
 """
 
 from __future__ import annotations
@@ -19,7 +31,7 @@ import re
 import zlib
 from array import array
 from bisect import bisect_right
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -34,7 +46,20 @@ from .staging import bucket, plain, ready, shuffle_partitions, staged
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 200
+# Bounds of the program: rounds, classes, sizes priced in a round (so many of each of
+# ``STRATA`` ranges of sizes, the least covered ones).
+ROUNDS = 4_000
+CLASSES = 1_024
+PRICED = 256
+STRATA = 16
+# Pieces that a class has on the average, at least.
+CLASS_PIECES = 8
+# Share of a class that a step covers at most, share that must be covered in the end.
+STEP = 0.5
+COVERED = 0.955
+# How fast a class loses worth as it is covered, and how much a large size is preferred.
+LEARNING = 0.5
+LARGE_FIRST = 0.05
 # Pieces numbered together.
 NUMBERED_TOGETHER = 20_000
 
@@ -65,7 +90,7 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
@@ -92,9 +117,13 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as the bytes of unsigned 32-bit integers."""
+        lower = text.lower()
+        if any(token in text or token in lower for token in self.added):
+            # Written in small letters or not makes a difference here, which memos do not know.
+            return self._whole(text)
         try:
             text.encode("latin-1")
-            text, single = text.lower(), self._latin
+            text, single = lower, self._latin
         except UnicodeEncodeError:
             single = self._whole
         known, out = self.known, []
@@ -146,39 +175,125 @@ class Group:
 
 
 def best_configuration(prices: np.ndarray, sizes: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack by dynamic programming: index of a size to copies, worth most at these prices."""
+    """Bounded knapsack by dynamic programming: index of a size to copies, worth most at these prices."""
+    parts: list[tuple[int, int]] = []
+    for i in range(len(sizes)):
+        copies, part = min(int(most[i]), capacity // int(sizes[i])), 1
+        while copies > 0:
+            parts.append((i, min(part, copies)))
+            copies -= part
+            part *= 2
     worth = np.zeros(capacity + 1)
-    taken = np.full(capacity + 1, -1)
-    for room in range(int(sizes[0]), capacity + 1):
-        fitting = int(np.searchsorted(sizes, room, side="right"))
-        values = worth[room - sizes[:fitting]] + prices[:fitting]
-        best = int(values.argmax())
-        worth[room], taken[room] = values[best], best
+    taken = np.zeros((len(parts), capacity + 1), dtype=bool)
+    for row, (i, copies) in enumerate(parts):
+        size = int(sizes[i]) * copies
+        with_it = worth[:capacity + 1 - size] + prices[i] * copies
+        np.greater(with_it, worth[size:], out=taken[row, size:])
+        np.maximum(with_it, worth[size:], out=worth[size:])
     found: dict[int, int] = {}
     room = capacity
-    while room >= sizes[0] and taken[room] >= 0:
-        i = int(taken[room])
-        found[i] = found.get(i, 0) + 1
-        room -= int(sizes[i])
-    # More copies than the demand are worth nothing.
-    return {i: min(n, int(most[i])) for i, n in found.items()}
-
-
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Fractional solution of the configuration program: configurations and how often each."""
-    bound = max(1.0, float((sizes * demand).sum()) / capacity)
-    weights = np.ones(len(sizes))
+    for row in range(len(parts) - 1, -1, -1):
+        if taken[row, room]:
+            i, copies = parts[row]
+            found[i] = found.get(i, 0) + copies
+            room -= int(sizes[i]) * copies
+    return found
+
+
+def _priced(covered: np.ndarray, strata: np.ndarray) -> np.ndarray:
+    """The least covered classes of every range of sizes that are still open, in order of size."""
+    is_open = np.flatnonzero(covered < COVERED)
+    order = is_open[np.lexsort((covered[is_open], strata[is_open]))]
+    own = strata[order]
+    place = np.arange(len(own)) - np.searchsorted(own, own)
+    # Ranges with few open classes leave their share to the others.
+    return np.sort(order[np.argsort(place, kind="stable")[:PRICED]])
+
+
+def configurations(
+    sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS
+) -> tuple[list[tuple[dict[int, int], float]], np.ndarray]:
+    """Fractional solution of the configuration program, and how far each size is covered.
+
+    The solution is configurations (index of a size to copies) and how often each is taken.
+    """
+    covered = np.zeros(len(sizes))
+    worth = sizes.astype(float) ** (1 + LARGE_FIRST)
+    strata = np.minimum(sizes * STRATA // (capacity + 1), STRATA - 1)
     chosen: dict[tuple, float] = {}
-    rate = np.sqrt(np.log(len(sizes) + 1) / rounds)
     for _ in range(rounds):
-        configuration = best_configuration(weights / weights.sum() * bound / demand, sizes, demand, capacity)
-        key = tuple(sorted(configuration.items()))
-        chosen[key] = chosen.get(key, 0.0) + bound / rounds
+        priced = _priced(covered, strata)
+        if not len(priced):
+            break
+        weights = worth[priced] * np.exp(-LEARNING * covered[priced])
+        found = best_configuration(weights, sizes[priced], demand[priced], capacity)
+        key = tuple((int(priced[i]), n) for i, n in sorted(found.items()))
+        step = min(min(STEP, 1 - covered[i]) * demand[i] / n for i, n in key)
+        chosen[key] = chosen.get(key, 0.0) + step
         for i, n in key:
-            # Share of this length's demand that the round serves; the width is held to 4.
-            weights[i] *= np.exp(-rate * min(4.0, n * bound / demand[i]))
-        weights = np.maximum(weights / weights.max(), 1e-12)
-    return [(dict(key), amount) for key, amount in chosen.items()]
+            covered[i] += step * n / demand[i]
+    return [(dict(key), amount) for key, amount in chosen.items()], covered
+
+
+def unit_of(pieces: int, capacity: int) -> int:
+    """Neighbouring lengths of one class: a power of two."""
+    unit = 1
+    while unit < capacity and (capacity // unit > CLASSES or pieces * unit < CLASS_PIECES * capacity):
+        unit *= 2
+    return unit
+
+
+def _dealt(taken: list[list[tuple[int, int]]], count: int) -> Iterator[tuple[int, list[int]]]:
+    """``(sequences, their lengths)`` of ``count`` sequences whose slots are filled by runs ``(length, pieces)``."""
+    places = [0] * len(taken)
+    left = [runs[0][1] for runs in taken]
+    while count:
+        here = min(left)
+        yield here, [runs[at][0] for runs, at in zip(taken, places)]
+        count -= here
+        for slot, runs in enumerate(taken):
+            left[slot] -= here
+            if not left[slot] and count:
+                places[slot] += 1
+                left[slot] = runs[places[slot]][1]
+
+
+def rounded(
+    sizes: np.ndarray, left: np.ndarray, solution: Sequence[tuple[dict[int, int], float]], class_of: np.ndarray, capacity: int
+) -> list[Group]:
+    """Whole numbers of each configuration as groups of sequences; ``left`` loses the pieces they hold.
+
+    ``class_of`` is each length's class. A class's pieces fill a configuration's slots from
+    its longest length on in one slot and from its shortest in the next, so that the sums of
+    a group differ little.
+    """
+    members = [np.flatnonzero(class_of == k) for k in range(int(class_of.max()) + 1)]
+    spare = np.array([left[m].sum() for m in members])
+    groups: list[Group] = []
+    carried = 0.0
+    for configuration, amount in solution:
+        carried += amount
+        count = min(int(carried + 1e-9), *(int(spare[k]) // n for k, n in configuration.items()))
+        carried = min(carried - count, 1.0)
+        if count <= 0:
+            continue
+        taken, down = [], True
+        for k, n in configuration.items():
+            spare[k] -= count * n
+            for _ in range(n):
+                runs, wanted = [], count
+                for i in members[k][::-1] if down else members[k]:
+                    some = min(wanted, int(left[i]))
+                    if some:
+                        runs.append((int(sizes[i]), some))
+                        left[i] -= some
+                        wanted -= some
+                taken.append(runs)
+                down = not down
+        for sequences, lengths in _dealt(taken, count):
+            slots = [(size, lengths.count(size)) for size in sorted(set(lengths), reverse=True)]
+            groups.append(Group(sequences, slots, capacity - sum(lengths)))
+    return groups
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[Group]:
@@ -191,15 +306,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
         sizes, left = sizes[:-1], left[:-1]
     if not len(sizes):
         return groups
-    solution = configurations(sizes, left, capacity, rounds)
-    for configuration, amount in sorted(solution, key=lambda x: -x[1]):
-        used = {i: n for i, n in configuration.items() if n}
-        count = min([int(np.ceil(amount)), *(int(left[i]) // n for i, n in used.items())]) if used else 0
-        if count > 0:
-            for i, n in used.items():
-                left[i] -= count * n
-            slots = [(int(sizes[i]), n) for i, n in sorted(used.items(), reverse=True)]
-            groups.append(Group(count, slots, capacity - sum(s * n for s, n in slots)))
+    unit = unit_of(int(left.sum()), capacity)
+    # A class is as large as its longest length could be; sizes are counted in units.
+    classes, class_of = np.unique(-(-sizes // unit), return_inverse=True)
+    demand = np.bincount(class_of, weights=left).astype(np.int64)
+    solution, _ = configurations(classes, demand, capacity // unit, rounds)
+    groups += rounded(sizes, left, solution, class_of, capacity)
     by_room: dict[int, list[Group]] = {}
     rooms: list[int] = []
 
