@@ -220,6 +220,11 @@ def test_pipeline_matches_plain_stages(spark, docs_of, near_copies, tmp_path):
     assert lengths == expected
 
 
+def test_pipeline_of_nothing(spark, docs_of, tmp_path):
+    docs_of([]).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_one_row_of_each_group_with_null_and_repeated_ids(spark, docs_of):
     base = [f"v{i}" for i in range(100)]
     near = lambda k: " ".join(base[:97] + [f"own{k}"] * 3)
@@ -267,5 +272,5 @@ def test_stages_return_documents(spark):
 
 def test_every_operator_has_a_query():
     names = list(queries())
-    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11)) and len(names) == 10
+    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 14)) and len(names) == 13
     assert set(oracle_sql()) <= set(names)

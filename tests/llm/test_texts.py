@@ -1,6 +1,9 @@
 import random
 import re
+import time
 import zlib
+from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -85,7 +88,21 @@ def test_repetitive_pieces_take_linear_time(reference):
 @settings(max_examples=300, deadline=None)
 def test_words_are_encoded_as_whole_texts(text):
     own = packing.word_tokenizer(WORDS)
-    assert np.frombuffer(own.encode(text), "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == fresh_tokenizer().encode(text, add_special_tokens=False).ids
+
+
+@lru_cache(maxsize=1)
+def fresh_tokenizer():
+    return Tokenizer.from_file(WORDS)
+
+
+def test_added_tokens_that_a_text_holds():
+    own = packing.word_tokenizer(WORDS)
+    for text in (
+        "hello <|endoftext|> world", "<|ENDOFTEXT|> <|endoftext|>", "a<|endoftext|>b", "<|endoftext|>", "漢 <|startoftext|>字",
+        "<|EndOfText|> É", "<|endoftext|", "  <|endoftext|>\n\n <|startoftext|> <|ENDOFTEXT|>",
+    ):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == fresh_tokenizer().encode(text, add_special_tokens=False).ids
 
 
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
@@ -100,6 +117,60 @@ def test_plans_hold_every_piece_once(histogram):
     assert held == histogram
 
 
+@pytest.fixture(scope="module")
+def lengths(spark):
+    """Histogram of the pieces of the larger test documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8)
+    pieces = docs.select(F.explode(packing.pieces_column(F.col("text"), WORDS)).alias("p"))
+    return {r.length: r.n for r in pieces.groupBy("p.length").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+@pytest.mark.parametrize("times", [1, 25])
+def test_the_program_places_the_pieces(lengths, times):
+    histogram = {size: n * times for size, n in lengths.items()}
+    groups = packing.plan(histogram)
+    held = {}
+    for group in groups:
+        for size, copies in group.slots:
+            held[size] = held.get(size, 0) + copies * group.count
+    assert held == histogram
+    tokens = sum(size * n for size, n in histogram.items())
+    assert sum(g.count for g in groups) <= -(-tokens // 2048) * 1.002
+
+    sizes = np.array(sorted(s for s in histogram if s < 2048))
+    left = np.array([histogram[s] for s in sizes])
+    before = (sizes * left).sum()
+    classes, class_of = np.unique(-(-sizes // packing.unit_of(int(left.sum()), 2048)), return_inverse=True)
+    demand = np.bincount(class_of, weights=left).astype(int)
+    unit = packing.unit_of(int(left.sum()), 2048)
+    solution, covered = packing.configurations(classes, demand, 2048 // unit)
+    assert covered.min() >= 0.95 and covered.max() <= 1 + 1e-9
+    # Taken fractions serve what the coverage says, and every configuration fits.
+    served = np.zeros(len(classes))
+    for configuration, amount in solution:
+        assert sum(int(classes[k]) * n for k, n in configuration.items()) <= 2048 // unit and amount > 0
+        for k, n in configuration.items():
+            served[k] += n * amount
+    assert np.allclose(served, covered * demand)
+    program = packing.rounded(sizes, left, solution, class_of, 2048)
+    assert (sizes * left).sum() <= 0.1 * before
+    assert sum(g.count * sum(s * n for s, n in g.slots) for g in program) == before - (sizes * left).sum()
+
+
+def test_the_knapsack_is_exact_within_the_copies():
+    rng = random.Random(8)
+    for _ in range(60):
+        n = rng.randint(1, 4)
+        sizes = np.array(sorted(rng.sample(range(1, 20), n)))
+        prices, most = np.array([rng.random() for _ in range(n)]), np.array([rng.randint(1, 4) for _ in range(n)])
+        found = packing.best_configuration(prices, sizes, most, 30)
+        assert all(0 < c <= most[i] for i, c in found.items()) and sum(int(sizes[i]) * c for i, c in found.items()) <= 30
+        best = max(
+            float(np.dot(prices, copies)) for copies in product(*[range(m + 1) for m in most]) if np.dot(sizes, copies) <= 30
+        )
+        assert abs(sum(prices[i] * c for i, c in found.items()) - best) < 1e-9
+
+
 def test_plans_come_close_to_the_bound():
     rng = random.Random(2)
     histogram = {}
@@ -271,6 +342,41 @@ def test_quoted_hits_are_told_apart():
     assert [(n, e, q) for n, _, e, q in hits] == [(1, 0, False), (5, 0, True), (7, 1, False), (8, 0, False)]
 
 
+def quoted_hits(scorer, text):
+    """Hits by looking at all marks and lines for each of them."""
+    out = []
+    for number, word in enumerate(re.finditer(r"[^\W\d_]+", text)):
+        match = scorer.lexicon.match(word.group())
+        if match is not None:
+            line = text.rfind("\n", 0, word.start())
+            before = sum(line < q.start() < word.start() for q in re.finditer('["“”„«»]', text)) % 2
+            behind = any(q.start() >= word.end() for q in re.finditer('["“”„«»]', text))
+            out.append((number, *match, bool(before and behind)))
+    return out
+
+
+def test_quotations_are_those_of_a_full_search():
+    rng, scorer = random.Random(6), toxicity.Scorer({"idiot": 2.0, "scum": 1.5, "vile*": 1.0})
+    parts = ["idiot", "idiott", "scum", "vileness", "nice", '"', "“", "\n", " ", ". ", "»", '"\n', "word"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 40)))
+        assert scorer.hits(text) == quoted_hits(scorer, text)
+
+
+def test_long_quoted_texts_take_linear_time():
+    scorer = toxicity.Scorer({"idiot": 2.0})
+
+    def seconds(lines):
+        text = 'He said "you idiot" again.\n' * lines
+        start = time.perf_counter()
+        scorer.features(text)
+        return time.perf_counter() - start
+
+    seconds(100)
+    # 2.7 MB; looking at every mark for every hit would take hours.
+    assert seconds(100_000) < 60
+
+
 def test_toxic_documents_are_found(spark):
     root = DATA.replace("sf0.001", "sf0.1")
     docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
