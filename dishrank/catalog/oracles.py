@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from . import registry
-from .standins import LEMMAS, LEXICON, STREAM_START, TEXT_DICTIONARY, UNSTORED_DISH
+from .standins import ENDINGS, LEMMAS, LEXICON, MODIFIERS, STREAM_START, TEXT_DICTIONARY, UNSTORED_DISH
 
 
 def _values(rows: list[tuple]) -> str:
@@ -197,6 +197,25 @@ FROM (SELECT *, unnest({_words('promo_text')}) AS w FROM hit) JOIN lexicon ON w
 SELECT h.*, {_score('coalesce(total, 0)')} AS score FROM hit h
 LEFT JOIN hit_total USING (review_id, sentence_pos, token_pos)""",
     "word_dictionary": "SELECT DISTINCT form AS item FROM word WHERE length(form) >= 7",
+    "modifier": f"SELECT * FROM (VALUES {_values(MODIFIERS)}) t(word, kind, factor)",
+    "modified": "SELECT review_id, sentence_pos, token_pos, kind, CAST(factor AS DOUBLE) AS factor FROM word JOIN modifier ON form = modifier.word",
+    "ending_table": f"""
+SELECT form, min(lemma) AS lemma, left(md5(form), 1) >= '8' AS held_out FROM (
+  SELECT form, left(form, length(form) - length(ending)) || becomes AS lemma
+  FROM (SELECT DISTINCT form FROM word WHERE length(form) >= 3), (VALUES {_values(ENDINGS)}) e(ending, becomes)
+  WHERE suffix(form, ending))
+WHERE lemma IN (SELECT form FROM word WHERE length(form) >= 3) GROUP BY form""",
+    "suffix_rule": """
+SELECT ending, becomes, pairs FROM (
+  SELECT *, sum(pairs) OVER (PARTITION BY ending) AS every FROM (
+    SELECT substr(form, start + 1) AS ending, substr(lemma, start + 1) AS becomes, count(*) AS pairs FROM (
+      SELECT form, lemma, unnest(generate_series(greatest(shared - 3, 2), shared)) AS start FROM (
+        SELECT form, lemma, list_max(list_filter(generate_series(1, least(length(form), length(lemma))),
+          lambda n: left(form, n) = left(lemma, n))) AS shared FROM ending_table WHERE NOT held_out)
+      WHERE shared >= 2)
+    WHERE length(form) - start BETWEEN 1 AND 8 GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY ending ORDER BY pairs DESC, becomes) = 1)
+WHERE pairs >= 3 AND pairs >= 0.5 * every""",
     "pair_dictionary": """
 SELECT DISTINCT a.form || ' ' || b.form AS item, a.form AS w1, b.form AS w2 FROM word a
 JOIN word b ON a.review_id = b.review_id AND a.sentence_pos = b.sentence_pos AND a.token_pos = 0 AND b.token_pos = 1""",
@@ -304,6 +323,9 @@ SELECT * FROM dishes WHERE citystate = '{registry.SHOWN_CITYSTATE}' AND dish = '
     "dishes_by_business": f"""
 SELECT * FROM dishes WHERE citystate = '{registry.SHOWN_CITYSTATE}'
   AND businessid = (SELECT min(businessid) FROM dishes WHERE citystate = '{registry.SHOWN_CITYSTATE}')""",
+    "dishes_of_business": f"SELECT * FROM dishes WHERE businessid = '{registry.SHOWN_BUSINESS}'",
+    "places_of_dish": f"""
+SELECT citystate, {_FIELDS} FROM (SELECT * FROM dishes WHERE dish = '{registry.SHOWN_DISH}') JOIN businesses USING (citystate, businessid)""",
     "stage_roundtrip": "SELECT * FROM scores",
     "stage_resumed": "SELECT * FROM scores",
     "joined_persisted": "SELECT citystate, businessid, b.name, dish, numreviews FROM dishes JOIN businesses b USING (citystate, businessid)",
@@ -347,6 +369,26 @@ QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY sentence_pos, token_p
 SELECT review_id, sentence_pos, {_score('coalesce(CAST(sum(polarity) AS INT), 0)')} AS score
 FROM sentence LEFT JOIN (SELECT review_id, sentence_pos, polarity FROM word JOIN lexicon ON form = lexicon.word)
 USING (review_id, sentence_pos) GROUP BY review_id, sentence_pos""",
+    "sentence_sentiment_composed": f"""
+SELECT review_id, sentence_pos, {_score('CAST(round(coalesce(total, 0)) AS INT)')} AS score FROM sentence LEFT JOIN (
+  SELECT review_id, sentence_pos, sum(polarity * CASE WHEN negators % 2 = 1 THEN -1 ELSE 1 END * factor) AS total FROM (
+    SELECT w.*, (SELECT count(*) FROM modified m WHERE m.review_id = w.review_id AND m.sentence_pos = w.sentence_pos
+        AND m.kind = 'negate' AND m.token_pos BETWEEN w.token_pos - 3 AND w.token_pos - 1
+        AND NOT EXISTS (SELECT 1 FROM modified c WHERE c.review_id = w.review_id AND c.sentence_pos = w.sentence_pos
+          AND c.kind = 'clause' AND c.token_pos BETWEEN m.token_pos AND w.token_pos - 1)) AS negators,
+      coalesce((SELECT arg_max(factor, token_pos) FROM modified m WHERE m.review_id = w.review_id
+        AND m.sentence_pos = w.sentence_pos AND m.kind = 'intensify'
+        AND m.token_pos BETWEEN w.token_pos - 2 AND w.token_pos - 1), 1.0) AS factor
+    FROM (SELECT review_id, sentence_pos, token_pos, length(form) % 5 - 2 + CASE WHEN length(form) >= 9 THEN 1 ELSE 0 END AS polarity
+      FROM word) w)
+  GROUP BY review_id, sentence_pos) USING (review_id, sentence_pos)""",
+    "lemma_suffix_rules": "SELECT ending, becomes, pairs FROM suffix_rule",
+    "learned_lemmas": """
+SELECT form, listed, lemma FROM (SELECT form, lemma AS listed FROM ending_table WHERE held_out) LEFT JOIN (
+  SELECT form, left(form, length(form) - size) || becomes AS lemma FROM (
+    SELECT form, unnest(generate_series(1, least(8, length(form) - 2))) AS size FROM ending_table WHERE held_out)
+  JOIN suffix_rule ON ending = right(form, size) QUALIFY row_number() OVER (PARTITION BY form ORDER BY size DESC) = 1)
+USING (form)""",
     "longest_sentence_sentiment": f"""
 SELECT review_id, any_value(sentence) AS sentence, {_score('coalesce(CAST(sum(polarity) AS INT), 0)')} AS score
 FROM (SELECT * FROM sentence QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY length(sentence) DESC, sentence_pos) = 1)

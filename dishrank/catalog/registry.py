@@ -12,7 +12,8 @@ from .. import functions as fn
 from ..operators import dictionary as dic
 from ..operators import mentions as men
 from ..operators import ratings as rat
-from ..operators import scoring, sentiment_model
+from ..operators import lemma_rules, scoring, sentiment_model
+from ..operators.composed_sentiment import score_composed
 from ..operators.published import businesses_view, dishes_view, join_business, of_category
 from ..operators.sampling import exact_sample, sample_by_key
 from ..operators.sentiment import longest_sentences, score_sentences
@@ -29,6 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SHOWN_CITY = "NATION 15, AF"
 SHOWN_CITYSTATE = "NATION15AF"
 SHOWN_DISH = "blue bolt"
+SHOWN_BUSINESS = "7"
 TEXT_TERM = "the"
 SAMPLE_FRACTION = 0.1
 SAMPLE_ROWS = 20
@@ -227,6 +229,17 @@ def dishes_by_business(t: Tables) -> DataFrame:
     return city.join(city.agg(F.min("businessid").alias("businessid")), "businessid", "left_semi")
 
 
+@query
+def dishes_of_business(t: Tables) -> DataFrame:
+    """One business looked up by its own key alone."""
+    return serving.dishes_of_business(stored_table(t), SHOWN_BUSINESS)
+
+
+@query
+def places_of_dish(t: Tables) -> DataFrame:
+    return serving.places_of_dish(stored_table(t), stored_places(t), SHOWN_DISH)
+
+
 @query
 def stage_roundtrip(t: Tables) -> DataFrame:
     return sinks.stage_roundtrip(scoring.dish_scores(t.mentions()), work_path(t.spark, "scores"))
@@ -427,6 +440,27 @@ def sentence_sentiment(t: Tables) -> DataFrame:
     return rows.select("review_id", "sentence_pos", "score")
 
 
+@query
+def sentence_sentiment_composed(t: Tables) -> DataFrame:
+    """Score of every sentence with negators and intensifiers."""
+    rows = score_composed(men.sentence_rows(t.reviews()), "sentence", t.word_lexicon(), t.modifiers())
+    return rows.select("review_id", "sentence_pos", "score")
+
+
+@query
+def lemma_suffix_rules(t: Tables) -> DataFrame:
+    """Rules that half of the listed forms teach."""
+    return lemma_rules.learn_rules(t.ending_table().where("not held_out"))
+
+
+@query
+def learned_lemmas(t: Tables) -> DataFrame:
+    """Lemmas of the forms held out, by the rules of the others, beside what the table lists."""
+    table = sinks.stage_roundtrip(t.ending_table(), work_path(t.spark, "endings"))
+    found = lemma_rules.apply_rules(table.where("held_out"), lemma_rules.learn_rules(table.where("not held_out")))
+    return table.where("held_out").select("form", F.col("lemma").alias("listed")).join(found, "form", "left")
+
+
 @query
 def sentence_sentiment_ml(t: Tables) -> DataFrame:
     """Every sentence scored by a model of the quality labels of whole documents."""

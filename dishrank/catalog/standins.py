@@ -17,6 +17,12 @@ TEXT_DICTIONARY = [
 ]
 LEMMAS = [("are", "be"), ("is", "be"), ("was", "be")]
 LEXICON = [("that", 1), ("this", 2), ("it", -1), ("on", -2), ("by", 1), ("at", -1)]
+# Modifiers for texts of invented words: frequent ones stand in for "not", "very" and "but".
+ENDINGS = [("ing", ""), ("ing", "e"), ("ed", ""), ("ies", "y"), ("er", ""), ("tion", "t"), ("ment", ""), ("aux", "al"), ("ant", "er")]
+MODIFIERS = [
+    ("the", "negate", 1.0), ("la", "negate", 1.0), ("and", "intensify", 2.0), ("of", "intensify", 1.5), ("with", "clause", 1.0),
+    ("this", "intensify", 2.0),
+]
 
 # The rating stream is cut here: earlier ratings are stored, later ones arrive.
 STREAM_START = "2024-01-16"
@@ -166,6 +172,24 @@ class Tables:
         items = self.reviews().select(F.explode(F.array_distinct(first)).alias("item")).distinct()
         return items.select(F.substring("item", 1, 1).alias("category"), "item")
 
+    def ending_table(self) -> DataFrame:
+        """Pairs ``(form, lemma)``: words whose ending leaves another word of the documents.
+
+        Every other one by a digest is a pair to learn from, the others are held out.
+        """
+        words = self._words().where(F.length("word") >= 3)
+        rewrites = F.array(*[F.struct(F.lit(a).alias("ending"), F.lit(b).alias("becomes")) for a, b in ENDINGS])
+        cut = words.select("word", F.explode(rewrites).alias("r")).where(F.col("word").endswith(F.col("r.ending")))
+        stem = F.substr("word", F.lit(1), F.length("word") - F.length("r.ending"))
+        pairs = cut.select(F.col("word").alias("form"), F.concat(stem, "r.becomes").alias("lemma"))
+        known = pairs.join(words.select(F.col("word").alias("lemma")), "lemma", "left_semi")
+        return known.groupBy("form").agg(F.min("lemma").alias("lemma")).withColumn(
+            "held_out", F.substring(F.md5(F.col("form").cast("binary")), 1, 1) >= "8"
+        )
+
+    def modifiers(self) -> DataFrame:
+        return self.inline(MODIFIERS, ["word", "kind", "factor"])
+
     def word_lexicon(self) -> DataFrame:
         """A polarity from -2 to 2 for every word, and one more for long words."""
         words = self._words()

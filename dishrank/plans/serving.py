@@ -122,6 +122,20 @@ def city_one(trends: DataFrame, businesses: DataFrame, city: str, k: int = CITY_
     return _in_rank_order(top, businesses, order)
 
 
+def places_of_dish(dishes: DataFrame, businesses: DataFrame, dish: str) -> DataFrame:
+    """Every business that has a dish, in all cities, rated high enough or not.
+
+    Row groups whose Bloom filter or dictionary lacks the dish are not read.
+    """
+    served = dishes.where(F.col("dish") == dish).select("citystate", "dish", "businessid", "avgrating", "numreviews", "promotext")
+    return enrich(served, businesses)
+
+
+def dishes_of_business(dishes: DataFrame, businessid: str) -> DataFrame:
+    """All dishes of one business, whatever city it is in; row groups without it are not read."""
+    return dishes.where(F.col("businessid") == businessid)
+
+
 def list_cities(dishes: DataFrame) -> DataFrame:
     """Labels of all cities with dishes, in key order."""
     cities = dishes.select("citystate").distinct().orderBy("citystate")

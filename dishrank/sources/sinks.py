@@ -11,9 +11,13 @@ from pyspark.sql.types import StructType
 from .versions import write_version
 
 
+# Columns of the dishes that are looked up besides the city.
+SOUGHT = ["businessid", "dish"]
+
+
 def publish_dishes(dishes: DataFrame, path: str) -> None:
     """Publish all dishes anew; readers see the table before until the new one is complete."""
-    write_version(dishes, path, uuid.uuid4().hex, "citystate", ["dish", "businessid"], whole=True)
+    write_version(dishes, path, uuid.uuid4().hex, "citystate", ["dish", "businessid"], whole=True, sought=SOUGHT)
 
 
 def publish_businesses(businesses: DataFrame, path: str) -> None:
@@ -24,7 +28,7 @@ def publish_businesses(businesses: DataFrame, path: str) -> None:
 
 def replace_dishes(dishes: DataFrame, path: str, version: str) -> None:
     """Replace the dishes of the cities in ``dishes``; all others stay as they are."""
-    write_version(dishes, path, version, "citystate", ["dish", "businessid"])
+    write_version(dishes, path, version, "citystate", ["dish", "businessid"], sought=SOUGHT)
 
 
 def replace_trends(trends: DataFrame, path: str, version: str | None = None) -> None:

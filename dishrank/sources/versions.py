@@ -80,10 +80,13 @@ def read_version(spark: SparkSession, path: str, schema: StructType, key: str, v
 
 def write_version(
     rows: DataFrame, path: str, version: str, key: str, sort: Sequence[str], base: str | None = None, whole: bool = False,
+    sought: Sequence[str] = (), **options: str,
 ) -> None:
     """Write the keys that occur in ``rows`` as a new version on top of ``base``, then switch to it.
 
     ``base`` is the current version unless named. With ``whole`` keys without rows are gone.
+    Columns in ``sought`` get Bloom filters, so that a search for one of their values skips
+    row groups whose range holds it; a filter is as large as its column's different values ask.
     Running it again after a failure writes the version's folder anew; once the version
     was switched to it does nothing.
     """
@@ -98,11 +101,20 @@ def write_version(
     # AQE splits a key with a third of all rows over many tasks and merges small ones; the
     # sort gives files narrow ranges, so a lookup skips row groups by their statistics.
     laid_out = rows.hint("rebalance", F.col(key)).sortWithinPartitions(key, *sort)
-    laid_out.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(key).parquet(folder)
+    writer = laid_out.write.mode("overwrite").option("partitionOverwriteMode", "static").options(**options)
+    if sought:
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+        for column in sought:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.partitionBy(key).parquet(folder)
     # Which keys were written comes from the folders; no column of the data is read for it.
     written = spark.read.schema(rows.schema).parquet(folder).select(key).distinct()
     changed = written.withColumn(VERSION, F.lit(version))
     if base is not None and not whole:
+        if changed.isEmpty():
+            # Nothing changes, so readers stay where they are.
+            delete_path(spark, folder)
+            return
         kept = _matched(_manifest(spark, path, base, key), changed, key, "left_anti", versions=False)
         changed = kept.unionByName(changed)
     changed.write.mode("overwrite").parquet(f"{path}/manifests/{version}")
