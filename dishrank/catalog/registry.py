@@ -465,7 +465,7 @@ def learned_lemmas(t: Tables) -> DataFrame:
 def sentence_sentiment_ml(t: Tables) -> DataFrame:
     """Every sentence scored by a model of the quality labels of whole documents."""
     labels = t.read("labels").select("doc_id", F.col("quality").alias("label"))
-    model = sentiment_model.fit(t.read("documents").select("doc_id", "text").join(labels, "doc_id"))
+    model = sentiment_model.fit_once(t.read("documents").select("doc_id", "text").join(labels, "doc_id"))
     rows = sentiment_model.score_sentences(men.sentence_rows(t.reviews()), "sentence", model)
     return rows.select("review_id", "sentence_pos", "score")
 

@@ -161,6 +161,28 @@ def test_trained_scores(spark):
     assert sum((r.score >= 3) == bool(r.label) for r in rows) >= 95
 
 
+def test_quality_on_labels_held_out(spark):
+    root = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{root}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    labelled = spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text").join(labels, "doc_id")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    learned, work = labelled.where(~held_out), work_path(spark, "models")
+    model = sentiment_model.fit_once(learned, work)
+    right, area = sentiment_model.quality(model, labelled.where(held_out))
+    # The labels tell the quality of whole documents, which words alone tell in part.
+    assert right >= 0.8 and area >= 0.6
+    # The second call loads what the first has saved; another choice of rows is another model.
+    fitted, count = sentiment_model.fit, []
+    sentiment_model.fit = lambda *a: count.append(1) or fitted(*a)
+    try:
+        assert sentiment_model.quality(sentiment_model.fit_once(learned, work), labelled.where(held_out)) == (right, area)
+        assert not count
+        sentiment_model.fit_once(learned.where("label = 0").limit(50).union(learned.where("label = 1").limit(50)), work)
+        assert count == [1]
+    finally:
+        sentiment_model.fit = fitted
+
+
 def test_longest_sentence(rows, reviews, lexicon):
     longest = sen.longest_sentences(reviews.select("review_id", "text"))
     got = dict(rows(longest))
