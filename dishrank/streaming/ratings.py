@@ -176,6 +176,8 @@ def start_live_trends(
         # Written first: the steps below read it several times, the state gives it once.
         batch.select(*DAILY.names).write.mode("overwrite").parquet(f"{checkpoint}/changed/{batch_id}")
         changed = spark.read.schema(DAILY).parquet(f"{checkpoint}/changed/{batch_id}")
+        if changed.isEmpty():
+            return  # a batch that only moves the watermark
         before = None
         if current_version(spark, days_path) is not None:
             before = read_version(spark, days_path, DAILY, key)
@@ -184,7 +186,8 @@ def start_live_trends(
         write_version(open_trends(days), trends_path, version, key, ["dish", "businessid"])
         for path in (days_path, trends_path):
             vacuum(spark, path, key, KEEP_VERSIONS)
-        delete_path(spark, f"{checkpoint}/changed/{batch_id - 1}")
+        for old in range(batch_id - 2, batch_id):
+            delete_path(spark, f"{checkpoint}/changed/{old}")
 
     use_disk_state(messages.sparkSession)
     return _start(days_of(messages, lateness), checkpoint, available_now, every, step, mode="update")
