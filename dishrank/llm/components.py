@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import drop, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
         links.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")),
         "labels",
     )
+    written = labels
     while True:
         near = links.join(labels.select(F.col("node").alias("b"), F.col("component").alias("seen")), "b")
         least = near.groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
@@ -32,7 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
             "node", "before", F.least("component", "further").alias("component")
         )
         after = staged(jumped, "labels")
+        drop(written)
+        written = after
         changed = after.where("before <> component").limit(1).count()
         labels = after.select("node", "component")
         if not changed:
+            drop(links)
             return labels

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .staging import partitions_for, plain, ready, staged, text_bytes
+from .staging import drop, partitions_for, plain, ready, staged, text_bytes
 from .substring_dedup import id_buckets
 from .words import Words, mix, slices, window_hashes, words_of
 
@@ -242,24 +242,29 @@ def _collect(table: pa.Table) -> pa.Table:
     known, first = np.unique(rows, return_index=True)
     owner = np.repeat(_joined(answers, "ids", np.int64), _joined(answers, "counts", np.int32))
     hashes, counts = _joined(answers, "hashes", np.uint64), _joined(answers, "more", np.uint8)
+    del info, unnamed, answers
     at = np.searchsorted(known, owner)
+    del owner
     order = np.lexsort((hashes, at))
     at, hashes, counts = at[order], hashes[order], counts[order]
     fresh = np.ones(len(at), dtype=bool)  # a repeated row asks twice
     fresh[1:] = (at[1:] != at[:-1]) | (hashes[1:] != hashes[:-1])
     at, hashes, counts = at[fresh], hashes[fresh], counts[fresh]
+    del order, fresh
     n = sizes[first]
     shared = np.bincount(at, minlength=len(known))[:len(known)]
     prefix = n - -(-n * THRESHOLD // 100) + 1 - (n - shared)
     alive = (prefix >= 1) & (shared >= 1)
     chosen = alive[at] if len(at) else np.zeros(0, dtype=bool)
     at, hashes, counts = at[chosen], hashes[chosen], counts[chosen]
+    del chosen
     live = np.flatnonzero(alive)
     own = shared[live]
     starts = np.cumsum(own) - own
     rare = np.lexsort((hashes, counts, at))
     place = np.arange(len(at)) - np.repeat(starts, own)
     keys = hashes[rare][place < np.repeat(prefix[live], own)]
+    del rare, place, counts, at
     taken = np.minimum(prefix[live], own)
 
     def lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -283,7 +288,9 @@ def shingle_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     count = partitions_for(docs.sparkSession, text_bytes(docs, "text")) | 1
     sent = docs.mapInArrow(_send(width, count, count), PACKED)
     answers = staged(sent.groupBy("part").applyInArrow(_answer(count), PACKED), "answers")
-    return staged(answers.where("bucket >= 0").groupBy("bucket").applyInArrow(_collect, SETS), "sets")
+    sets = staged(answers.where("bucket >= 0").groupBy("bucket").applyInArrow(_collect, SETS), "sets")
+    drop(answers)
+    return sets
 
 
 def tile_rows(nodes: DataFrame) -> DataFrame:
@@ -423,25 +430,32 @@ def similar_nodes(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
         mixed = rest.groupBy("key", "tile").agg(
             F.min("component").alias("least"), F.max("component").alias("most"), F.min("upper").alias("one")
         ).where("least < most and not one").select("key", "tile")
-        tiles = staged(rest.join(mixed, ["key", "tile"], "left_semi"), "tiles")
+        before, tiles = tiles, staged(rest.join(mixed, ["key", "tile"], "left_semi"), "tiles")
+        drop(before)
         if not tiles.limit(1).count():
             return named
     more = staged(linked(pairs_across(tiles, nodes), nodes), "edges")
+    drop(tiles)
     if more.limit(1).count():
         named = components(more if edges is None else edges.union(more))
     return named
 
 
-def named_nodes(sets: DataFrame) -> DataFrame:
-    """``(node, component)`` of the sets that could link with another."""
+def named_nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(node, component)`` of the sets that could link with another, and all sets without their arrays.
+
+    The table of sets itself is deleted: each array is kept once, with its node.
+    """
+    plain_sets = staged(sets.select("id", "n", "node"), "plain_sets")
     alive = sets.where(F.col("keys").isNotNull()).select(
         "node", "n", "band", "keys", "shared", "bits", "low", F.size("shared").alias("c")
     )
     nodes = staged(alive.dropDuplicates(["node"]), "nodes")
+    drop(sets)
     named = similar_nodes(nodes)
     if named is None:
         named = nodes.select("node", F.col("node").alias("component"))
-    return named
+    return named, plain_sets
 
 
 def first_rows(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -452,9 +466,10 @@ def first_rows(df: DataFrame, id: str = "doc_id", text: str = "text", width: int
     """
     ready(df.sparkSession)
     sets = shingle_table(plain(df, id=id, text=text).withColumn("id", F.col("id").cast("long")), width)
+    named, sets = named_nodes(sets)
     row = F.struct(F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0).cast("long")).alias("id"), "node")
     least = sets.where("n > 0").groupBy("node").agg(F.min(row).alias("row"))
-    met = least.join(named_nodes(sets), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    met = least.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return met.groupBy("component").agg(F.min("row").alias("row")).select("row.unnamed", "row.id", "row.node")
 
 
@@ -463,8 +478,8 @@ def similar_groups(df: DataFrame, id: str = "doc_id", text: str = "text", width:
     ready(df.sparkSession)
     docs = plain(df, id=id, text=text).withColumn("id", F.col("id").cast("long"))
     sets = shingle_table(docs.where(F.col("id").isNotNull()), width)
+    named, sets = named_nodes(sets)
     least = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
-    named = named_nodes(sets)
     # Names of nodes become the smallest document id of all their members.
     members = named.join(least, "node")
     smallest = members.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -160,6 +160,25 @@ def predict_column(text: Column, profiles: Profiles) -> Column:
     return predict(text)
 
 
+def keep_known(
+    docs: DataFrame, profiles: Profiles, least: float, judged: int, least_judged: float, text: str = "text"
+) -> DataFrame:
+    """Rows whose text is of a learned language and scores ``least`` at least.
+
+    A text of ``judged`` n-grams or more needs ``least_judged``. Rows pass Python as they
+    are, batch by batch, so nothing of them is held beside it.
+    """
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, COUNTED) for b in batches for at in range(0, b.num_rows, COUNTED)):
+            kept = []
+            for one in batch.column(text):
+                lang, score, size = profiles.judged(one.as_py())
+                kept.append(lang != UNKNOWN and score >= (least_judged if size >= judged else least))
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def lowest_score(labelled: DataFrame, profiles: Profiles, least: int, rows: int = FIT_ROWS) -> float | None:
     """Lowest score of the rows profiles were fitted on, of those with ``least`` ranked n-grams."""
     found = fit_rows(labelled, rows).select(predict_column(F.col("text"), profiles).alias("found"))

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import work_path
+from ..session import delete_path, work_path
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 # Text bytes that one partition of an exchange stands for.
@@ -23,6 +24,14 @@ BATCH_ROWS = 1_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+# Large arrays of a worker go back to the system when they are dropped.
+_MALLOC = {"MALLOC_MMAP_THRESHOLD_": str(2 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+# Paths of written work tables: by frame, and by application those that ``release`` deletes.
+_PATHS: WeakKeyDictionary = WeakKeyDictionary()
+_OPEN: dict[str, list[str]] = {}
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers started from here import this package, with batches of bounded size.
 
@@ -32,30 +41,70 @@ def ready(spark: SparkSession) -> SparkSession:
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, str(BATCH_ROWS))
     environment = spark.sparkContext.environment
+    for name, value in _MALLOC.items():
+        environment.setdefault(name, value)
     known = environment.get("PYTHONPATH", "")
     if PACKAGE_ROOT not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(p for p in (PACKAGE_ROOT, known) if p)
     return spark
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def setting(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (``__`` for dots) that hold for what is planned inside."""
+    names = {key.replace("__", "."): value for key, value in values.items()}
+    before = {key: spark.conf.get(key, None) for key in names}
+    for key, value in names.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def staged(df: DataFrame, name: str, partitions: int | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it back.
 
     A step that is written survives lost executors, and the shuffle files that
-    made it are removed as soon as it is complete.
+    made it are removed as soon as it is complete. ``partitions`` is the number that its
+    shuffles begin with; AQE still merges small ones and splits those of a hot key.
+    ``release`` leaves the table alone with ``keep``.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    more = {"spark__sql__shuffle__partitions": str(partitions)} if partitions else {}
+    with setting(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", **more):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _PATHS[found] = path
+    if not keep:
+        _OPEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return found
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete work tables that ``staged`` gave, once all that is made of them is written."""
+    for table in tables:
+        path = _PATHS.pop(table, None) if table is not None else None
+        if path:
+            delete_path(table.sparkSession, path)
+            paths = _OPEN.get(table.sparkSession.sparkContext.applicationId, [])
+            if path in paths:
+                paths.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all work tables of finished steps.
+
+    Only for a job whose results so far are written themselves: frames that were not
+    written yet cannot be read any more.
+    """
+    for path in _OPEN.pop(spark.sparkContext.applicationId, []):
+        delete_path(spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import partitions_for, plain, ready, staged
+from .staging import partitions_for, plain, ready, staged, text_bytes
 
 LEAST_PAYLOAD = 100
 ARCHIVE_BYTES = 4 << 20
@@ -113,7 +113,9 @@ def with_responses(pages: DataFrame) -> DataFrame:
     rows = pages.withColumn("payload", F.coalesce(F.col("html"), F.lit("")).cast("binary"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).drop("html")
     long = F.octet_length("payload") >= LEAST_PAYLOAD
-    first = rows.where(long).groupBy("digest").agg(F.min("id").alias("first"))
+    groups = rows.where(long).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    # Only these are joined, by one small row each: while they are few, no payload moves.
+    first = staged(groups.where("copies > 1").select("digest", "first"), "copies")
     joined = rows.join(first, "digest", "left")
     revisit = F.coalesce(long & F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id")), F.lit(False))
     return joined.select(
@@ -161,7 +163,9 @@ def write_archives(pages: DataFrame, level: int = GZIP_LEVEL, size: int = ARCHIV
         if members:
             yield archive()
 
-    return staged(with_responses(pages).mapInArrow(build, ARCHIVES), "archives")
+    # Where payloads move after all, their partitions follow the bytes.
+    parts = partitions_for(pages.sparkSession, text_bytes(pages, "html"))
+    return staged(with_responses(pages).mapInArrow(build, ARCHIVES), "archives", parts)
 
 
 def write_index(archives: DataFrame) -> DataFrame:
@@ -256,8 +260,10 @@ def _ranges(places: pa.Table, archives: pa.Table) -> pa.Table:
 
 def read_records(places: DataFrame, archives: DataFrame) -> DataFrame:
     """Parsed records at the given places; archives that are not asked for stay unread."""
-    asked = archives.select("archive", "content")
-    return places.groupBy("archive").cogroup(asked.groupBy("archive")).applyInArrow(_ranges, RECORDS)
+    size = archives.select(F.explode("entries.size").alias("size")).agg(F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0))).first()[0]
+    parts = partitions_for(archives.sparkSession, size)
+    asked = archives.select("archive", "content").repartition(parts, "archive")
+    return places.repartition(parts, "archive").groupBy("archive").cogroup(asked.groupBy("archive")).applyInArrow(_ranges, RECORDS)
 
 
 def key_column(url: Column, id: Column) -> Column:

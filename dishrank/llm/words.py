@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text worked on at once; numpy needs about 60 times as much for a moment.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
