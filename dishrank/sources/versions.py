@@ -67,7 +67,7 @@ def read_version(spark: SparkSession, path: str, schema: StructType, key: str, v
 
     The manifest is one small row per key; joined to the folders' own columns it prunes
     the folders that are read, and a filter on ``key`` prunes them before that. A version
-    that was written as a whole is a filter on its folders.
+    that was written as a whole is read as its folder.
     """
     version = version or current_version(spark, path)
     if version is None:
