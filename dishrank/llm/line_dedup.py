@@ -1,11 +1,12 @@
 """Removal of lines that many documents have.
 
 Texts are split into lines, each line is normalised (white space stripped at both ends,
-A-Z lower-cased) and known by a 128-bit digest. Distinct documents are counted per digest
-in two steps, by digest and document and then by digest, so a line of a third of all
-documents is in no single task. Digests over the threshold, one row each with the document
-that keeps the line, go back to the places of the lines, and the texts are put together
-again from the places that are left.
+A-Z lower-cased) and known by 128 bits, two hashes of different seeds. The hashes and places
+of lines long enough are written, some 40 bytes a line, so texts are taken apart once.
+Distinct documents are counted per line in two steps, by line and document and then by
+line, so a line of a third of all documents is in no single task. Lines over the threshold,
+one row each with the document that keeps it, go back to the places of the lines, and the
+texts are put together again from the places that are left.
 
 Defined results: a null or empty text is one empty line; a line that a document holds
 several times counts once; rows of one id are one document; rows without an id count for
@@ -46,28 +47,33 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _digest(value: Column) -> Column:
-    return F.unhex(F.md5(value.cast("binary")))
+LINE, ROW = ["line1", "line2"], ["row1", "row2"]
 
 
-def _row_key(id: Column, text: Column) -> Column:
+def _bits(names: list[str], *values: Column) -> list[Column]:
+    """128 bits that stand for some values, as two columns."""
+    first, second = names
+    return [F.xxhash64(*values).alias(first), F.xxhash64(F.lit(second), *values).alias(second)]
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
     """Rows of one id and one text lose the same lines, so they may share a key."""
-    return _digest(F.concat(id.cast("string"), F.lit(":"), F.coalesce(text, F.lit(""))))
+    return docs.select("*", *_bits(ROW, F.col("id").cast("string"), F.coalesce("text", F.lit(""))))
 
 
-def long_lines(docs: DataFrame, least_length: int, *columns: str | Column) -> DataFrame:
-    """``columns``, ``place`` and ``digest`` of every line whose key has ``least_length`` code points."""
-    lines = docs.select(*columns, F.posexplode(lines_of(F.col("text"))).alias("place", "line"))
-    rest = [c for c in lines.columns if c != "line"]
-    keyed = lines.select(*rest, line_key(F.col("line")).alias("line"))
-    return keyed.where(F.length("line") >= least_length).select(*rest, _digest(F.col("line")).alias("digest"))
+def long_lines(docs: DataFrame, least_length: int) -> DataFrame:
+    """``(id, row1, row2, place, line1, line2)`` of every line whose key has ``least_length`` code points."""
+    lines = with_row_key(docs).select("id", *ROW, F.posexplode(lines_of(F.col("text"))).alias("place", "line"))
+    # Normalising never makes a line longer.
+    long = lines.where(F.length("line") >= least_length).withColumn("line", line_key(F.col("line")))
+    return long.where(F.length("line") >= least_length).select("id", *ROW, "place", *_bits(LINE, F.col("line")))
 
 
 def frequent_lines(held: DataFrame, least_documents: int) -> DataFrame:
-    """``(digest, keeper)`` of lines in enough documents, from ``held(digest, id)``."""
-    once = held.select("digest", "id").distinct()
-    counted = once.groupBy("digest").agg(F.count(F.lit(1)).alias("documents"), F.max("id").alias("keeper"))
-    return counted.where(F.col("documents") >= least_documents).select("digest", "keeper")
+    """``(line1, line2, keeper)`` of lines in enough documents, from rows of ``long_lines``."""
+    once = held.select(*LINE, "id").distinct()
+    counted = once.groupBy(*LINE).agg(F.count(F.lit(1)).alias("documents"), F.max("id").alias("keeper"))
+    return counted.where(F.col("documents") >= least_documents).select(*LINE, "keeper")
 
 
 def without_places(text: Column, dropped: Column) -> Column:
@@ -94,12 +100,12 @@ def drop_frequent(
     ready(df.sparkSession)
     docs = with_kept(df, keep, id=id, text=text)
     named = docs.where(F.col("id").isNotNull())
-    frequent = staged(frequent_lines(long_lines(named, least_length, "id"), least_documents), "frequent_lines")
-    key = _row_key(F.col("id"), F.col("text"))
-    places = long_lines(named, least_length, "id", key.alias("row"))
-    gone = places.join(frequent, "digest").where(F.col("id") != F.col("keeper"))
-    dropped = gone.groupBy("row").agg(F.collect_set("place").alias("dropped"))
-    rows = docs.withColumn("row", key).join(dropped, "row", "left")
+    lines = staged(long_lines(named, least_length), "lines")
+    frequent = staged(frequent_lines(lines, least_documents), "frequent_lines")
+    gone = lines.join(frequent, LINE).where(F.col("id") != F.col("keeper"))
+    dropped = gone.groupBy(*ROW, "id").agg(F.collect_set("place").alias("dropped"))
+    # A row without an id matches none.
+    rows = with_row_key(docs).join(dropped, [*ROW, "id"], "left")
     return rows.select(
         F.col("id").alias(id),
         F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
