@@ -8,7 +8,9 @@ galloping difference the size of what the next filter removes beyond them. Sizes
 blocks are added up, and every order reads its steps from the sums. Copies of a text are
 found over the whole table by a 128-bit digest.
 
-Ranges are bounded, so a part of a third of all documents is spread over many blocks.
+Ranges are bounded, so a part of a third of all documents is spread over many blocks. Texts
+that occur again are a written table whose size is looked at: a small one is broadcast, for
+a large one the join is salted.
 
 Defined results: a null text is empty; a null part is the empty string; each row is a
 document, so repeated rows count repeatedly; rows of one id do not copy each other and a
@@ -34,6 +36,11 @@ from .staging import ready, staged
 RANGE_BITS = 16
 _TASK_BITS = 33
 
+# Texts that occur again, of 24 bytes each: up to so many are broadcast, beyond that the
+# join is salted.
+BROADCAST_ROWS = 200_000
+SALTS = 16
+
 LEAST_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -153,9 +160,16 @@ def numbered(
 def with_copies(facts: DataFrame) -> DataFrame:
     """Facts with ``E``: whether a smaller id has the same text."""
     groups = facts.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    copied = groups.where("first < last").select("digest", "first")
+    copied = staged(groups.where("first < last").select("digest", "first"), "copied")
     later = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
-    return facts.join(copied, "digest", "left").withColumn(COPY, later).drop("digest", "first")
+    if copied.count() <= BROADCAST_ROWS:
+        joined = facts.join(F.broadcast(copied), "digest", "left")
+    else:
+        # Copies of one text, a third of all rows perhaps, meet its row in several tasks.
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        salted = facts.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(copied.withColumn("salt", salts), ["digest", "salt"], "left").drop("salt")
+    return joined.withColumn(COPY, later).drop("digest", "first")
 
 
 def with_labels(facts: DataFrame, labels: DataFrame, id: str) -> DataFrame:

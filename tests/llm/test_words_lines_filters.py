@@ -245,11 +245,12 @@ def audited(rows, labels):
 AUDIT = ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
 
 
-@pytest.mark.parametrize("bits", [2, 16])
-def test_audit_equals_counting_every_document(spark, docs_of, odd_texts, monkeypatch, bits):
+@pytest.mark.parametrize("bits, broadcast", [(2, 0), (16, 200_000)])
+def test_audit_equals_counting_every_document(spark, docs_of, odd_texts, monkeypatch, bits, broadcast):
     import random
 
     monkeypatch.setattr(filter_audit, "RANGE_BITS", bits)
+    monkeypatch.setattr(filter_audit, "BROADCAST_ROWS", broadcast)
     rng = random.Random(bits)
     words = [f"word{k}" for k in range(200)] + ["UPPER", "$5"]
     texts = [" ".join(rng.choices(words[:rng.choice([20, 200, 202])], k=rng.choice([10, 60, 80]))) for _ in range(40)]
