@@ -12,8 +12,14 @@ Base kinds (fixed rules, leftmost without overlap, a match that fails is dropped
 * ``phone``: plus sign and 9 to 15 digits with brackets, dots, spaces or hyphens
 
 The anchors also give ``url`` (scheme and host), ``iban`` (check sum modulo 97),
-``ssn`` and ``account`` (a number after its name). Places count code points, ends are
-exclusive. A null or empty text has no spans.
+``ssn`` and ``account`` (a number after its name), ``secret`` (what is assigned to a name
+like token or password, if it looks drawn at random) and ``key`` (keys known by their
+beginning, private key blocks). Places count code points, ends are exclusive.
+
+Defined results: a null or empty text has no spans; each row is worked on by itself, so
+repeated rows give repeated results and an empty table an empty one; other columns take no
+part. Texts are scanned whole, in time linear in their length but for the few characters
+that a local parser looks at twice; a worker holds one text and its spans at a time.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from math import log2
 
 import ahocorasick
 import pyarrow as pa
@@ -28,7 +35,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "url", "iban", "ssn", "account")
+KINDS = (*BASE_KINDS, "url", "iban", "ssn", "account", "secret", "key")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = frozenset("0123456789")
@@ -40,9 +47,32 @@ _URL = re.compile(r"[^\s<>\"'()\[\]{}]+")
 _IBAN = re.compile(r"[ :]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
 _SSN = re.compile(r"[ :#.]{0,4}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 _ACCOUNT = re.compile(r"[ :#.]{0,4}(?:no|number|nr)?[ :#.]{0,4}([0-9](?:[ -]?[0-9]){5,19})(?![0-9])")
+# What may stand between a name and its value: the rest of the name, a mark, a quote.
+_SECRET = re.compile(r"[A-Za-z0-9_-]{0,24}[\"']?[ \t]{0,4}(?:=>|:=|=|:|[Ii][Ss]\b)[ \t]{0,4}[\"'`]?([A-Za-z0-9+/_.=~!@#$%^&*-]{8,512})")
+_BEARER = re.compile(r"[ \t]{1,4}([A-Za-z0-9._~+/-]{16,512}=*)")
+_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----")
+_BLOCK_END = re.compile(r"-----END [A-Z ]{0,24}PRIVATE KEY-----")
+# How keys of well-known services look.
+_KEYS = {
+    "AKIA": re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Z])"),
+    "ghp_": re.compile(r"ghp_[A-Za-z0-9]{36}"),
+    "gho_": re.compile(r"gho_[A-Za-z0-9]{36}"),
+    "ghs_": re.compile(r"ghs_[A-Za-z0-9]{36}"),
+    "sk-": re.compile(r"sk-[A-Za-z0-9_-]{20,200}"),
+    "xoxb-": re.compile(r"xoxb-[A-Za-z0-9-]{20,200}"),
+    "xoxp-": re.compile(r"xoxp-[A-Za-z0-9-]{20,200}"),
+    "AIza": re.compile(r"AIza[A-Za-z0-9_-]{35}"),
+    "eyJ": re.compile(r"eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000}"),
+}
+# Bits a character of a value drawn at random, at least; characters of a value without a digit.
+LEAST_BITS = 2.9
+WORDLIKE = 20
 
 _SCHEMES = ("http://", "https://", "ftp://")
-_CUES = {"iban": ("iban",), "ssn": ("ssn",), "account": ("account", "acct", "konto", "cuenta", "compte")}
+_CUES = {
+    "iban": ("iban",), "ssn": ("ssn",), "account": ("account", "acct", "konto", "cuenta", "compte"),
+    "secret": ("token", "secret", "password", "passwd", "passphrase", "pwd", "key", "credential"), "bearer": ("bearer",),
+}
 
 
 def luhn(digits: str) -> bool:
@@ -73,6 +103,9 @@ def anchors() -> ahocorasick.Automaton:
         for cue in cues:
             for form in {cue, cue.upper(), cue.capitalize()}:
                 automaton.add_word(form, (kind, len(form)))
+    for start in _KEYS:
+        automaton.add_word(start, ("start", len(start)))
+    automaton.add_word("-----BEGIN ", ("block", 11))
     automaton.make_automaton()
     return automaton
 
@@ -134,6 +167,47 @@ def _cue_size(kind: str) -> Callable[[str], int]:
     return lambda text: next(len(c) for c in sorted(_CUES[kind], key=len, reverse=True) if text.lower().startswith(c))
 
 
+def random_looking(value: str) -> bool:
+    """Whether a value has letters and digits mixed, or is long, and says much a character."""
+    value = value.rstrip(".")
+    some_digit, some_letter = any(c in _DIGITS for c in value), any(c.isalpha() for c in value)
+    if len(value) < 8 or not some_letter or (not some_digit and len(value) < WORDLIKE):
+        return False
+    counts = [value.count(c) for c in set(value)]
+    bits = -sum(n / len(value) * log2(n / len(value)) for n in counts)
+    # A short value cannot say more than its length allows.
+    return bits >= min(LEAST_BITS, 0.8 * log2(len(value)))
+
+
+def _secret(text: str, at: int, free: int) -> tuple[int, int, bool] | None:
+    found = _SECRET.match(text, at + _cue_size("secret")(text[at:at + 12]))
+    if not found:
+        return None
+    start, end = found.span(1)
+    while end > start and text[end - 1] in ".,;:!?":
+        end -= 1
+    # A value that is none may hold the name of the next one.
+    return (start, end, True) if random_looking(text[start:end]) else None
+
+
+def _key(text: str, at: int, free: int) -> tuple[int, int, bool] | None:
+    inside = at and (text[at - 1].isalnum() or text[at - 1] == "_")
+    for start, pattern in _KEYS.items():
+        found = pattern.match(text, at) if text.startswith(start, at) and not inside else None
+        if found:
+            return *found.span(), random_looking(found.group())
+    return None
+
+
+def _block(text: str, at: int, free: int) -> tuple[int, int, bool] | None:
+    """A private key with its first and last line; one without an end goes to the end of the text."""
+    found = _BLOCK.match(text, at)
+    if not found:
+        return None
+    last = _BLOCK_END.search(text, found.end())
+    return at, last.end() if last else len(text), True
+
+
 _PARSERS = {
     "at": (("email", _email),),
     "digit": (("ip", _ip), ("card", _card)),
@@ -142,6 +216,10 @@ _PARSERS = {
     "iban": (("iban", _after(_IBAN, lambda x: mod97(x.replace(" ", "")), _cue_size("iban"))),),
     "ssn": (("ssn", _after(_SSN, lambda x: True, _cue_size("ssn"))),),
     "account": (("account", _after(_ACCOUNT, lambda x: True, _cue_size("account"))),),
+    "secret": (("secret", _secret),),
+    "bearer": (("secret", _after(_BEARER, random_looking, _cue_size("bearer"))),),
+    "start": (("key", _key),),
+    "block": (("key", _block),),
 }
 _ORDER = {kind: place for place, kind in enumerate(KINDS)}
 

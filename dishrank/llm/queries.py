@@ -109,7 +109,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS]
     return found.select(
-        "doc_id", *counts, F.sha2(pii.joined_spans(of(*pii.BASE_KINDS)), 256).alias("base_sha256"),
+        "doc_id", *counts, F.size("s").cast("long").alias("n_all"), F.sha2(pii.joined_spans(of(*pii.BASE_KINDS)), 256).alias("base_sha256"),
         pii.joined_spans(F.col("s")).alias("spans"),
     )
 
