@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.composed_sentiment import score_composed
 from ..operators.mentions import find_mentions
 from ..operators.published import businesses_view, dishes_view, join_business
 from ..operators.scoring import dish_scores, union_all
@@ -22,12 +23,19 @@ def scored_mentions(
     policy: str = "last",
     max_ngram: int = 1,
     stage: Stage = fresh,
+    modifiers: DataFrame | None = None,
 ) -> DataFrame:
-    """``(business_id, dish, score, promo_text, promo_date)`` of texts with ``business_id, text, date``."""
+    """``(business_id, dish, score, promo_text, promo_date)`` of texts with ``business_id, text, date``.
+
+    With ``modifiers(word, kind, factor)`` negation and intensity change what a word says.
+    """
     found = find_mentions(texts, dictionary, lemma_table, policy, max_ngram, stage)
     # Scoring reads the mentions twice, so they are written once.
     found = stage(found, "mentions")
-    scored = score_sentences(found, "promo_text", lexicon)
+    if modifiers is None:
+        scored = score_sentences(found, "promo_text", lexicon)
+    else:
+        scored = score_composed(found, "promo_text", lexicon, modifiers)
     return scored.select(
         "business_id", "dish", "score", "promo_text", F.try_to_date(F.col("date")).alias("promo_date")
     )
@@ -43,10 +51,11 @@ def dish_ratings(
     policy: str = "last",
     max_ngram: int = 1,
     stage: Stage = fresh,
+    modifiers: DataFrame | None = None,
 ) -> DataFrame:
     """Dish scores of reviews and tips, joined to their businesses."""
     texts = union_all(reviews, tips)
-    mentions = scored_mentions(texts, dictionary, lemma_table, lexicon, policy, max_ngram, stage)
+    mentions = scored_mentions(texts, dictionary, lemma_table, lexicon, policy, max_ngram, stage, modifiers)
     return join_business(dish_scores(mentions), business)
 
 

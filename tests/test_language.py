@@ -53,6 +53,21 @@ def test_negation_and_intensity(spark, rows, tables):
     assert ours["The food was not good."] < ours["The food was good."] and plain["The food was not good."] == plain["The food was good."]
 
 
+def test_the_batch_job_takes_modifiers(spark, rows, tables):
+    from dishrank.plans.build import scored_mentions
+
+    texts = spark.createDataFrame(
+        [("b1", "The taco was not good.", "2024-01-01"), ("b2", "A very good taco!", "2024-01-02")], "business_id string, text string, date string"
+    )
+    dictionary = spark.createDataFrame([("c", "taco")], "category string, item string")
+    lemmas = spark.createDataFrame([], "form string, lemma string")
+
+    def scores(**more):
+        return rows(scored_mentions(texts, dictionary, lemmas, tables[0], **more).select("business_id", "score"))
+
+    assert scores() == [("b1", 4), ("b2", 4)] and scores(modifiers=tables[1]) == [("b1", 2), ("b2", 5)]
+
+
 def test_composition_equals_a_search_word_by_word(spark, rows, tables):
     rng = random.Random(9)
     words = [w for w, _ in LEXICON] + [w for w, _, _ in MODIFIERS] + ["food", "place", "x"]
