@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import plain, ready, staged
-from .vectors import QUERY_BLOCK, SHARD_VECTORS, best_of, blocks, matrix, meet, nonzero, usable
+from .vectors import QUERY_BLOCK, SHARD_VECTORS, best_of, blocks, matrix, meet, nonzero, placed, usable
 
 DEGREE = 28
 ALPHA = 1.2
@@ -251,7 +251,7 @@ def search(queries: DataFrame, index: DataFrame, members: DataFrame, k: int, bea
 def nearest(df: DataFrame, k: int, every: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Rows whose id is a multiple of ``every`` as queries against all rows."""
     ready(df.sparkSession)
-    rows = plain(df, id=id, vector=vector)
+    rows = placed(plain(df, id=id, vector=vector))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector")) & nonzero(F.col("vector")))
-    rows = rows.select(F.col("id").cast("long").alias("id"), "vector")
+    rows = rows.select(F.col("id").cast("long").alias("id"), "vector", "place")
     return search(rows.where(F.pmod("id", F.lit(every)) == 0), build_index(rows), members_of(rows), k)

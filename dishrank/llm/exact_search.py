@@ -1,7 +1,7 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-The data are dealt into shards; each shard builds a cover tree, and every block of
-queries, which has a tree of its own, meets every shard. A pair of nodes is dropped
+The data are dealt into shards, each with a cover tree that is written beside it; every
+block of queries, which has a tree of its own, meets every shard. A pair of nodes is dropped
 when the best score it could give, from the centres and their covering radii, is below
 the worst k-th score of the queries in the query node; pairs of leaves are scored by one
 matrix product. The shards' winners are ranked together.
@@ -16,6 +16,7 @@ id; repeated rows are candidates each, but no row of a query's own id is one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import plain, ready, staged
-from .vectors import QUERY_BLOCK, SHARD_VECTORS, best_of, blocks, matrix, meet, usable
+from .vectors import BLOCKS, QUERY_BLOCK, SHARD_VECTORS, best_of, blocks, matrix, meet, placed, usable
 
 LEAF = 256
 QUERY_LEAF = 32
@@ -72,6 +73,53 @@ def cover_tree(points: np.ndarray, leaf: int = LEAF, fan: int = FAN) -> Node:
     return build(np.arange(len(points)), 0)
 
 
+def packed_tree(root: Node, points: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """A tree as bytes: its points in the order of its leaves, and two tables of its nodes.
+
+    The nodes come before their children: first member, members, centre, children; radius.
+    """
+    order: list[np.ndarray] = []
+    spans: list[list[int]] = []
+    radii: list[float] = []
+    done = 0
+
+    def visit(node: Node) -> None:
+        nonlocal done
+        begin = done
+        centre = int(node.members[int(np.flatnonzero((points[node.members] == node.centre).all(axis=1))[0])])
+        spans.append([begin, len(node.members), centre, len(node.children)])
+        radii.append(node.radius)
+        if node.children:
+            for child in node.children:
+                visit(child)
+        else:
+            order.append(node.members)
+            done += len(node.members)
+
+    visit(root)
+    return (
+        np.concatenate(order).astype(np.int32).tobytes(), np.array(spans, dtype=np.int32).tobytes(),
+        np.array(radii, dtype=np.float64).tobytes(),
+    )
+
+
+def unpacked_tree(order: bytes, spans: bytes, radii: bytes, points: np.ndarray) -> Node:
+    """The tree of ``packed_tree``, without a distance being computed."""
+    members = np.frombuffer(order, dtype=np.int32).astype(np.int64)
+    table, covers = np.frombuffer(spans, dtype=np.int32).reshape(-1, 4).tolist(), np.frombuffer(radii, dtype=np.float64).tolist()
+    at = 0
+
+    def read() -> Node:
+        nonlocal at
+        (begin, count, centre, children), radius = table[at], covers[at]
+        at += 1
+        node = Node(members[begin:begin + count], points[centre], radius, [])
+        node.children = [read() for _ in range(children)]
+        return node
+
+    return read()
+
+
 class DualSearch:
     """Top-k of all queries of one tree among all points of another."""
 
@@ -126,9 +174,9 @@ class DualSearch:
 def _search(k: int):
     def run(keys: tuple, queries: pa.Table, data: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        for ids, vectors in zip(data.column("ids").to_pylist(), data.column("vectors").to_pylist()):
-            names, points = matrix(ids, vectors)
-            tree = cover_tree(points)
+        for shard in data.to_pylist():
+            names, points = matrix(shard["ids"], shard["vectors"])
+            tree = unpacked_tree(shard["order"], shard["spans"], shard["radii"], points)
             for number, query_ids, query_vectors in zip(
                 queries.column("block").to_pylist(), queries.column("ids").to_pylist(), queries.column("vectors").to_pylist()
             ):
@@ -148,9 +196,26 @@ def _search(k: int):
     return run
 
 
+def build_index(rows: DataFrame, shard: int = SHARD_VECTORS) -> DataFrame:
+    """Written shards of rows ``(id, vector)``, each with its cover tree."""
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                _, points = matrix(row.column("ids")[0].as_py(), row.column("vectors")[0].as_py())
+                for name, part in zip(("order", "spans", "radii"), packed_tree(cover_tree(points), points)):
+                    row = row.append_column(name, pa.array([part], pa.binary()))
+                yield row
+
+    shards = blocks(rows, shard)
+    spread = shards.repartition(max(1, int(shards.sparkSession.sparkContext.defaultParallelism)), "block", "dim")
+    return staged(spread.mapInArrow(trees, f"{BLOCKS}, order binary, spans binary, radii binary"), "shards")
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, shard: int = SHARD_VECTORS) -> DataFrame:
     """``query_id, rank, vec_id, score`` from rows ``(id, vector)`` of whole numbers."""
-    data = staged(blocks(candidates, shard), "shards")
+    data = build_index(candidates, shard)
     asked = staged(blocks(queries, QUERY_BLOCK), "queries")
     return best_of(staged(meet(asked, data, _search(k), FOUND), "found"), k)
 
@@ -164,7 +229,7 @@ def exact_top_k(
 ) -> DataFrame:
     """Rows whose id is a multiple of ``every`` as queries against all rows."""
     ready(df.sparkSession)
-    rows = plain(df, id=id, vector=vector).where(F.col("id").isNotNull() & usable(F.col("vector")))
-    rows = rows.select(F.col("id").cast("long").alias("id"), scaled(F.col("vector"), scale).alias("vector"))
+    rows = placed(plain(df, id=id, vector=vector)).where(F.col("id").isNotNull() & usable(F.col("vector")))
+    rows = rows.select(F.col("id").cast("long").alias("id"), scaled(F.col("vector"), scale).alias("vector"), "place")
     found = top_k(rows.where(F.pmod("id", F.lit(every)) == 0), rows, k)
     return found.withColumn("score", F.col("score").cast("long"))

@@ -24,6 +24,11 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & ~bad, F.lit(False))
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows as read from a table, with ``place``, where they lie: the same when a task runs again."""
+    return rows.withColumn("place", F.monotonically_increasing_id())
+
+
 def nonzero(vector: Column) -> Column:
     return F.exists(vector.cast("array<double>"), lambda x: x != 0)
 
@@ -37,12 +42,14 @@ def matrix(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
 def blocks(rows: DataFrame, size: int) -> DataFrame:
     """Rows ``(id, vector)`` gathered into ``BLOCKS`` of about ``size`` vectors of one dimension.
 
-    Vectors are dealt by a hash of their id, so no block grows with a frequent value.
+    Vectors are dealt by a hash of their id and, where the rows have one, of their column
+    ``place``, so no block grows with a frequent id or vector.
     """
     count = max(1, -(-rows.count() // size))
+    key = ["id", "place"] if "place" in rows.columns else ["id"]
     dealt = rows.select(
         "id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim"),
-        F.pmod(F.xxhash64("id"), F.lit(count)).alias("block"),
+        F.pmod(F.xxhash64(*key), F.lit(count)).alias("block"),
     )
 
     def gather(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
