@@ -79,6 +79,32 @@ def test_dual_search_prunes_far_clusters():
     assert np.allclose(search.scores, best) and search.pairs < 0.5 * len(queries) * len(points)
 
 
+def test_written_trees_are_the_trees(vectors_of):
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(size=(700, 4)), np.ones((50, 4)), rng.normal(size=(300, 4)) + 40])
+    tree = exact_search.cover_tree(points, leaf=16)
+    again = exact_search.unpacked_tree(*exact_search.packed_tree(tree, points), points)
+
+    def same(a, b):
+        assert sorted(a.members) == sorted(b.members) and a.radius == b.radius and (a.centre == b.centre).all()
+        assert len(a.children) == len(b.children)
+        for x, y in zip(a.children, b.children):
+            same(x, y)
+
+    same(tree, again)
+    assert len(tree.children) > 1
+
+
+def test_rows_of_one_id_are_dealt_to_many_blocks(vectors_of):
+    rng = np.random.default_rng(6)
+    rows = [(100, [1.0, 2.0])] * 300 + [(i, rng.normal(size=2).tolist()) for i in range(300)]
+    frame = vectors_of(rows).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    sizes = [len(r.ids) // 8 for r in exact_search.blocks(exact_search.placed(frame), 50).collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 110
+    got = exact_search.exact_top_k(vectors_of(rows), k=5, every=100)
+    assert sorted(map(tuple, got.collect())) == [(q, n, i, int(s)) for q, n, i, s in expected_top(usable(rows), 5, 100, 1024)]
+
+
 def test_neighbours_are_found(spark):
     data = spark.read.parquet(f"{DATA}/embeddings.parquet")
     got = ann.nearest(data, k=20, every=20).collect()
