@@ -24,7 +24,7 @@ BATCH_ROWS = 1_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-# Large arrays of a worker go back to the system when they are dropped.
+# Sizes from which memory goes back to the system.
 _MALLOC = {"MALLOC_MMAP_THRESHOLD_": str(2 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 # Paths of written work tables: by frame, and by application those that ``release`` deletes.
@@ -41,8 +41,6 @@ def ready(spark: SparkSession) -> SparkSession:
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, str(BATCH_ROWS))
     environment = spark.sparkContext.environment
-    for name, value in _MALLOC.items():
-        environment.setdefault(name, value)
     known = environment.get("PYTHONPATH", "")
     if PACKAGE_ROOT not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(p for p in (PACKAGE_ROOT, known) if p)
@@ -66,6 +64,18 @@ def setting(spark: SparkSession, **values: str) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
+def return_memory(spark: SparkSession) -> None:
+    """Let workers started from here give large arrays back to the system as they are dropped.
+
+    For jobs of several steps, whose workers live on: what one step needed is not held during
+    the next. It costs time where large arrays come and go quickly, so single operators do
+    without.
+    """
+    environment = spark.sparkContext.environment
+    for name, value in _MALLOC.items():
+        environment.setdefault(name, value)
+
+
 def staged(df: DataFrame, name: str, partitions: int | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it back.
 
