@@ -25,7 +25,7 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 # Sizes from which memory goes back to the system.
-_MALLOC = {"MALLOC_MMAP_THRESHOLD_": str(2 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+_MALLOC = {"MALLOC_MMAP_THRESHOLD_": str(512 << 10), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 # Paths of written work tables: by frame, and by application those that ``release`` deletes.
 _PATHS: WeakKeyDictionary = WeakKeyDictionary()
