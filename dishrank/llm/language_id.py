@@ -29,10 +29,10 @@ from .staging import plain, ready
 UNKNOWN = "und"
 # Length of a profile and of a document's list.
 RANKS = 300
-# Bound on the labelled rows that profiles are made of.
-FIT_ROWS = 20_000
 # Documents whose n-grams are counted together.
 COUNTED = 200
+# So many different n-grams of a task are handed on together.
+HANDED_ON = 1 << 18
 # Every fifth document, by the check sum of its id, is never learned from.
 FOLDS = 5
 
@@ -99,38 +99,44 @@ class Profiles:
         return self.judged(text)[:2]
 
 
-def fit_sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` of the rows at most, chosen by a hash of their ids."""
-    total = labelled.count()
-    if total <= rows:
-        return labelled
-    share = int(rows / total * (1 << 32))
-    return labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 32)) < share)
+def fit_rows(labelled: DataFrame) -> DataFrame:
+    """The rows ``(id, text, lang)`` that profiles are made of: all that have both."""
+    return labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
 
-def fit_rows(labelled: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """The rows ``(id, text, lang)`` that profiles are made of."""
-    return fit_sample(labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), rows)
+def _added(some: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two lists of n-grams and their counts as one."""
+    grams, at = np.unique(np.concatenate([some[0], more[0]]), return_inverse=True)
+    counts = np.zeros(len(grams), np.int64)
+    np.add.at(counts, at, np.concatenate([some[1], more[1]]))
+    return grams, counts
 
 
-def fit(labelled: DataFrame, ranks: int = RANKS, rows: int = FIT_ROWS) -> Profiles:
-    """Profiles from rows ``(id, text, lang)``; at most ``ranks`` n-grams a language reach the driver."""
+def fit(labelled: DataFrame, ranks: int = RANKS) -> Profiles:
+    """Profiles from all rows ``(id, text, lang)``; at most ``ranks`` n-grams a language reach the driver."""
     ready(labelled.sparkSession)
-    chosen = fit_rows(labelled, rows)
+
+    def rows_of(found: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, (grams, counts) in found.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(grams)), pa.array(grams), pa.array(counts)], names=["lang", "gram", "n"]
+            )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in (b.slice(at, COUNTED) for b in batches for at in range(0, b.num_rows, COUNTED)):
             by_lang: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 by_lang.setdefault(lang, []).append(ngrams(text))
             for lang, parts in by_lang.items():
-                grams, counts = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(grams)), pa.array(grams), pa.array(counts.astype(np.int64))],
-                    names=["lang", "gram", "n"],
-                )
-
-    counted = chosen.select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
+                counted = np.unique(np.concatenate(parts), return_counts=True)
+                found[lang] = _added(found[lang], counted) if lang in found else counted
+            if sum(len(grams) for grams, _ in found.values()) >= HANDED_ON:
+                yield from rows_of(found)
+                found = {}
+        yield from rows_of(found)
+
+    counted = fit_rows(labelled).select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
     sums = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = sums.withColumn("place", F.row_number().over(order)).where(F.col("place") <= ranks)
@@ -179,9 +185,9 @@ def keep_known(
     return docs.mapInArrow(keep, docs.schema)
 
 
-def lowest_score(labelled: DataFrame, profiles: Profiles, least: int, rows: int = FIT_ROWS) -> float | None:
+def lowest_score(labelled: DataFrame, profiles: Profiles, least: int) -> float | None:
     """Lowest score of the rows profiles were fitted on, of those with ``least`` ranked n-grams."""
-    found = fit_rows(labelled, rows).select(predict_column(F.col("text"), profiles).alias("found"))
+    found = fit_rows(labelled).select(predict_column(F.col("text"), profiles).alias("found"))
     return found.where(F.col("found.n") >= least).agg(F.min("found.score")).first()[0]
 
 

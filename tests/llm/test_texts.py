@@ -296,6 +296,26 @@ def test_languages_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_languages_are_learned_from_all_labelled_rows(spark):
+    few = F.when(F.col("id") % 4_000 == 7, F.concat(F.lit("x"), (F.col("id") / 4_000).cast("int").cast("string")))
+    labelled = spark.range(60_000).select(
+        "id", F.when(few.isNull(), "some words").otherwise("zq zq").alias("text"), F.coalesce(few, F.lit("en")).alias("lang")
+    )
+    profiles = language_id.fit(labelled)
+    assert profiles.names == sorted(["en", *[f"x{i}" for i in range(15)]])
+    one = labelled.select("id", F.when(F.col("id") == 41_234, "zq zq 漢字 some").otherwise(F.col("text")).alias("text"), "lang")
+    assert language_id.lowest_score(one, profiles, 1) == profiles.predict("zq zq 漢字 some")[1] < 1
+
+
+def test_counts_handed_on_in_parts_give_the_same_profiles(spark, monkeypatch):
+    labelled = spark.read.parquet(f"{DATA}/documents.parquet").select(F.col("doc_id").alias("id"), "text", "lang").coalesce(1)
+    whole = language_id.fit(labelled)
+    monkeypatch.setattr(language_id, "COUNTED", 3)
+    monkeypatch.setattr(language_id, "HANDED_ON", 5_000)
+    parts = language_id.fit(labelled)
+    assert whole.names == parts.names and (whole.places == parts.places).all() and (whole.grams == parts.grams).all()
+
+
 def test_languages_of_odd_rows(docs_of, odd_texts):
     texts = [*odd_texts, (50, "123 456"), (51, "the and of the")]
     rows = language_id.identify(docs_of(texts, lang="en")).collect()
