@@ -192,9 +192,9 @@ class Tables:
 
     def word_lexicon(self) -> DataFrame:
         """A polarity from -2 to 2 for every word, and one more for long words."""
-        words = self._words()
-        every = words.select("word", (F.length("word") % 5 - 2).alias("polarity"))
-        return every.union(words.where(F.length("word") >= 9).select("word", F.lit(1)))
+        every, more = F.length("word") % 5 - 2, F.when(F.length("word") >= 9, F.lit(1))
+        both = F.filter(F.array(every, more), lambda p: p.isNotNull())
+        return self._words().select("word", F.explode(both).alias("polarity"))
 
     def text_dictionary(self) -> DataFrame:
         return self.inline(TEXT_DICTIONARY, ["category", "item"])

@@ -1,16 +1,21 @@
 """Sentence sentiment 1..5 from a word lexicon with polarities.
 
-One way for a lexicon of any size: the distinct words of each sentence are joined to
-the lexicon, summed up per sentence and joined back. Sentences are known by a digest
-while that happens, so their text is no key and rows may repeat.
+One way for a lexicon of any size: the words of the sentences are looked up slice by
+slice (``lookup``) and summed up per sentence. No text is a key, so rows may repeat.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import bound, sentences_of, text_key, words_of
+from ..functions.text import bound, sentences_of, words_of
+from ..sources.stages import Stage, fresh
+from .lookup import looked_up
 
 # Classes 0..4 around the neutral class 2; the score is class + 1.
 NEUTRAL_CLASS = 2
@@ -41,19 +46,16 @@ def word_counts(words: Column) -> Column:
     return bound(F.sort_array(words), runs)
 
 
-def score_sentences(rows: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
+def score_sentences(rows: DataFrame, text: str, lexicon: DataFrame, stage: Stage = fresh) -> DataFrame:
     """Add ``score`` for the sentence in ``text``; a null one is neutral."""
-    keyed = rows.withColumn("sentence_key", text_key(F.col(text)))
-    each = keyed.select("sentence_key", F.explode(word_counts(words_of(F.col(text)))).alias("w"))
-    each = each.select("sentence_key", "w.word", "w.times")
-    # Rows of one sentence give the same entries, so a set of them counts once.
-    hits = each.join(word_polarities(lexicon), "word").groupBy("sentence_key").agg(
-        F.collect_set(F.struct("word", "times", "polarity")).alias("hits")
-    )
-    total = F.aggregate("hits", F.lit(0.0), lambda sum, h: sum + h["times"] * h["polarity"])
-    totals = hits.select("sentence_key", total.alias("total"))
-    scored = keyed.join(totals, "sentence_key", "left")
-    return scored.withColumn("score", score_of(F.coalesce("total", F.lit(0.0)))).drop("total", "sentence_key")
+
+    def sums(lists: pa.ListArray, found: pa.Array) -> pa.Array:
+        rows = pc.list_parent_indices(lists).to_numpy()
+        return pa.array(np.bincount(rows, pc.fill_null(found, 0.0).to_numpy(), len(lists)).astype(float))
+
+    listed = word_polarities(lexicon).withColumnRenamed("polarity", "value")
+    totals = looked_up(rows, text, words_of(F.col(text)), listed, "word_total", T.DoubleType(), sums, stage)
+    return totals.withColumn("score", score_of(F.col("word_total"))).drop("word_total")
 
 
 def longest_sentences(reviews: DataFrame) -> DataFrame:
