@@ -2,18 +2,24 @@
 
 Besides polar words there are modifiers: a negator turns round the polar words behind it,
 an intensifier multiplies them. Both reach a few words far, and a clause mark ends what a
-negator reaches. The words of a sentence that are polar or modify are brought together in
-their order, and a fold over them carries what is still in reach: the places of the last
-negators and the last factor. The lexicon and the modifiers are tables of any size, joined
-to the words; Spark broadcasts them while they are small.
+negator reaches. The lexicon and the modifiers are tables of any size, looked up slice by
+slice (``lookup``); each word of a sentence then looks back over the few words in reach.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import text_key, words_of
+from ..functions.text import words_of
+from ..sources.stages import Stage, fresh
+from .lookup import looked_up
 from .sentiment import score_of, word_polarities
 
 # Words between a modifier and the last word that it reaches, itself counted.
@@ -32,55 +38,46 @@ def modifier_rows(modifiers: DataFrame) -> DataFrame:
     return best.select("word", F.col("m.kind").alias("kind"), (-F.col("m.less")).alias("factor"))
 
 
-def composed_total(hits: Column) -> Column:
-    """Sum of the polarities in ``hits``, an array of ``(place, kind, factor, polarity)`` in order.
+def composing() -> Callable[[pa.ListArray, pa.Array], pa.Array]:
+    """What sums up the polarities of each sentence's words, with what modifies them.
 
-    The state is the sum, how many negators are in reach and where the last ones were, and the
-    last intensifier. Two negators in reach cancel each other.
+    It gets ``(kind, factor, polarity)`` or null for the words of all sentences, one after
+    another. A word looks back over the words in reach: an odd number of negators without a
+    clause mark behind them turns it round, the nearest intensifier multiplies it. Being a
+    function inside, it reaches executors without this package.
     """
-    state = F.struct(
-        F.lit(0.0).alias("total"),
-        F.array().cast("array<int>").alias("negators"),
-        F.lit(-1 - INTENSITY_REACH).alias("place"),
-        F.lit(1.0).alias("factor"),
-    )
-
-    def step(s: Column, h: Column) -> Column:
-        place = h["place"]
-        # At most as many places as a negator reaches, so the state stays small.
-        reaching = F.filter(s["negators"], lambda n: n >= place - NEGATION_REACH)
-        sign = F.when(F.size(reaching) % 2 == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
-        factor = F.when(s["place"] >= place - INTENSITY_REACH, s["factor"]).otherwise(F.lit(1.0))
-        negators = (
-            F.when(h["kind"] == CLAUSE, F.array().cast("array<int>"))
-            .when(h["kind"] == NEGATE, F.concat(reaching, F.array(place))).otherwise(reaching)
-        )
-        intense = F.coalesce(h["kind"] == INTENSIFY, F.lit(False))
-        return F.struct(
-            (s["total"] + F.coalesce(h["polarity"], F.lit(0.0)) * sign * factor).alias("total"),
-            F.coalesce(negators, reaching).alias("negators"),
-            F.when(intense, place).otherwise(s["place"]).alias("place"),
-            F.when(intense, h["factor"]).otherwise(s["factor"]).alias("factor"),
-        )
 
-    return F.aggregate(hits, state, step, lambda s: s["total"])
-
-
-def score_composed(rows: DataFrame, text: str, lexicon: DataFrame, modifiers: DataFrame) -> DataFrame:
+    def totals(lists: pa.ListArray, found: pa.Array) -> pa.Array:
+        rows = pc.list_parent_indices(lists).to_numpy()
+        kind, factor, polarity = (pc.struct_field(found, name) for name in ("kind", "factor", "polarity"))
+        negate, intensify, clause = (
+            pc.fill_null(pc.equal(kind, name), False).to_numpy(zero_copy_only=False) for name in (NEGATE, INTENSIFY, CLAUSE)
+        )
+        factor = pc.fill_null(factor, 1.0).to_numpy(zero_copy_only=False)
+        sign, times = np.ones(len(rows)), np.ones(len(rows))
+        open_, near = np.ones(len(rows), bool), np.ones(len(rows), bool)
+        for back in range(1, max(NEGATION_REACH, INTENSITY_REACH) + 1):
+            same = rows[back:] == rows[:-back]
+            if back <= NEGATION_REACH:
+                open_[back:] &= same & ~clause[:-back]
+                sign[back:][open_[back:] & negate[:-back]] *= -1
+            if back <= INTENSITY_REACH:
+                takes = same & near[back:] & intensify[:-back]
+                times[back:][takes] = factor[:-back][takes]
+                near[back:] &= ~takes
+        value = pc.fill_null(polarity, 0.0).to_numpy(zero_copy_only=False) * sign * times
+        return pa.array(np.bincount(rows, value, len(lists)).astype(float))
+
+    return totals
+
+
+def score_composed(rows: DataFrame, text: str, lexicon: DataFrame, modifiers: DataFrame, stage: Stage = fresh) -> DataFrame:
     """Add ``score`` for the sentence in ``text``; a null one is neutral.
 
-    A word that is both polar and a modifier is both. Sentences are known by a digest while
-    their words are looked up, so equal ones are worked on alike and a text is no key.
+    A word that is both polar and a modifier is both.
     """
-    keyed = rows.withColumn("sentence_key", text_key(F.col(text)))
-    once = keyed.select("sentence_key", F.col(text).alias("sentence")).where(F.col("sentence").isNotNull())
-    words = once.select("sentence_key", F.posexplode(words_of(F.col("sentence"))).alias("place", "word"))
     # A word listed in one table only has nulls from the other.
     listed = word_polarities(lexicon).join(modifier_rows(modifiers), "word", "full_outer")
-    # Rows of one sentence give the same entries, so a set of them counts once.
-    hits = words.join(listed, "word").groupBy("sentence_key").agg(
-        F.sort_array(F.collect_set(F.struct("place", "kind", "factor", "polarity"))).alias("hits")
-    )
-    totals = hits.select("sentence_key", composed_total(F.col("hits")).alias("total"))
-    scored = keyed.join(totals, "sentence_key", "left")
-    return scored.withColumn("score", score_of(F.round(F.coalesce("total", F.lit(0.0))))).drop("total", "sentence_key")
+    listed = listed.select("word", F.struct("kind", "factor", "polarity").alias("value"))
+    totals = looked_up(rows, text, words_of(F.col(text)), listed, "word_total", T.DoubleType(), composing(), stage)
+    return totals.withColumn("score", score_of(F.round("word_total"))).drop("word_total")
