@@ -416,7 +416,9 @@ def mentions_scored(t: Tables) -> DataFrame:
 @query
 def mentions_large_dictionary(t: Tables) -> DataFrame:
     """Every item of every review, with all longer words of the documents as dictionary."""
-    found = men.find_mentions(t.reviews(), t.word_dictionary(), t.lemma_table(), "all")
+    # Read several times, so it is written once.
+    dictionary = sinks.stage_roundtrip(t.word_dictionary(), work_path(t.spark, "words"))
+    found = men.find_mentions(t.reviews(), dictionary, t.lemma_table(), "all")
     return found.select("review_id", "sentence_pos", "dish")
 
 

@@ -8,16 +8,23 @@ words around. The places of those that match go back to the text. Texts are know
 happens: reviews need no key, and equal texts are no trouble.
 
 The pattern table is written first, so its size is known: Spark broadcasts it while it
-is small, and the words of the texts only shuffle when it is large.
+is small. With a large one the texts are dealt to slices and looked up there (``lookup``):
+what shuffles is the texts and the different words of each slice.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import bound, clip_sentence, plurals, sentences_of, singular, text_key, words_of
 from ..sources.stages import Stage, fresh
+from .lookup import is_small, looked_up
 
 # Words of a sentence that are taken apart together; longer sentences make several blocks.
 BLOCK_WORDS = 64
@@ -134,18 +141,32 @@ def _blocks(words: Column, reach: int) -> Column:
     return bound(words, cut)
 
 
-def neighbours(sentences: DataFrame, reach: int) -> DataFrame:
+def neighbours(sentences: DataFrame, reach: int, begins: str | None = None) -> DataFrame:
     """``(text_key, sentence_pos, token_pos, word, around, left)``, one row per word of ``sentences``.
 
     ``around`` is the word with up to ``reach`` words to each side, the word itself at ``left``.
+    With ``begins``, an array of places, only the words there.
     """
-    blocks = sentences.select("text_key", "sentence_pos", F.explode(_blocks(words_of(F.col("sentence")), reach)).alias("b"))
-    each = blocks.select("text_key", "sentence_pos", "b.*").select("*", F.posexplode("words").alias("at", "word"))
+    kept = ["text_key", "sentence_pos"]
+    if begins:
+        def taken(words: Column) -> Column:
+            def one(at: Column) -> Column:
+                first = F.greatest(at - reach, F.lit(0))
+                return F.struct(
+                    at.alias("token_pos"), F.get(words, at).alias("word"),
+                    F.slice(words, first + 1, at - first + 1 + reach).alias("around"), (at - first).alias("left"),
+                )
+
+            return F.transform(begins, one)
+
+        return sentences.select(*kept, F.explode(bound(words_of(F.col("sentence")), taken)).alias("n")).select(*kept, "n.*")
+    blocks = sentences.select(*kept, F.explode(_blocks(words_of(F.col("sentence")), reach)).alias("b"))
+    each = blocks.select(*kept, "b.*").select("*", F.posexplode("words").alias("at", "word"))
     own = F.col("begin") + F.col("at")
     each = each.where((own >= F.col("core")) & (own < F.col("core") + BLOCK_WORDS))
     first = F.greatest(F.col("at") - reach, F.lit(0))
     return each.select(
-        "text_key", "sentence_pos", own.alias("token_pos"), "word",
+        *kept, own.alias("token_pos"), "word",
         F.slice("words", first + 1, F.col("at") - first + 1 + reach).alias("around"), (F.col("at") - first).alias("left"),
     )
 
@@ -154,22 +175,68 @@ def _sentences(keyed: DataFrame) -> DataFrame:
     return keyed.select("text_key", F.posexplode(sentences_of(F.col("text"))).alias("sentence_pos", "sentence"))
 
 
-def word_hits(keyed: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``(text_key, sentence_pos, token_pos, width, dish)`` of items of one word in the texts."""
+def _passing() -> Callable[[pa.ListArray, pa.Array], pa.Array]:
+    """What gives the values of each row's words as they are."""
+
+    def values(lists: pa.ListArray, found: pa.Array) -> pa.Array:
+        # Offsets from zero, whatever part of a longer array this is.
+        return pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), found)
+
+    return values
+
+
+def word_hits(keyed: DataFrame, patterns: DataFrame, policy: str = "", stage: Stage = fresh) -> DataFrame:
+    """``(text_key, sentence_pos, token_pos, width, dish)`` of items of one word in the texts.
+
+    Of a sentence's hits only what ``policy`` may take: each item once, or the last one. With
+    patterns too many to broadcast the texts are looked up slice by slice.
+    """
     words = words_of(F.col("sentence"))
-    tokens = _sentences(keyed).select("text_key", "sentence_pos", F.posexplode(words).alias("token_pos", "word"))
-    met = tokens.join(patterns, F.col("word") == F.col("pattern"))
-    return met.select("text_key", "sentence_pos", "token_pos", F.lit(1).alias("width"), "dish")
+    kept = ["text_key", "sentence_pos"]
+    if is_small(patterns):
+        tokens = _sentences(keyed).select(*kept, F.posexplode(words).alias("token_pos", "word"))
+        met = tokens.join(patterns, F.col("word") == F.col("pattern"))
+        return met.select(*kept, "token_pos", F.lit(1).alias("width"), "dish")
+    table = patterns.select(F.col("pattern").alias("word"), F.col("dish").alias("value"))
+    found = looked_up(_sentences(keyed), "sentence", words, table, "dishes", T.ArrayType(T.StringType()), _passing(), stage)
+    if policy == "all":
+        once = F.array_distinct(F.filter("dishes", lambda d: d.isNotNull()))
+        return found.select(*kept, F.lit(0).alias("token_pos"), F.lit(1).alias("width"), F.explode(once).alias("dish"))
+    places = F.transform("dishes", lambda d, at: F.when(d.isNotNull(), F.struct(at.alias("token_pos"), F.lit(1).alias("width"), d.alias("dish"))))
+    hits = F.filter(places, lambda h: h.isNotNull())
+    if policy:
+        hits = F.slice(hits, F.greatest(F.size(hits), F.lit(1)), F.lit(1))
+    return found.select(*kept, F.explode(hits).alias("h")).select(*kept, "h.*")
+
 
+def anchored_words(sentences: DataFrame, anchors: DataFrame, stage: Stage = fresh) -> DataFrame:
+    """``sentences`` with ``begins``: the places where a pair of neighbours may be an anchor.
 
-def sequence_hits(keyed: DataFrame, anchors: DataFrame, max_ngram: int) -> DataFrame:
+    Pairs are looked up by a 64-bit digest, so a few places more than those are given.
+    """
+    keys = bound(words_of(F.col("sentence")), lambda words: F.transform(
+        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
+        lambda word, at: F.xxhash64(blocking_key(word, F.get(words, at + 1))),
+    ))
+    table = anchors.select(F.xxhash64("anchor").alias("word")).distinct().withColumn("value", F.lit(True))
+    found = looked_up(sentences, "sentence", keys, table, "known", T.ArrayType(T.BooleanType()), _passing(), stage)
+    places = F.filter(F.transform("known", lambda k, at: F.when(k, at)), lambda at: at.isNotNull())
+    return found.withColumn("begins", places).drop("known").where(F.size("begins") > 0)
+
+
+def sequence_hits(keyed: DataFrame, anchors: DataFrame, max_ngram: int, stage: Stage = fresh) -> DataFrame:
     """The same columns for items of two words or more.
 
     Each word of a text enters the join once, whatever ``max_ngram`` is, by the key it has
     with the word behind it. It takes its neighbours along, and every word of an item
-    anchored there must be among the forms at its place.
+    anchored there must be among the forms at its place. With anchors too many to broadcast
+    only the pairs that a lookup slice by slice leaves enter it.
     """
-    near = neighbours(_sentences(keyed), max_ngram - 1)
+    sentences = _sentences(keyed)
+    if is_small(anchors):
+        near = neighbours(sentences, max_ngram - 1)
+    else:
+        near = neighbours(anchored_words(sentences, anchors, stage), max_ngram - 1, "begins")
     behind = F.get("around", F.col("left") + 1)
     pairs = near.where(behind.isNotNull()).withColumn("key", blocking_key(F.col("word"), behind)).drop("word")
     met = pairs.join(anchors, F.col("key") == F.col("anchor"))
@@ -204,10 +271,10 @@ def find_mentions(
     keyed = reviews.withColumn("text_key", text_key(F.col("text")))
     # Hits are combined per task before the shuffle. Rows of one text give the same
     # hits, so neither the maximum nor the set depends on how many there are.
-    hits = word_hits(keyed, patterns)
+    hits = word_hits(keyed, patterns, policy, stage)
     if max_ngram > 1:
         anchors = stage(anchored(dictionary, lemma_table, max_ngram, stage), "anchors")
-        longer = sequence_hits(keyed, anchors, max_ngram)
+        longer = sequence_hits(keyed, anchors, max_ngram, stage)
         # Without items of one word the texts are not taken apart for them.
         hits = longer if patterns.isEmpty() else hits.union(longer)
     hits = hits.groupBy("text_key")

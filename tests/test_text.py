@@ -250,3 +250,29 @@ def test_text_is_no_shuffle_key_and_needs_no_python(reviews, dictionary, lemmas,
 def test_spread_small_keeps_rows(spark):
     frame = spark.range(100).withColumn("k", F.col("id") % 7)
     assert readers.spread_small(frame, "id").count() == 100
+
+
+@pytest.mark.parametrize("policy", men.POLICIES)
+def test_large_tables_are_looked_up_in_slices(spark, rows, reviews, dictionary, lemmas, policy, monkeypatch):
+    """What a table too large to broadcast gives equals what a small one gives, and no word moves alone."""
+    from dishrank.operators import mentions
+
+    texts = reviews.union(reviews).union(spark.createDataFrame([("r7", "b3", None, None)], reviews.schema))
+    more = dictionary.union(spark.createDataFrame([("x", "late nothing"), ("x", "came late"), ("x", "good two")], dictionary.schema))
+    expected = rows(men.find_mentions(texts, more, lemmas, policy, 3).drop("date"))
+    called = []
+    monkeypatch.setattr(mentions, "is_small", lambda table: called.append(table) or False)
+    assert rows(men.find_mentions(texts, more, lemmas, policy, 3).drop("date")) == expected and len(called) == 2
+    assert len({r[-2] for r in expected}) > 1
+
+
+def test_scores_move_no_word_by_itself(spark, lexicon):
+    """The lexicon meets different words of a slice, not those of each sentence."""
+    from dishrank.operators.composed_sentiment import score_composed
+
+    frame = spark.range(300).select(F.concat(F.lit("good fine late w"), F.col("id").cast("string")).alias("s"))
+    modifiers = spark.createDataFrame([("good", "negate", 1.0)], "word string, kind string, factor double")
+    for scored in (sen.score_sentences(frame, "s", lexicon), score_composed(frame, "s", lexicon, modifiers)):
+        plan = scored._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_set" not in plan and "FlatMapCoGroups" in plan
+        assert {r.score for r in scored.collect()} <= {1, 2, 3, 4, 5} and scored.count() == 300
