@@ -8,8 +8,8 @@ words around. The places of those that match go back to the text. Texts are know
 happens: reviews need no key, and equal texts are no trouble.
 
 The pattern table is written first, so its size is known: Spark broadcasts it while it
-is small. With a large one the texts are dealt to slices and looked up there (``lookup``):
-what shuffles is the texts and the different words of each slice.
+is small. With a large one of single words the texts are dealt to slices and looked up there
+(``lookup``): what shuffles is the texts and the different words of each slice.
 """
 
 from __future__ import annotations
@@ -141,32 +141,18 @@ def _blocks(words: Column, reach: int) -> Column:
     return bound(words, cut)
 
 
-def neighbours(sentences: DataFrame, reach: int, begins: str | None = None) -> DataFrame:
+def neighbours(sentences: DataFrame, reach: int) -> DataFrame:
     """``(text_key, sentence_pos, token_pos, word, around, left)``, one row per word of ``sentences``.
 
     ``around`` is the word with up to ``reach`` words to each side, the word itself at ``left``.
-    With ``begins``, an array of places, only the words there.
     """
-    kept = ["text_key", "sentence_pos"]
-    if begins:
-        def taken(words: Column) -> Column:
-            def one(at: Column) -> Column:
-                first = F.greatest(at - reach, F.lit(0))
-                return F.struct(
-                    at.alias("token_pos"), F.get(words, at).alias("word"),
-                    F.slice(words, first + 1, at - first + 1 + reach).alias("around"), (at - first).alias("left"),
-                )
-
-            return F.transform(begins, one)
-
-        return sentences.select(*kept, F.explode(bound(words_of(F.col("sentence")), taken)).alias("n")).select(*kept, "n.*")
-    blocks = sentences.select(*kept, F.explode(_blocks(words_of(F.col("sentence")), reach)).alias("b"))
-    each = blocks.select(*kept, "b.*").select("*", F.posexplode("words").alias("at", "word"))
+    blocks = sentences.select("text_key", "sentence_pos", F.explode(_blocks(words_of(F.col("sentence")), reach)).alias("b"))
+    each = blocks.select("text_key", "sentence_pos", "b.*").select("*", F.posexplode("words").alias("at", "word"))
     own = F.col("begin") + F.col("at")
     each = each.where((own >= F.col("core")) & (own < F.col("core") + BLOCK_WORDS))
     first = F.greatest(F.col("at") - reach, F.lit(0))
     return each.select(
-        *kept, own.alias("token_pos"), "word",
+        "text_key", "sentence_pos", own.alias("token_pos"), "word",
         F.slice("words", first + 1, F.col("at") - first + 1 + reach).alias("around"), (F.col("at") - first).alias("left"),
     )
 
@@ -209,37 +195,18 @@ def word_hits(keyed: DataFrame, patterns: DataFrame, policy: str = "", stage: St
     return found.select(*kept, F.explode(hits).alias("h")).select(*kept, "h.*")
 
 
-def anchored_words(sentences: DataFrame, anchors: DataFrame, stage: Stage = fresh) -> DataFrame:
-    """``sentences`` with ``begins``: the places where a pair of neighbours may be an anchor.
-
-    Pairs are looked up by a 64-bit digest, so a few places more than those are given.
-    """
-    keys = bound(words_of(F.col("sentence")), lambda words: F.transform(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda word, at: F.xxhash64(blocking_key(word, F.get(words, at + 1))),
-    ))
-    table = anchors.select(F.xxhash64("anchor").alias("word")).distinct().withColumn("value", F.lit(True))
-    found = looked_up(sentences, "sentence", keys, table, "known", T.ArrayType(T.BooleanType()), _passing(), stage)
-    places = F.filter(F.transform("known", lambda k, at: F.when(k, at)), lambda at: at.isNotNull())
-    return found.withColumn("begins", places).drop("known").where(F.size("begins") > 0)
-
-
-def sequence_hits(keyed: DataFrame, anchors: DataFrame, max_ngram: int, stage: Stage = fresh) -> DataFrame:
+def sequence_hits(keyed: DataFrame, anchors: DataFrame, max_ngram: int) -> DataFrame:
     """The same columns for items of two words or more.
 
     Each word of a text enters the join once, whatever ``max_ngram`` is, by the key it has
     with the word behind it. It takes its neighbours along, and every word of an item
-    anchored there must be among the forms at its place. With anchors too many to broadcast
-    only the pairs that a lookup slice by slice leaves enter it.
+    anchored there must be among the forms at its place. That is exact, so 64 bits of the key
+    are enough to meet by.
     """
-    sentences = _sentences(keyed)
-    if is_small(anchors):
-        near = neighbours(sentences, max_ngram - 1)
-    else:
-        near = neighbours(anchored_words(sentences, anchors, stage), max_ngram - 1, "begins")
+    near = neighbours(_sentences(keyed), max_ngram - 1)
     behind = F.get("around", F.col("left") + 1)
-    pairs = near.where(behind.isNotNull()).withColumn("key", blocking_key(F.col("word"), behind)).drop("word")
-    met = pairs.join(anchors, F.col("key") == F.col("anchor"))
+    pairs = near.where(behind.isNotNull()).withColumn("key", F.xxhash64(blocking_key(F.col("word"), behind))).drop("word")
+    met = pairs.join(anchors.withColumn("anchor", F.xxhash64("anchor")), F.col("key") == F.col("anchor"))
     first = F.col("left") - F.col("place")
     # A place beyond the sentence has no word, which no form equals.
     fits = F.filter("slots", lambda forms, k: (first + k >= 0) & F.array_contains(forms, F.get(F.col("around"), first + k)))
@@ -274,7 +241,7 @@ def find_mentions(
     hits = word_hits(keyed, patterns, policy, stage)
     if max_ngram > 1:
         anchors = stage(anchored(dictionary, lemma_table, max_ngram, stage), "anchors")
-        longer = sequence_hits(keyed, anchors, max_ngram, stage)
+        longer = sequence_hits(keyed, anchors, max_ngram)
         # Without items of one word the texts are not taken apart for them.
         hits = longer if patterns.isEmpty() else hits.union(longer)
     hits = hits.groupBy("text_key")

@@ -262,7 +262,7 @@ def test_large_tables_are_looked_up_in_slices(spark, rows, reviews, dictionary,
     expected = rows(men.find_mentions(texts, more, lemmas, policy, 3).drop("date"))
     called = []
     monkeypatch.setattr(mentions, "is_small", lambda table: called.append(table) or False)
-    assert rows(men.find_mentions(texts, more, lemmas, policy, 3).drop("date")) == expected and len(called) == 2
+    assert rows(men.find_mentions(texts, more, lemmas, policy, 3).drop("date")) == expected and len(called) == 1
     assert len({r[-2] for r in expected}) > 1
 
 
