@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from ..functions.text import bound, clip_sentence, plurals, sentences_of, singular, text_key, words_of
 from ..sources.stages import Stage, fresh
 from .lookup import is_small, looked_up
+from .pair_lookup import PairLookup, is_large, split_texts
 
 # Words of a sentence that are taken apart together; longer sentences make several blocks.
 BLOCK_WORDS = 64
@@ -89,40 +90,53 @@ def dictionary_patterns(dictionary: DataFrame, lemma_table: DataFrame) -> DataFr
     return named.join(forms, "word").select(F.col("form").alias("pattern"), "dish")
 
 
-def blocking_key(first: Column, second: Column) -> Column:
-    """What two neighbouring words have in common with all regular plurals of both."""
-    return F.concat(F.rtrim(first, F.lit(PLURAL_LETTERS)), F.lit(" "), F.rtrim(second, F.lit(PLURAL_LETTERS)))
+def stem_key(word: Column) -> Column:
+    """64 bits that a word has in common with all its regular plurals."""
+    return F.xxhash64(F.rtrim(word, F.lit(PLURAL_LETTERS)))
 
 
-def anchored(dictionary: DataFrame, lemma_table: DataFrame, max_ngram: int, stage: Stage = fresh) -> DataFrame:
-    """``(anchor, place, slots, dish)``: items of two words or more under one pair of neighbours.
+def anchored(dictionary: DataFrame, lemma_table: DataFrame, max_ngram: int, stage: Stage = fresh) -> tuple[DataFrame, DataFrame]:
+    """``(first, second, place, dish)``: items of two words or more under one pair of neighbours, and their words.
 
-    ``slots`` holds for each place of the item the forms its word may have. The anchor is
-    the key of the item's rarest pair, which begins at ``place``: the one whose rarer word
-    is in the fewest items. Forms are not multiplied out: regular plurals share the key, so
-    an item is one row, and one more for every other form that the lemma table lists at the
-    pair. Of items with the same words the smallest is named.
+    The pair is the item's rarest one, which begins at ``place``: the one whose rarer word
+    is in the fewest items. It is kept as the ``stem_key`` of both words. Forms are not
+    multiplied out: regular plurals share the key, so an item is one row, and one more for
+    every other form that the lemma table lists at the pair. Of items with the same words
+    the smallest is named.
     """
-    items = dictionary.where(F.col("item").isNotNull()).select("item").distinct()
+    items = dictionary.where(F.col("item").isNotNull()).select("item")
     items = items.withColumn("words", words_of(F.col("item"))).where(F.size("words").between(2, max_ngram))
+    uses = items.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+    uses = stage(uses, "item_words")
     named = items.groupBy(F.array_join("words", " ").alias("phrase")).agg(F.min("item").alias("dish"))
     named = named.select("dish", F.split("phrase", " ").alias("words"))
-    uses = named.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
-    uses = stage(uses, "item_words")
-    forms = word_forms(uses.select("word"), lemma_table).groupBy("word").agg(F.collect_set("form").alias("forms"))
-    known = uses.join(forms, "word")
-    rows = named
+    at = named.withColumn("place", F.lit(0))
+    if max_ngram > 2:
+        rows = named
+        for k in range(max_ngram):
+            own = uses.select(F.col("word").alias(f"word{k}"), F.col("uses").alias(f"uses{k}"))
+            rows = rows.join(own, F.get("words", F.lit(k)) == F.col(f"word{k}"), "inner" if k < 2 else "left")
+        rows = rows.withColumn("u", F.slice(F.array(*[f"uses{k}" for k in range(max_ngram)]), F.lit(1), F.size("words")))
+        pairs = F.transform(F.slice("u", 2, max_ngram), lambda after, k: F.struct(F.least(after, F.get("u", k)).alias("uses"), k.alias("place")))
+        at = rows.select("dish", "words", F.array_min(pairs)["place"].alias("place"))
+    listed = lemma_forms(lemma_table).groupBy(F.col("lemma").alias("listed")).agg(F.collect_set(stem_key(F.col("form"))).alias("more"))
+    for k, name in enumerate(("first", "second")):
+        word = F.get("words", F.col("place") + k)
+        every = F.array_union(F.array(stem_key(word)), F.coalesce("more", F.array().cast("array<bigint>")))
+        at = at.join(listed, word == F.col("listed"), "left").withColumn(name, F.explode(every)).drop("listed", "more")
+    return stage(at.select("first", "second", "place", "dish"), "anchors"), uses.select("word")
+
+
+def with_slots(anchors: DataFrame, forms: DataFrame, max_ngram: int) -> DataFrame:
+    """Anchors with ``slots``: for each place of the item the forms its word may have."""
+    rows = anchors.withColumn("words", words_of(F.col("dish")))
+    wanted = rows.select(F.explode("words").alias("word")).distinct()
+    known = forms.join(wanted, "word", "left_semi").groupBy("word").agg(F.collect_set("form").alias("forms"))
     for k in range(max_ngram):
-        own = known.select(F.col("word").alias(f"word{k}"), F.struct("uses", "forms").alias(f"slot{k}"))
+        own = known.select(F.col("word").alias(f"word{k}"), F.col("forms").alias(f"slot{k}"))
         rows = rows.join(own, F.get("words", F.lit(k)) == F.col(f"word{k}"), "inner" if k < 2 else "left")
     slots = F.slice(F.array(*[f"slot{k}" for k in range(max_ngram)]), F.lit(1), F.size("words"))
-    pairs = F.transform(F.slice("s", 2, max_ngram), lambda after, k: F.struct(
-        F.least(after["uses"], F.get("s", k)["uses"]).alias("uses"), k.alias("place")
-    ))
-    at = rows.select("dish", slots.alias("s")).select("dish", F.col("s.forms").alias("slots"), F.array_min(pairs)["place"].alias("place"))
-    first, second = F.get("slots", F.col("place")), F.get("slots", F.col("place") + 1)
-    keys = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: blocking_key(a, b))))
-    return at.select(F.explode(F.array_distinct(keys)).alias("anchor"), "place", "slots", "dish")
+    return rows.select("first", "second", "place", "dish", slots.alias("slots"))
 
 
 def _blocks(words: Column, reach: int) -> Column:
@@ -157,6 +171,20 @@ def neighbours(sentences: DataFrame, reach: int) -> DataFrame:
     )
 
 
+def around(places: DataFrame, reach: int) -> DataFrame:
+    """``(text_key, sentence_pos, token_pos, around, left)`` of the words at ``places`` of sentences, as ``neighbours`` has them."""
+
+    def one(words: Column) -> Callable[[Column], Column]:
+        def row(at: Column) -> Column:
+            first = F.greatest(at - reach, F.lit(0))
+            return F.struct(at.alias("token_pos"), F.slice(words, first + 1, at - first + 1 + reach).alias("around"), (at - first).alias("left"))
+
+        return row
+
+    each = bound(words_of(F.col("sentence")), lambda words: F.transform("places", one(words)))
+    return places.select("text_key", "sentence_pos", F.explode(each).alias("p")).select("text_key", "sentence_pos", "p.*")
+
+
 def _sentences(keyed: DataFrame) -> DataFrame:
     return keyed.select("text_key", F.posexplode(sentences_of(F.col("text"))).alias("sentence_pos", "sentence"))
 
@@ -195,27 +223,61 @@ def word_hits(keyed: DataFrame, patterns: DataFrame, policy: str = "", stage: St
     return found.select(*kept, F.explode(hits).alias("h")).select(*kept, "h.*")
 
 
-def sequence_hits(keyed: DataFrame, anchors: DataFrame, max_ngram: int) -> DataFrame:
-    """The same columns for items of two words or more.
+def verified(near: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``(text_key, sentence_pos, token_pos, width, dish)`` of items that ``near`` holds, by the pairs of words in it.
 
-    Each word of a text enters the join once, whatever ``max_ngram`` is, by the key it has
-    with the word behind it. It takes its neighbours along, and every word of an item
-    anchored there must be among the forms at its place. That is exact, so 64 bits of the key
-    are enough to meet by.
+    Each word of ``near`` enters the join once, however long items are, by the keys of it and
+    the word behind. Every word of an item anchored there must be among the forms at its place.
+    That is exact, so 64 bits of a key are enough to meet by.
     """
-    near = neighbours(_sentences(keyed), max_ngram - 1)
-    behind = F.get("around", F.col("left") + 1)
-    pairs = near.where(behind.isNotNull()).withColumn("key", F.xxhash64(blocking_key(F.col("word"), behind))).drop("word")
-    met = pairs.join(anchors.withColumn("anchor", F.xxhash64("anchor")), F.col("key") == F.col("anchor"))
-    first = F.col("left") - F.col("place")
+    word, behind = F.get("around", F.col("left")), F.get("around", F.col("left") + 1)
+    pairs = near.where(behind.isNotNull()).withColumns({"first": stem_key(word), "second": stem_key(behind)})
+    met = pairs.join(anchors, ["first", "second"])
+    begin = F.col("left") - F.col("place")
     # A place beyond the sentence has no word, which no form equals.
-    fits = F.filter("slots", lambda forms, k: (first + k >= 0) & F.array_contains(forms, F.get(F.col("around"), first + k)))
+    fits = F.filter("slots", lambda forms, k: (begin + k >= 0) & F.array_contains(forms, F.get(F.col("around"), begin + k)))
     width = F.size("slots")
     return met.where(F.size(fits) == width).select(
         "text_key", "sentence_pos", (F.col("token_pos") - F.col("place")).alias("token_pos"), width.alias("width"), "dish"
     )
 
 
+def sequence_hits(
+    keyed: DataFrame, dictionary: DataFrame, lemma_table: DataFrame, max_ngram: int, policy: str = "all", stage: Stage = fresh
+) -> DataFrame:
+    """The same columns for items of two words or more.
+
+    While their table is small, every word of a text meets it. A large one is asked slice by
+    slice which pairs of the texts it has, and of a text only the words at those that
+    ``policy`` may take are verified; a text in which none of them is an item has all of its
+    pairs verified.
+    """
+    anchors, words = anchored(dictionary, lemma_table, max_ngram, stage)
+    forms = stage(word_forms(words, lemma_table), "forms")
+    reach = max_ngram - 1
+    if not is_large(anchors):
+        slots = stage(with_slots(anchors, forms, max_ngram), "slots")
+        if not is_large(slots):
+            return verified(neighbours(_sentences(keyed), reach), slots)
+    lookup = PairLookup(split_texts(keyed, stage), anchors, stem_key, stage)
+
+    def hits(policy: str, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        places = stage(lookup.places(policy, reach, only), "places")
+        near = around(places, reach)
+        word, behind = F.get("around", F.col("left")), F.get("around", F.col("left") + 1)
+        met = near.select(stem_key(word).alias("first"), stem_key(behind).alias("second")).distinct()
+        needed = with_slots(anchors.join(met, ["first", "second"], "left_semi"), forms, max_ngram)
+        return places, stage(verified(near, needed), "hits")
+
+    places, found = hits(policy)
+    if policy != "all":
+        # No item at the places taken: there may be one at another.
+        left = stage(places.select("text_key").distinct().join(found, "text_key", "left_anti"), "left")
+        if not left.isEmpty():
+            found = found.union(hits("all", left)[1])
+    return found
+
+
 def find_mentions(
     reviews: DataFrame, dictionary: DataFrame, lemma_table: DataFrame, policy: str = "last", max_ngram: int = 1,
     stage: Stage = fresh,
@@ -240,8 +302,7 @@ def find_mentions(
     # hits, so neither the maximum nor the set depends on how many there are.
     hits = word_hits(keyed, patterns, policy, stage)
     if max_ngram > 1:
-        anchors = stage(anchored(dictionary, lemma_table, max_ngram, stage), "anchors")
-        longer = sequence_hits(keyed, anchors, max_ngram)
+        longer = sequence_hits(keyed, dictionary, lemma_table, max_ngram, policy, stage)
         # Without items of one word the texts are not taken apart for them.
         hits = longer if patterns.isEmpty() else hits.union(longer)
     hits = hits.groupBy("text_key")

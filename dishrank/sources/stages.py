@@ -16,6 +16,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +34,25 @@ _NUMBERS = re.compile(r"#\d+|(?<=lambda )\w+_\d+|(?<=CTERelationDef )\d+|(?<=CTE
 Stage = Callable[[DataFrame, str], DataFrame]
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is written inside are removed as soon as it is complete."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def fresh(rows: DataFrame, name: str) -> DataFrame:
     """A stage in a folder of its own, written by every run."""
-    return stage_roundtrip(rows, work_path(rows.sparkSession, name))
+    with shuffles_dropped(rows.sparkSession):
+        return stage_roundtrip(rows, work_path(rows.sparkSession, name))
 
 
 def _plans(plan) -> Iterator:
@@ -137,7 +154,8 @@ class Stages:
         if attempt is None:
             # An attempt that dies leaves a folder nobody points to; runs beside each other have one each.
             attempt = uuid.uuid4().hex
-            rows.write.parquet(f"{path}/data/{attempt}")
+            with shuffles_dropped(self.spark):
+                rows.write.parquet(f"{path}/data/{attempt}")
             switch_to(self.spark, path, attempt)
             self.written.append(stage)
         self.used.append(stage)

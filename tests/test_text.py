@@ -276,3 +276,42 @@ def test_scores_move_no_word_by_itself(spark, lexicon):
         plan = scored._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_set" not in plan and "FlatMapCoGroups" in plan
         assert {r.score for r in scored.collect()} <= {1, 2, 3, 4, 5} and scored.count() == 300
+
+
+@pytest.mark.parametrize("policy", men.POLICIES)
+def test_items_too_many_to_broadcast_are_asked_for_by_slices(spark, rows, policy, monkeypatch):
+    """A large table of items gives what a small one gives, and no word of a text moves by itself."""
+    # The last pair has the key of an item and is none, in texts with and without an item; the longest item is anchored inside.
+    texts = [
+        "City boxes here. New york city series.", "Le chat. Les chat", "Les chat.", "Pad thai, box. Pad thais and les chats",
+        "Mice traps. New york yes", "", "One", "Two boxes, new york city serie city box", None,
+    ]
+    reviews = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts * 3)], "k int, text string")
+    items = ["city box", "le chat", "pad thai", "Pad-Thai", "mouse trap", "new york city series", "york yes", "new york", "one", None]
+    menu = spark.createDataFrame([("m", i) for i in items], "category string, item string")
+    table = spark.createDataFrame([("mice", "mouse"), ("x", None)], "form string, lemma string")
+    expected = rows(men.find_mentions(reviews, menu, table, policy, 4))
+    assert len({r[2] for r in expected}) > 3
+    monkeypatch.setattr(men, "is_large", lambda table: True)
+    monkeypatch.setattr(men, "neighbours", None)
+    assert rows(men.find_mentions(reviews, menu, table, policy, 4)) == expected
+
+
+def test_only_pairs_that_are_asked_for_come_back(spark, monkeypatch):
+    """Of the words of all texts those that may begin an item are verified, for the last item the last ones."""
+    from dishrank.sources.stages import fresh
+
+    reviews = spark.range(300).select(F.concat(
+        F.lit("Pad thai first. Pad thai then nothing of w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"),
+        F.lit(" but words."),
+    ).alias("text"))
+    menu = spark.createDataFrame([("m", "pad thai"), ("m", "no such item")], "category string, item string")
+    table = spark.createDataFrame([("x", "y")], "form string, lemma string")
+    moved = {}
+    monkeypatch.setattr(men, "is_large", lambda table: True)
+    for policy, places in (("last", 1), ("all", 2)):
+        men.find_mentions(reviews, menu, table, policy, 3, lambda df, name: moved.setdefault((policy, name), fresh(df, name)))
+        assert moved[policy, "places"].agg(F.sum(F.size("places"))).first()[0] == 300 * places
+        assert moved[policy, "hits"].count() == 300 * places
+        # One row of a slice and part at most, however many words there are.
+        assert moved[policy, "pairs_found"].agg(F.sum(F.length("pairs"))).first()[0] <= 4 * 300
