@@ -2,14 +2,15 @@
 
 One way for a dictionary of any size. Items of one word are turned into their surface
 forms and joined to the words of the texts. Items of several words stand under their
-rarest pair of neighbouring words; each word of a text is joined to them by the pair it
-begins, one row per word however long items are, and the item is verified against the
-words around. The places of those that match go back to the text. Texts are known by a digest while that
+rarest pair of neighbouring words; each word of a text meets them by the pair it begins,
+once however long items are, and the item is verified against the words around. The
+places of those that match go back to the text. Texts are known by a digest while that
 happens: reviews need no key, and equal texts are no trouble.
 
 The pattern table is written first, so its size is known: Spark broadcasts it while it
 is small. With a large one of single words the texts are dealt to slices and looked up there
-(``lookup``): what shuffles is the texts and the different words of each slice.
+(``lookup``): what shuffles is the texts and the different words of each slice. Of a large one of
+several words slices ask for their pairs (``pair_lookup``), and only places found are verified.
 """
 
 from __future__ import annotations
@@ -262,7 +263,8 @@ def sequence_hits(
     lookup = PairLookup(split_texts(keyed, stage), anchors, stem_key, stage)
 
     def hits(policy: str, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        places = stage(lookup.places(policy, reach, only), "places")
+        # What a Python function is told is not in a plan, so the name of the stage tells it.
+        places = stage(lookup.places(policy, reach, only), f"places_{policy}_{reach}")
         near = around(places, reach)
         word, behind = F.get("around", F.col("left")), F.get("around", F.col("left") + 1)
         met = near.select(stem_key(word).alias("first"), stem_key(behind).alias("second")).distinct()

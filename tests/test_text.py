@@ -311,7 +311,24 @@ def test_only_pairs_that_are_asked_for_come_back(spark, monkeypatch):
     monkeypatch.setattr(men, "is_large", lambda table: True)
     for policy, places in (("last", 1), ("all", 2)):
         men.find_mentions(reviews, menu, table, policy, 3, lambda df, name: moved.setdefault((policy, name), fresh(df, name)))
-        assert moved[policy, "places"].agg(F.sum(F.size("places"))).first()[0] == 300 * places
+        assert moved[policy, f"places_{policy}_2"].agg(F.sum(F.size("places"))).first()[0] == 300 * places
         assert moved[policy, "hits"].count() == 300 * places
         # One row of a slice and part at most, however many words there are.
         assert moved[policy, "pairs_found"].agg(F.sum(F.length("pairs"))).first()[0] <= 4 * 300
+
+
+def test_stages_of_items_are_told_apart_by_policy(spark, rows, lemmas, monkeypatch):
+    """A run that finds the stages of another policy does not go on from its places."""
+    from dishrank.sources.stages import Stages, fresh
+
+    monkeypatch.setattr(men, "is_large", lambda table: True)
+    reviews = spark.createDataFrame([(1, "The ramen was good. Two burgers came late!")], "k int, text string")
+    menu = spark.createDataFrame([("x", "the ramen"), ("x", "came late")], "category string, item string")
+    inputs = [fresh(frame.coalesce(1), "input") for frame in (reviews, menu, lemmas)]
+    root = work_path(spark, "stages")
+    for policy, expected in (("last", (1, "came late")), ("first_sentence", (0, "the ramen"))):
+        found = men.find_mentions(*inputs, policy, 2, Stages(spark, root))
+        assert rows(found.select("sentence_pos", "dish")) == [expected]
+    again = Stages(spark, root)
+    men.find_mentions(*inputs, "last", 2, again)
+    assert again.used and not again.written
